@@ -11,7 +11,7 @@ from trendspark.params import TAGS_SEPARATOR, TITLE_SEPARATOR, UNTITLED_ARTICLE
 
 __all__ = [
     "PHP_TRIM_CHARS", "php_trim", "collapse_ws", "strip_tags", "decode_entities", "html_to_text",
-    "page_title", "scraped_piece", "meaningful", "fill_template", "parse_response", "split_tags",
+    "page_title", "main_content", "scraped_piece", "meaningful", "fill_template", "parse_response", "split_tags",
     "parse_translation", "translation_prompt", "slugify", "html_escape", "is_blank",
 ]
 
@@ -69,7 +69,8 @@ def collapse_ws(c: Column) -> Column:
 def strip_tags(c: Column) -> Column:
     """Drop comments, script/style bodies and every tag."""
     c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    c = F.regexp_replace(c, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    c = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script[ \t\n\r\f]*>", "")
+    c = F.regexp_replace(c, r"(?is)<style\b[^>]*>.*?</style[ \t\n\r\f]*>", "")
     return F.regexp_replace(c, r"<[^>]*>", "")
 
 
@@ -90,6 +91,49 @@ def page_title(html: Column) -> Column:
     return collapse_ws(php_trim(decode_entities(strip_tags(raw))))
 
 
+# Fixed values of the main-text block scorer (O-X7): elements dropped whole, the
+# class words marking boilerplate, the tags that start a new block, and the
+# thresholds a block must meet to count as article text.
+BOILERPLATE_ELEMENTS = ["head", "nav", "header", "footer", "aside", "form", "noscript"]
+BOILERPLATE_CLASS_WORDS = ["ad", "ads", "advert", "banner", "sponsor", "promo", "sidebar", "comment", "share", "social", "related", "cookie"]
+BLOCK_TAGS = ["p", "div", "article", "section", "main", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "br",
+              "table", "tr", "td", "blockquote", "pre"]
+MIN_BLOCK_CHARS = 25
+MAX_LINK_SHARE = 0.5
+BLOCK_MARK = "\u0001"
+
+
+def _drop_boilerplate(c: Column) -> Column:
+    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
+    c = F.regexp_replace(c, r"(?is)<script\b[^>]*>.*?</script[ \t\n\r\f]*>", "")
+    c = F.regexp_replace(c, r"(?is)<style\b[^>]*>.*?</style[ \t\n\r\f]*>", "")
+    for el in BOILERPLATE_ELEMENTS:
+        c = F.regexp_replace(c, rf"(?is)<{el}\b[^>]*>.*?</{el}[ \t\n\r\f]*>", "")
+    words = "|".join(BOILERPLATE_CLASS_WORDS)
+    c = F.regexp_replace(c, rf"(?is)<div\b[^>]*class=\"(?:[^\"]*[ ])?(?:{words})(?:[ ][^\"]*)?\"[^>]*>.*?</div[ \t\n\r\f]*>", "")
+    return c
+
+
+def main_content(html: Column) -> Column:
+    """O-X7 re-aimed: the article part of a page, as HTML of the kept blocks.
+
+    The body is cut into blocks at block-level tags; a block is kept when its text
+    has at least MIN_BLOCK_CHARS characters and less than MAX_LINK_SHARE of it is
+    link text. All in-row array functions: no explode, no shuffle."""
+    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)</body>", 1)
+    body = F.when(body == "", html).otherwise(body)
+    tags = "|".join(BLOCK_TAGS)
+    marked = F.regexp_replace(_drop_boilerplate(body), rf"(?i)</?(?:{tags})\b[^>]*>", BLOCK_MARK)
+    blocks = F.split(marked, BLOCK_MARK, -1)
+
+    def keep(b: Column) -> Column:
+        text_len = F.char_length(html_to_text(b))
+        link_len = F.char_length(html_to_text(F.array_join(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), "")))
+        return (text_len >= MIN_BLOCK_CHARS) & (link_len < text_len * MAX_LINK_SHARE)
+
+    return F.array_join(F.filter(blocks, keep), "\n")
+
+
 def meaningful(content_html: Column) -> Column:
     """O-F10: content counts unless its stripped text is blank and it is < 100 bytes."""
     blank_text = php_trim(strip_tags(content_html)) == ""

@@ -1,6 +1,6 @@
 """All registered queries. Importing the q_* modules fills the registry."""
 
-from trendspark.plans import q_ingest, q_reports  # noqa: F401
+from trendspark.plans import q_ingest, q_prompts, q_reports  # noqa: F401
 from trendspark.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "dashboard"
