@@ -14,8 +14,9 @@ def token_cost(input_tokens: Column, output_tokens: Column, input_per_m: Column,
     """USD cost: in/1e6*p_in + out/1e6*p_out; missing usage or unknown model -> 0.
 
     Exact decimal arithmetic, multiplied by 1e-6 (never divided), stored as DECIMAL(10,6)."""
-    i = F.coalesce(input_tokens, F.lit(0)).cast("decimal(20,0)")
-    o = F.coalesce(output_tokens, F.lit(0)).cast("decimal(20,0)")
+    # decimal(12,0) tokens keep the product within 38 digits, so it is exact (no early rounding)
+    i = F.coalesce(input_tokens, F.lit(0)).cast("decimal(12,0)")
+    o = F.coalesce(output_tokens, F.lit(0)).cast("decimal(12,0)")
     pi = F.coalesce(input_per_m, F.lit(0)).cast("decimal(10,4)")
     po = F.coalesce(output_per_m, F.lit(0)).cast("decimal(10,4)")
     return ((i * pi + o * po) * F.lit(0.000001).cast("decimal(7,6)")).cast(COST_TYPE)
