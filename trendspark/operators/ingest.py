@@ -185,14 +185,26 @@ def audit_rows(status: DataFrame) -> DataFrame:
     )
 
 
-def ingest_trends(items_raw: DataFrame, news: DataFrame, stored_trends: DataFrame, params: Params) -> dict[str, DataFrame]:
-    """O-P1 composite: returns accepted trends, news, summary and audit frames."""
+def ingest_trends(items_raw: DataFrame, news: DataFrame, stored_trends: DataFrame, params: Params,
+                  materialize: bool = False) -> dict[str, DataFrame]:
+    """O-P1 composite: returns accepted trends, news, summary and audit frames.
+
+    With ``materialize`` the item statuses and the accepted rows (with their new
+    ids) are checkpointed (reliable checkpoint in spark.checkpoint.dir) before
+    anything is written: the outputs are then fixed values, not plans that would
+    see the run's own appends when evaluated later or recomputed after an
+    executor loss."""
     items = typed_items(items_raw)
     if not params.import_enabled:  # O-F16 gate
         items = items.limit(0)
     status = item_status(items, news, stored_trends, params)
+    if materialize:
+        status = status.checkpoint(eager=True)
     accepted = assign_ids(ingest_cap(status, params), stored_trends if "id" in stored_trends.columns else None)
+    if materialize:
+        accepted = accepted.checkpoint(eager=True)
     return {
+        "status": status,
         "trends": append_trends(accepted, params),
         "news": append_news(news, accepted),
         "summary": ingest_summary(status, params),
