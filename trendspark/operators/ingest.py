@@ -82,13 +82,22 @@ def item_status(items: DataFrame, news: DataFrame, stored_keys: DataFrame, param
         .when(F.col("_stored").isNotNull(), F.lit(DUPLICATE_STORED))
     )
     x = x.withColumn("_pre", pre).drop("_tld", "_stored")
+    # conditional aggregate over the unfiltered frame: both branches share one
+    # subtree, so its shuffles are computed once and reused
     firsts = (
-        x.filter(F.col("_pre").isNull())
-        .groupBy(*KEY)
-        .agg(F.min("feed_pos").alias("feed_pos"))
+        x.groupBy(*KEY)
+        .agg(F.min(F.when(F.col("_pre").isNull(), F.col("feed_pos"))).alias("feed_pos"))
+        .filter(F.col("feed_pos").isNotNull())
         .withColumn("_first", F.lit(True))
     )
-    x = x.join(firsts, KEY + ["feed_pos"], "left")
+    # null-safe keys: no inferred IS NOT NULL filter is pushed into one branch only,
+    # so both sides keep the same subtree and Spark reuses its exchanges
+    xa, fa = x.alias("x"), firsts.alias("f")
+    cond = None
+    for c in KEY + ["feed_pos"]:
+        e = F.col(f"x.{c}").eqNullSafe(F.col(f"f.{c}"))
+        cond = e if cond is None else cond & e
+    x = xa.join(fa, cond, "left").select("x.*", F.col("f._first").alias("_first"))
     status = F.coalesce(
         F.col("_pre"), F.when(F.col("_first").isNotNull(), F.lit(ACCEPTED)).otherwise(F.lit(DUPLICATE_IN_FEED))
     )
