@@ -51,16 +51,21 @@ def page_source(news: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def news_pieces(news: DataFrame, pages: DataFrame) -> DataFrame:
-    """News rows with the cleaned text of their page ('' when missing or empty)."""
-    return news.join(page_pieces(pages), "url", "left").withColumn("piece", F.coalesce(F.col("piece"), F.lit("")))
+    """News rows with the cleaned text of their page ('' when missing or empty).
+
+    The small news rows are hash-partitioned by trend first: when the pieces side
+    is broadcast (AQE, by runtime size) the join keeps that partitioning and the
+    per-trend aggregate needs no second shuffle of the large text rows."""
+    return news.repartition("trend_id").join(page_pieces(pages), "url", "left") \
+        .withColumn("piece", F.coalesce(F.col("piece"), F.lit("")))
 
 
 def trend_text(pieces: DataFrame) -> DataFrame:
     """O-A10: pieces concatenated in child order, the separator after every piece,
     plus a flag telling whether any piece had text (O-F9 intent)."""
-    sep = TEXT_PIECE_SEPARATOR.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    ordered = F.array_sort(F.collect_list(F.struct("news_pos", F.concat("piece", F.lit(TEXT_PIECE_SEPARATOR)).alias("p"))))
     return pieces.groupBy("trend_id").agg(
-        F.expr(f"listagg(concat(piece, '{sep}'), '') WITHIN GROUP (ORDER BY news_pos)").alias("text"),
+        F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("text"),
         F.max(F.when(php_trim(F.col("piece")) != "", F.lit(1)).otherwise(F.lit(0))).alias("has_text"),
     )
 
