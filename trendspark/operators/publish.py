@@ -120,10 +120,12 @@ def author_assign(items: DataFrame, users: DataFrame, params: Params, key: str =
     ).drop("_pick", "_uid")
 
 
-def assign_node_ids(articles: DataFrame, existing_max: int | None = None) -> DataFrame:
-    """Serial node ids without a single-partition window: dense index by trend id."""
-    base = existing_max or 0
-    return global_index(articles, ["trend_id"], "_i").withColumn("node_id", (F.col("_i") + F.lit(base + 1)).cast("bigint")).drop("_i")
+def assign_node_ids(articles: DataFrame, trends: DataFrame) -> DataFrame:
+    """Node ids: highest stored node id + trend id. Unique (trend ids are), stable
+    across retries of the same run (the article key is the trend), and free of
+    any global sort or single-partition numbering."""
+    base = F.coalesce(trends.agg(F.max("node_id")).scalar(), F.lit(0)).cast("bigint")
+    return articles.withColumn("node_id", (base + F.col("trend_id")).cast("bigint"))
 
 
 def new_only(answers: DataFrame, articles: DataFrame | None) -> DataFrame:

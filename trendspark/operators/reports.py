@@ -159,3 +159,9 @@ def keyset_page(df: DataFrame, last_id: int | None, size: int = LISTING_PAGE_SIZ
     if last_id is not None:
         df = df.filter(F.col("id") < last_id)
     return df.orderBy(F.col("id").desc()).limit(size)
+
+
+def listing(trends: DataFrame, articles: DataFrame, filters: Sequence[Column] = (), sort: str = "imported_at",
+            order: str | None = None, page: int = 0) -> DataFrame:
+    """O-P7 composite: processed trends + article title, filters, sort, one formatted page."""
+    return listing_format(listing_page(listing_rows(trends, articles, filters), page, sort, order))

@@ -153,7 +153,7 @@ lp AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY trend_id ORD
 art AS (SELECT lp.trend_id, 'article' AS type, lp.gen_title AS title, 1 AS status, a.uid, lp.gen_body AS body,
           coalesce(cast(epoch(pend.pub_date) AS bigint), 995198400) AS created, tid.tag_ids, lp.cost
         FROM lp JOIN pend ON pend.id = lp.trend_id JOIN tid ON tid.call_id = lp.call_id LEFT JOIN authors a ON a.trend_id = lp.trend_id),
-arts AS (SELECT art.*, cast((SELECT max(node_id) FROM fx_trends) + row_number() OVER (ORDER BY trend_id) AS bigint) AS node_id FROM art)
+arts AS (SELECT art.*, cast(coalesce((SELECT max(node_id) FROM fx_trends), 0) + trend_id AS bigint) AS node_id FROM art)
 """
 FXA = ("fx_ai_calls", "fx_vocab", "fx_users", "fx_trends")
 
@@ -166,8 +166,7 @@ def _articles(spark, sf):
     tags = PB.tags_to_terms(p, fixture(spark, sf, "fx_vocab"), P)
     authors = PB.author_assign(p.select("trend_id"), fixture(spark, sf, "fx_users"), P)
     arts = PB.article_rows(p, pend, tags, authors, None, P)
-    base = trends.agg(F.max("node_id")).first()[0]
-    return PB.assign_node_ids(arts, base)
+    return PB.assign_node_ids(arts, trends)
 
 
 @query("write_articles", _ART_CTE + """
