@@ -98,11 +98,14 @@ def date_filter(col: str, start: dt.datetime | None = None, end: dt.datetime | N
     if col not in DATE_FILTERABLE:
         raise ValueError(f"{col} has no date filter")
     c = F.timestamp_seconds(F.col(col)) if col == "imported_at" else F.col(col)
+    # bounds are UTC wall times: a string cast in the (UTC) session, not a Python
+    # datetime that PySpark would read in the driver process's local zone
+    ts = lambda d: F.lit(d.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
     cond = F.lit(True)
     if start is not None:
-        cond = cond & (c >= F.lit(start))
+        cond = cond & (c >= ts(start))
     if end is not None:
-        cond = cond & (c < F.lit(end))
+        cond = cond & (c < ts(end))
     return cond
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendspark.fixtures import duck_with
 
@@ -15,6 +19,23 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _utc(fn: QueryFn) -> QueryFn:
+    """The stored DATETIME columns are UTC wall times: pin the session zone, and hand
+    timestamps out as TIMESTAMP_NTZ so collecting them does not depend on the
+    caller's process time zone (DuckDB's TIMESTAMP is zone-less too)."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        df = fn(spark, sf_dir)
+        if any(isinstance(f.dataType, T.TimestampType) for f in df.schema.fields):
+            df = df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType)
+                             else F.col(f.name) for f in df.schema.fields])
+        return df
+
+    return run
+
+
 def query(name: str, sql: str | None = None, fx: tuple[str, ...] = ()):
     """Register ``fn`` under ``name``; ``sql`` is the DuckDB oracle, run after a
     ``WITH`` of the fixture views ``fx`` (None = rows-only check)."""
@@ -22,7 +43,7 @@ def query(name: str, sql: str | None = None, fx: tuple[str, ...] = ()):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise KeyError(f"duplicate query {name}")
-        QUERIES[name] = fn
+        QUERIES[name] = _utc(fn)
         if sql is not None:
             body = sql.strip()
             if fx:
