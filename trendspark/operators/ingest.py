@@ -24,7 +24,11 @@ FILTERED_TLD = "filtered_tld"
 DUPLICATE_STORED = "duplicate_stored"
 DUPLICATE_IN_FEED = "duplicate_in_feed"
 AFTER_CAP = "after_cap"
-STATUSES = [ACCEPTED, SKIPPED_TRAFFIC, BAD_DATE, FILTERED_TLD, DUPLICATE_STORED, DUPLICATE_IN_FEED, AFTER_CAP]
+TOO_LONG = "too_long"
+STATUSES = [ACCEPTED, SKIPPED_TRAFFIC, BAD_DATE, FILTERED_TLD, DUPLICATE_STORED, TOO_LONG, DUPLICATE_IN_FEED, AFTER_CAP]
+# Column bounds of the stored trends table.
+MAX_TITLE = 255
+MAX_LINK = 2048
 
 KEY = ["title", "pub_date"]
 
@@ -80,6 +84,8 @@ def item_status(items: DataFrame, news: DataFrame, stored_keys: DataFrame, param
         .when(F.col("pub_date").isNull(), F.lit(BAD_DATE))
         .when(F.col("_tld").isNotNull(), F.lit(FILTERED_TLD))
         .when(F.col("_stored").isNotNull(), F.lit(DUPLICATE_STORED))
+        # the stored columns are bounded (title 255, link 2048): such rows would fail the insert
+        .when((F.char_length("title") > MAX_TITLE) | (F.char_length("link") > MAX_LINK), F.lit(TOO_LONG))
     )
     x = x.withColumn("_pre", pre).drop("_tld", "_stored")
     # conditional aggregate over the unfiltered frame: both branches share one

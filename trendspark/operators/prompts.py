@@ -60,6 +60,19 @@ def news_pieces(news: DataFrame, pages: DataFrame) -> DataFrame:
         .withColumn("piece", F.coalesce(F.col("piece"), F.lit("")))
 
 
+def scrape_audit(news: DataFrame, pages: DataFrame) -> DataFrame:
+    """O-SNK10 (prompt part): news URLs with no landed page (the fetch failed) or
+    whose page gave no text."""
+    p = page_pieces(pages).withColumn("_has_page", F.lit(True))
+    j = news.join(p, "url", "left")
+    reason = F.when(F.col("_has_page").isNull(), F.lit("scrape_failed")).when(F.col("piece") == "", F.lit("no_content"))
+    return j.select(
+        F.lit("prompts").alias("stage"),
+        F.concat_ws(":", F.col("trend_id").cast("string"), F.col("news_pos").cast("string")).alias("key"),
+        reason.alias("reason"), F.col("url").alias("detail"),
+    ).filter(F.col("reason").isNotNull())
+
+
 def trend_text(pieces: DataFrame) -> DataFrame:
     """O-A10: pieces concatenated in child order, the separator after every piece,
     plus a flag telling whether any piece had text (O-F9 intent)."""

@@ -180,3 +180,28 @@ def audit_publish(p: DataFrame, unmatched: DataFrame) -> DataFrame:
     c = unmatched.select(F.lit("publish").alias("stage"), F.col("call_id").cast("string").alias("key"),
                          F.lit("tag_skipped").alias("reason"), F.col("tag").alias("detail"))
     return a.unionByName(b).unionByName(c)
+
+
+def publish_articles(calls: DataFrame, trends: DataFrame, vocab: DataFrame, users: DataFrame, prices: DataFrame,
+                     params: Params, videos: DataFrame | None = None, existing: DataFrame | None = None,
+                     materialize: bool = False) -> dict[str, DataFrame]:
+    """O-P3 composite: latest answer per pending trend -> articles, finished trends, audit.
+
+    The priced answers feed three branches (tags, authors, article rows) with
+    different columns, so Spark cannot share their shuffles; with ``materialize``
+    they are computed once and checkpointed (spark.checkpoint.dir) first."""
+    p = priced(parsed(new_only(latest_answer(calls), existing)), prices)
+    if materialize:
+        p = p.checkpoint(eager=True)
+    pend = trends.filter(F.col("processed") == 0)
+    tags = tags_to_terms(p, vocab, params)
+    authors = author_assign(p.select("trend_id"), users, params)
+    arts = assign_node_ids(article_rows(p, pend, tags, authors, videos, params), trends)
+    if materialize:
+        arts = arts.checkpoint(eager=True)
+    done = arts.select(F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost"))
+    return {
+        "articles": arts,
+        "trends": finish_trends(trends, done),
+        "audit": audit_publish(p, unmatched_tags(p, vocab, params)),
+    }

@@ -43,6 +43,7 @@ pre AS (
     WHEN i.pub_date IS NULL THEN 'bad_date'
     WHEN i.feed_pos IN (SELECT feed_pos FROM flagged) THEN 'filtered_tld'
     WHEN EXISTS (SELECT 1 FROM fx_stored_keys s WHERE s.title = i.title AND s.pub_date = i.pub_date) THEN 'duplicate_stored'
+    WHEN length(i.title) > 255 OR length(i.link) > 2048 THEN 'too_long'
   END AS pre FROM items i),
 st AS (
   SELECT p.*, coalesce(pre, CASE WHEN feed_pos = min(feed_pos) FILTER (WHERE pre IS NULL) OVER (PARTITION BY title, pub_date)

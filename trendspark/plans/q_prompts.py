@@ -163,3 +163,11 @@ def q_build_prompt(spark, sf):
     t, n, pg, v = (_t(spark, sf, x) for x in ("fx_trends", "fx_news_items", "fx_pages", "fx_vocab"))
     out = PR.build_prompts(t, n, pg, v, P)
     return out.select("trend_id", *_digest(F.col("prompt"), "prompt"), "tags_list")
+
+
+@query("audit_scrape", CTE + """
+SELECT 'prompts' AS stage, cast(n.trend_id AS varchar) || ':' || cast(n.news_pos AS varchar) AS key,
+  CASE WHEN p.url IS NULL THEN 'scrape_failed' ELSE 'no_content' END AS reason, n.url AS detail
+FROM fx_news_items n LEFT JOIN pieces p ON p.url = n.url WHERE p.url IS NULL OR p.piece = ''""", fx=FX)
+def q_audit_scrape(spark, sf):
+    return PR.scrape_audit(_t(spark, sf, "fx_news_items"), _t(spark, sf, "fx_pages"))

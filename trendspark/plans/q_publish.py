@@ -159,14 +159,9 @@ FXA = ("fx_ai_calls", "fx_vocab", "fx_users", "fx_trends")
 
 
 def _articles(spark, sf):
-    calls = PB.latest_answer(_calls(spark, sf))
-    trends = fixture(spark, sf, "fx_trends")
-    pend = pending_trends(trends)
-    p = PB.priced(PB.parsed(calls), model_prices(spark))
-    tags = PB.tags_to_terms(p, fixture(spark, sf, "fx_vocab"), P)
-    authors = PB.author_assign(p.select("trend_id"), fixture(spark, sf, "fx_users"), P)
-    arts = PB.article_rows(p, pend, tags, authors, None, P)
-    return PB.assign_node_ids(arts, trends)
+    out = PB.publish_articles(_calls(spark, sf), fixture(spark, sf, "fx_trends"), fixture(spark, sf, "fx_vocab"),
+                              fixture(spark, sf, "fx_users"), model_prices(spark), P)
+    return out["articles"]
 
 
 @query("write_articles", _ART_CTE + """

@@ -76,24 +76,22 @@ def start_feed_stream(spark: SparkSession, landing: str, tables: str, params: Pa
 ANSWERS = ("call_id bigint, trend_id bigint, trend_title string, provider string, model string, response string, "
            "input_tokens bigint, output_tokens bigint")
 ARTICLES_OUT = ("trend_id bigint, type string, title string, status int, uid bigint, body string, created bigint, "
-                "tag_ids array<bigint>, domain_access string, domain_source string, cost decimal(10,6)")
+                "tag_ids array<bigint>, domain_access string, domain_source string, cost decimal(10,6), node_id bigint")
 
 
 def publish_batch(spark: SparkSession, answers: DataFrame, tables: str, vocab: DataFrame, users: DataFrame,
                   params: Params) -> int:
-    """Articles for new answers of pending trends; trends already published are skipped."""
+    """Articles for new answers of pending trends; trends already published are skipped
+    (O-T4). Intermediate results are checkpointed before writing, so the guard does
+    not see this batch's own articles and a recomputation cannot change them."""
     trends = _read_or_empty(spark, f"{tables}/trends", S.TRENDS)
     existing = _read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT)
-    ans = PB.new_only(PB.latest_answer(answers), existing)
-    p = PB.priced(PB.parsed(ans), model_prices(spark))
-    tags = PB.tags_to_terms(p, vocab, params)
-    authors = PB.author_assign(p.select("trend_id"), users, params)
-    # fixed before writing: the guard above must not see this batch's own articles
-    arts = PB.article_rows(p, trends.filter(F.col("processed") == 0), tags, authors, None, params).checkpoint(eager=True)
+    out = PB.publish_articles(answers, trends, vocab, users, model_prices(spark), params, existing=existing, materialize=True)
+    arts = out["articles"]
     n = arts.count()
     if n:
         arts.write.mode("append").parquet(f"{tables}/articles")
-    PB.audit_publish(p, PB.unmatched_tags(p, vocab, params)).write.mode("append").parquet(f"{tables}/audit")
+    out["audit"].write.mode("append").parquet(f"{tables}/audit")
     return n
 
 
