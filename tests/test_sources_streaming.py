@@ -64,3 +64,40 @@ def test_max_files_per_trigger_bounds_a_run(spark):
     q.awaitTermination()
     # one file per micro-batch, at most one accepted item per batch
     assert spark.read.parquet(f"{tables}/trends").count() == 2
+
+
+def test_publish_stream_is_retry_safe(spark):
+    from conftest import SF_SMALL
+    from trendspark.fixtures import fixture
+    from trendspark.plans import q_publish
+    from trendspark.streaming.jobs import start_publish_stream
+
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    fixture(spark, SF_SMALL, "fx_trends").write.parquet(f"{d}/tables/trends")
+    fixture(spark, SF_SMALL, "fx_ai_calls").write.parquet(f"{d}/landing")
+    vocab, users = fixture(spark, SF_SMALL, "fx_vocab"), fixture(spark, SF_SMALL, "fx_users")
+    start_publish_stream(spark, f"{d}/landing", f"{d}/tables", vocab, users, q_publish.P, checkpoint=f"{d}/c1").awaitTermination()
+    n1 = spark.read.parquet(f"{d}/tables/articles").count()
+    assert n1 > 0
+    # replay every answer with a fresh checkpoint: the article guard adds nothing
+    start_publish_stream(spark, f"{d}/landing", f"{d}/tables", vocab, users, q_publish.P, checkpoint=f"{d}/c2").awaitTermination()
+    arts = spark.read.parquet(f"{d}/tables/articles")
+    assert arts.count() == n1 and arts.select("trend_id").distinct().count() == n1
+
+
+def test_too_long_and_scrape_audit(spark):
+    import datetime as dt
+
+    from trendspark.operators import ingest as I
+    from trendspark.operators.prompts import scrape_audit
+
+    items = spark.createDataFrame([(1, "t" * 256, "l", 10, dt.datetime(2025, 1, 1)), (2, "ok", "l", 10, dt.datetime(2025, 1, 1))],
+                                  "feed_pos long, title string, link string, traffic long, pub_date timestamp")
+    empty = spark.createDataFrame([], "feed_pos long, url string")
+    none = spark.createDataFrame([], "title string, pub_date timestamp")
+    st = {r.feed_pos: r.status for r in I.item_status(items, empty, none, Params()).collect()}
+    assert st == {1: "too_long", 2: "accepted"}
+    news = spark.createDataFrame([(1, 0, "https://a/x"), (1, 1, "https://b/y")], "trend_id long, news_pos long, url string")
+    pages = spark.createDataFrame([(0, "https://a/x", "<html><body></body></html>")], "page_id long, url string, html string")
+    got = {(r.key, r.reason) for r in scrape_audit(news, pages).collect()}
+    assert got == {("1:0", "no_content"), ("1:1", "scrape_failed")}
