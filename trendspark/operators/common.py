@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import types as T  # noqa: F401
 from pyspark.sql.window import Window
 
 # A literal dimension built from job parameters has a size fixed by the
@@ -31,30 +30,25 @@ def empty_like(df: DataFrame) -> DataFrame:
 def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "idx") -> DataFrame:
     """Dense 0-based index in ``order_cols`` order without a single-partition window.
 
-    Range-partition on the order, number rows inside each partition with an
-    Arrow batch pass, then add each partition's offset (a prefix sum over one row
-    per partition, which is tiny and broadcast). Ties in ``order_cols`` must not
-    exist (use a unique key)."""
+    Range-partition on the order and sort inside each partition; the position in
+    a partition is ``monotonically_increasing_id() - (partition_id << 33)`` (the id
+    is partition-major and consecutive), stable on a task retry because the
+    partition is sorted on a unique key. Each partition's offset is a prefix sum
+    over one count per partition (tiny, broadcast). ``order_cols`` must be unique."""
     cols = list(order_cols)
-    part = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_pid", F.spark_partition_id())
-    schema = T.StructType(part.schema.fields + [T.StructField("_local", T.LongType(), False)])
-
-    def number(batches):
-        seen = 0
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["_local"] = pd.RangeIndex(seen, seen + len(pdf), dtype="int64")
-            seen += len(pdf)
-            yield pdf
-
-    local = part.mapInPandas(number, schema)
+    part = (
+        df.repartitionByRange(*cols)
+        .sortWithinPartitions(*cols)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    )
     counts = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     )
     return (
-        local.join(F.broadcast(offsets), "_pid")
+        part.join(F.broadcast(offsets), "_pid")
         .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local"))
         .drop("_pid", "_local", "_off")
     )
