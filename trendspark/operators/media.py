@@ -55,9 +55,10 @@ def page_images(news: DataFrame, pages: DataFrame) -> DataFrame:
         "url", F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(IMG_SRC), 1)).alias("img_pos", "src")
     ).filter(F.col("src") != "")
     imgs = imgs.select(F.col("url").alias("page_url"), "img_pos", resolve_url(F.col("src"), F.col("url")).alias("img_url"))
-    # partitioned by trend up front: with the page side broadcast (AQE, runtime
-    # size) the de-dup per (trend, url) and the rank per trend reuse this partitioning
-    n = news.select("trend_id", "news_pos", F.col("url").alias("page_url")).repartition("trend_id")
+    # no repartition by trend here: the de-dup below is a partial aggregate on
+    # (trend, url) and the rank gets a per-partition WindowGroupLimit, so a trend
+    # holding a large share of all images is spread and cut before it is shuffled
+    n = news.select("trend_id", "news_pos", F.col("url").alias("page_url"))
     return n.join(imgs, "page_url").select("trend_id", "news_pos", F.col("img_pos").cast("bigint"), F.col("img_url").alias("url"))
 
 
@@ -100,8 +101,8 @@ def page_videos(pages: DataFrame) -> DataFrame:
 def first_video(news: DataFrame, pages: DataFrame) -> DataFrame:
     """O-F17 + O-X19: the first video iframe of the first child page that has one."""
     v = page_videos(pages).withColumnRenamed("url", "page_url")
-    n = news.select("trend_id", "news_pos", F.col("url").alias("page_url")).repartition("trend_id")
-    j = n.join(v, "page_url")
+    n = news.select("trend_id", "news_pos", F.col("url").alias("page_url"))
+    j = n.join(v, "page_url")  # min_by below is a partial aggregate: skew-safe per trend
     return j.groupBy("trend_id").agg(
         F.min_by(F.col("src"), F.struct("news_pos", "vid_pos")).alias("src")
     ).select("trend_id", normalize_video_url(F.col("src")).alias("video_url"))
