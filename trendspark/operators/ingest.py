@@ -68,6 +68,13 @@ def tld_flagged(news: DataFrame, params: Params, key: str = "feed_pos") -> DataF
     return hit.select(key).distinct()
 
 
+def _too_long(df: DataFrame):
+    cond = F.char_length("title") > MAX_TITLE
+    if "link" in df.columns:
+        cond = cond | (F.char_length("link") > MAX_LINK)
+    return cond
+
+
 def item_status(items: DataFrame, news: DataFrame, stored_keys: DataFrame, params: Params) -> DataFrame:
     """Status per feed item in check order (traffic, date, TLD, stored, in-feed duplicate).
 
@@ -85,7 +92,7 @@ def item_status(items: DataFrame, news: DataFrame, stored_keys: DataFrame, param
         .when(F.col("_tld").isNotNull(), F.lit(FILTERED_TLD))
         .when(F.col("_stored").isNotNull(), F.lit(DUPLICATE_STORED))
         # the stored columns are bounded (title 255, link 2048): such rows would fail the insert
-        .when((F.char_length("title") > MAX_TITLE) | (F.char_length("link") > MAX_LINK), F.lit(TOO_LONG))
+        .when(_too_long(x), F.lit(TOO_LONG))
     )
     x = x.withColumn("_pre", pre).drop("_tld", "_stored")
     # conditional aggregate over the unfiltered frame: both branches share one
