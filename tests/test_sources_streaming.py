@@ -83,6 +83,13 @@ def test_publish_stream_is_retry_safe(spark):
     start_publish_stream(spark, f"{d}/landing", f"{d}/tables", vocab, users, q_publish.P, checkpoint=f"{d}/c2").awaitTermination()
     arts = spark.read.parquet(f"{d}/tables/articles")
     assert arts.count() == n1 and arts.select("trend_id").distinct().count() == n1
+    # published trends are processed now, with their node id and cost
+    from trendspark.operators.state import current_trends
+
+    cur = current_trends(spark.read.parquet(f"{d}/tables/trends"), spark.read.parquet(f"{d}/tables/trend_updates"))
+    done = cur.join(arts.select(F.col("trend_id").alias("id"), F.col("node_id").alias("n")), "id")
+    assert done.filter((F.col("processed") != 1) | (F.col("node_id") != F.col("n"))).count() == 0
+    assert done.count() == n1
 
 
 def test_too_long_and_scrape_audit(spark):

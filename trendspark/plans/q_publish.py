@@ -198,3 +198,17 @@ def q_audit_log(spark, sf):
     p = PB.priced(_parsed(spark, sf), model_prices(spark))
     u = PB.unmatched_tags(p, fixture(spark, sf, "fx_vocab"), P)
     return PB.audit_publish(p, u)
+
+
+@query("current_trends", _ART_CTE + """
+SELECT t.id, CASE WHEN a.trend_id IS NOT NULL THEN 1 ELSE t.processed END AS processed,
+  CASE WHEN a.trend_id IS NOT NULL THEN a.node_id ELSE t.node_id END AS node_id,
+  CASE WHEN a.trend_id IS NOT NULL THEN a.cost ELSE t.processing_cost END AS processing_cost
+FROM fx_trends t LEFT JOIN arts a ON a.trend_id = t.id""", fx=FXA)
+def q_current_trends(spark, sf):
+    """O-SNK4 through the append-only update log: stored trends + newest update per id."""
+    from trendspark.operators.state import current_trends, trend_updates
+
+    a = _articles(spark, sf).select(F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost"))
+    cur = current_trends(fixture(spark, sf, "fx_trends"), trend_updates(a, P.as_of_epoch))
+    return cur.select("id", "processed", "node_id", "processing_cost")

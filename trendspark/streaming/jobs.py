@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trendspark import schemas as S
 from trendspark.operators import ingest as I
 from trendspark.operators import publish as PB
+from trendspark.operators import state as ST
 from trendspark.params import Params
 from trendspark.sources import feed as FEED
 from trendspark.sources.dimensions import model_prices
@@ -83,14 +84,19 @@ def publish_batch(spark: SparkSession, answers: DataFrame, tables: str, vocab: D
                   params: Params) -> int:
     """Articles for new answers of pending trends; trends already published are skipped
     (O-T4). Intermediate results are checkpointed before writing, so the guard does
-    not see this batch's own articles and a recomputation cannot change them."""
-    trends = _read_or_empty(spark, f"{tables}/trends", S.TRENDS)
+    not see this batch's own articles and a recomputation cannot change them. The
+    published trends are marked processed through the append-only update log."""
+    stored = _read_or_empty(spark, f"{tables}/trends", S.TRENDS)
+    updates = _read_or_empty(spark, f"{tables}/trend_updates", ST.UPDATES)
+    trends = ST.current_trends(stored, updates)
     existing = _read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT)
     out = PB.publish_articles(answers, trends, vocab, users, model_prices(spark), params, existing=existing, materialize=True)
     arts = out["articles"]
     n = arts.count()
     if n:
         arts.write.mode("append").parquet(f"{tables}/articles")
+        done = arts.select(F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost"))
+        ST.trend_updates(done, params.as_of_epoch).write.mode("append").parquet(f"{tables}/trend_updates")
     out["audit"].write.mode("append").parquet(f"{tables}/audit")
     return n
 
