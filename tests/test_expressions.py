@@ -111,3 +111,10 @@ def test_fill_template(spark):
 
 def test_accent_map_is_rule_built():
     assert len(T.ACCENT_FROM) == len(T.ACCENT_TO) and "é" in T.ACCENT_FROM
+
+
+def test_numeric_entities(spark):
+    from trendspark.functions.text import decode_entities
+
+    vals = ["&#39;x", "&#x41;&#233;&#x1F600;", "&#0; &#xD800;", "&amp;#39;", "&#8217;&#8217;"]
+    assert _eval(spark, decode_entities, vals) == ["'x", "Aé😀", "&#0; &#xD800;", "&#39;", "’’"]

@@ -22,7 +22,7 @@ WS_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 # Named entities decoded by html_to_text (the ones pages use plus the
 # HTML special characters); '&amp;' is decoded last so '&amp;lt;' stays '&lt;'.
 ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&apos;", "'"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
     ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&laquo;", "«"),
     ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
@@ -74,10 +74,52 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]*>", "")
 
 
+NUMERIC_ENTITY = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def code_point_text(cp: Column) -> Column:
+    """One Unicode code point as a string: UTF-8 bytes by integer arithmetic, then decoded."""
+    def byte(v: Column) -> Column:
+        return F.lpad(F.hex(v), 2, "0")
+
+    def cont(shift: int) -> Column:
+        return byte(F.shiftright(cp, shift).bitwiseAND(0x3F).bitwiseOR(0x80))
+
+    hexs = (
+        F.when(cp < 0x80, byte(cp))
+        .when(cp < 0x800, F.concat(byte(F.shiftright(cp, 6).bitwiseOR(0xC0)), cont(0)))
+        .when(cp < 0x10000, F.concat(byte(F.shiftright(cp, 12).bitwiseOR(0xE0)), cont(6), cont(0)))
+        .otherwise(F.concat(byte(F.shiftright(cp, 18).bitwiseOR(0xF0)), cont(12), cont(6), cont(0)))
+    )
+    return F.decode(F.unhex(hexs), "UTF-8")
+
+
+def _entity_code_point(e: Column) -> Column:
+    dec = F.regexp_extract(e, r"^&#([0-9]+);$", 1)
+    hx = F.regexp_extract(e, r"^&#[xX]([0-9a-fA-F]+);$", 1)
+    return F.when(dec != "", dec.try_cast("int")).otherwise(F.conv(hx, 16, 10).try_cast("int"))
+
+
+def decode_numeric_entities(c: Column) -> Column:
+    """``&#NNN;`` / ``&#xHH;`` -> the character; NUL, surrogates and values past
+    U+10FFFF stay as written. One pass over the distinct entities of the text."""
+    ents = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMERIC_ENTITY), 0))
+
+    def step(acc: Column, e: Column) -> Column:
+        cp = _entity_code_point(e)
+        ok = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+        return F.when(ok, F.replace(acc, e, code_point_text(cp))).otherwise(acc)
+
+    return F.aggregate(ents, c, step)
+
+
 def decode_entities(c: Column) -> Column:
-    for ent, ch in ENTITIES:
+    """Named entities, then numeric ones, ``&amp;`` last (so ``&amp;#39;`` stays ``&#39;``)."""
+    for ent, ch in ENTITIES[:-1]:
         c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    c = decode_numeric_entities(c)
+    ent, ch = ENTITIES[-1]
+    return F.replace(c, F.lit(ent), F.lit(ch))
 
 
 def html_to_text(c: Column) -> Column:

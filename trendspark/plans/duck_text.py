@@ -29,9 +29,16 @@ def strip_tags(x: str) -> str:
 
 
 def decode(x: str) -> str:
-    for ent, ch in T.ENTITIES:
+    for ent, ch in T.ENTITIES[:-1]:
         x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    cp = ("(CASE WHEN regexp_matches(e, '^&#[0-9]+;$') THEN try_cast(regexp_extract(e, '^&#([0-9]+);$', 1) AS integer) "
+          "ELSE try_cast(('0x' || regexp_extract(e, '^&#[xX]([0-9a-fA-F]+);$', 1)) AS integer) END)")
+    step = (f"CASE WHEN {cp} > 0 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
+            f"THEN replace(acc, e, chr({cp})) ELSE acc END")
+    ents = f"list_distinct(regexp_extract_all({x}, '&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});', 0))"
+    x = f"list_reduce({ents}, lambda acc, e: {step}, {x})"
+    ent, ch = T.ENTITIES[-1]
+    return f"replace({x}, {q(ent)}, {q(ch)})"
 
 
 def html_to_text(x: str) -> str:
