@@ -38,3 +38,16 @@ def test_publish_twice_adds_nothing(spark):
     calls = PB.latest_answer(fixture(spark, SF_SMALL, "fx_ai_calls"))
     first = calls.select("trend_id")
     assert PB.new_only(calls, first).count() == 0
+
+
+def test_current_trends_takes_newest_update(spark):
+    from decimal import Decimal
+
+    from trendspark.operators.state import UPDATES, current_trends
+    from trendspark import schemas as S
+
+    t = spark.createDataFrame([(1, "a", 5, None, "l", None, None, 0, None, 10, None), (2, "b", 5, None, "l", None, None, 0, None, 10, None)],
+                              S.TRENDS)
+    u = spark.createDataFrame([(1, 1, 100, Decimal("0.1"), 20), (1, 1, 101, Decimal("0.2"), 30)], UPDATES)
+    got = {r.id: (r.processed, r.node_id, r.processing_cost) for r in current_trends(t, u).collect()}
+    assert got == {1: (1, 101, Decimal("0.200000")), 2: (0, None, None)}
