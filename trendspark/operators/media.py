@@ -192,11 +192,15 @@ def name_collisions(manifest: DataFrame) -> DataFrame:
 
 
 def extract_media(news: DataFrame, pages: DataFrame, image_meta: DataFrame, url_status: DataFrame,
-                  trends: DataFrame) -> dict[str, DataFrame]:
-    """O-P4 composite."""
+                  trends: DataFrame, materialize: bool = False) -> dict[str, DataFrame]:
+    """O-P4 composite. The kept images feed the file list, the fallback test and the
+    counts with different columns; with ``materialize`` they and the videos are
+    computed once and checkpointed (spark.checkpoint.dir)."""
     imgs = image_dedupe(page_images(news, pages))
     top = top_images(image_dims_lookup(imgs, image_meta))
     videos = first_video(news, pages)
+    if materialize:
+        top, videos = top.checkpoint(eager=True), videos.checkpoint(eager=True)
     thumbs = video_thumbnail(videos, url_status)
     files = media_files(top, thumbs, trends)
     return {"images": top, "videos": thumbs, "files": files, "counts": media_counts(files, videos)}
