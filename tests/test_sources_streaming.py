@@ -108,3 +108,40 @@ def test_too_long_and_scrape_audit(spark):
     pages = spark.createDataFrame([(0, "https://a/x", "<html><body></body></html>")], "page_id long, url string, html string")
     got = {(r.key, r.reason) for r in scrape_audit(news, pages).collect()}
     assert got == {("1:0", "no_content"), ("1:1", "scrape_failed")}
+
+
+def _png(width, height):
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        body = kind + data
+        return struct.pack(">I", len(data)) + body + struct.pack(">I", zlib.crc32(body) & 0xFFFFFFFF)
+
+    raw = b"".join(b"\x00" + b"\x80\x40\x20" * width for _ in range(height))
+    ihdr = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", ihdr) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_image_dims_from_landed_files(spark):
+    from trendspark.sources.feed import read_images
+
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    with open(os.path.join(d, "a.png"), "wb") as f:
+        f.write(_png(4, 3))
+    with open(os.path.join(d, "broken.png"), "wb") as f:
+        f.write(b"not an image")
+    got = {os.path.basename(r.url): (r.width, r.height) for r in read_images(spark, d).collect()}
+    assert got == {"a.png": (4, 3), "broken.png": (0, 0)}
+
+
+def test_published_cost_projection(spark):
+    from decimal import Decimal
+
+    from trendspark.operators.costs import published_projection
+    from trendspark.sources.dimensions import cost_ranges
+
+    rows = {(r.model, r.per_day): (r.min_day, r.max_day) for r in published_projection(cost_ranges(spark)).collect()}
+    assert rows[("GPT-4o Mini", 120)] == (Decimal("0.3600"), Decimal("1.2000"))
+    assert rows[("Claude 3 Opus", 240)] == (Decimal("48.0000"), Decimal("240.0000"))
+    assert len(rows) == 24

@@ -59,16 +59,3 @@ def enabled_gate(df: DataFrame, params: Params, scheduled: bool = False) -> Data
     """O-F16: no rows unless importing is enabled (and cron, for scheduled runs)."""
     on = params.import_enabled and (params.cron_enabled or not scheduled)
     return df if on else df.limit(0)
-
-
-def checkpoint_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing to the shared folder named in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        return df.checkpoint(eager=True)
-    path = f"{d.rstrip('/')}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-

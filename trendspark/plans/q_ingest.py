@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trendspark.fixtures import fixture
 from trendspark.functions import migrate_traffic, parse_pub_date, parse_traffic, url_host
@@ -182,5 +181,3 @@ def q_migrate_traffic(spark, sf):
     f = fixture(spark, sf, "fx_feed_items")
     return f.select("feed_pos", "approx_traffic", migrate_traffic(F.col("approx_traffic")).alias("traffic"))
 
-
-_ = Window

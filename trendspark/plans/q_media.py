@@ -227,3 +227,17 @@ def q_media_manifest(spark, sf):
 def q_slugify(spark, sf):
     from trendspark.fixtures import table
     return table(spark, sf, "documents").select("doc_id", slugify(F.col("text")).alias("slug"))
+
+
+@query("name_collisions", CTE.rstrip() + f""",
+ti AS (SELECT id AS trend_id, {duck_slug('title')} AS slug FROM pend),
+fn AS (SELECT f.trend_id, CASE WHEN f.kind = 'image' THEN CASE WHEN f.file_index = 0 THEN ti.slug || '.' || e.ext
+    ELSE ti.slug || '-' || cast(f.file_index AS varchar) || '.' || e.ext END
+    WHEN f.kind = 'fallback' THEN ti.slug || '.jpg' ELSE ti.slug || '-video-thumb.jpg' END AS filename
+  FROM files f JOIN ti ON ti.trend_id = f.trend_id,
+  LATERAL (SELECT CASE WHEN lower(regexp_extract(f.url, '(?i)\\.(jpe?g|png|gif|webp)$', 1)) IN ('', 'jpeg') THEN 'jpg'
+    ELSE lower(regexp_extract(f.url, '(?i)\\.(jpe?g|png|gif|webp)$', 1)) END AS ext) e)
+SELECT filename, count(DISTINCT trend_id) AS n_trends FROM fn GROUP BY filename HAVING count(DISTINCT trend_id) > 1""", fx=FX)
+def q_name_collisions(spark, sf):
+    """O-X17 check: file names that more than one trend would write (the reference overwrites)."""
+    return M.name_collisions(q_media_manifest(spark, sf))
