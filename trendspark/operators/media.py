@@ -136,21 +136,26 @@ def video_thumbnail(videos: DataFrame, url_status: DataFrame) -> DataFrame:
 def media_files(top: DataFrame, thumbs: DataFrame, trends: DataFrame) -> DataFrame:
     """O-U2 + O-U3: the ordered file list per trend: video thumbnail first, then the
     kept images; a trend with no kept image falls back to its feed picture.
-    Columns: trend_id, ord, kind, url, file_index, alt."""
-    imgs = top.select("trend_id", F.col("rank").alias("ord"), F.lit("image").alias("kind"), "url", "file_index",
-                      F.coalesce(F.col("alt"), F.lit("")).alias("alt") if "alt" in top.columns else F.lit("").alias("alt"))
-    t = trends.select(F.col("id").alias("trend_id"), "image_url")
+    Columns: trend_id, ord, kind, url, file_index, alt.
+
+    The fallback test reads the kept images once: candidates (one per trend) are
+    unioned with the kept images (at most ten per trend) and a per-trend window
+    drops the candidate where an image exists — bounded rows per trend, no second
+    evaluation of the ranking."""
+    alt = F.coalesce(F.col("alt"), F.lit("")) if "alt" in top.columns else F.lit("")
+    imgs = top.select("trend_id", F.col("rank").alias("ord"), F.lit("image").alias("kind"), "url", "file_index", alt.alias("alt"))
     fb = (
-        t.join(top.select("trend_id").distinct(), "trend_id", "left_anti")
-        .filter(F.col("image_url").isNotNull() & ~F.col("image_url").isin("", "0"))
-        .select("trend_id", F.lit(1).cast("bigint").alias("ord"), F.lit("fallback").alias("kind"), F.col("image_url").alias("url"),
-                F.lit(None).cast("bigint").alias("file_index"), F.lit("").alias("alt"))
+        trends.filter(F.col("image_url").isNotNull() & ~F.col("image_url").isin("", "0"))
+        .select(F.col("id").alias("trend_id"), F.lit(1).cast("bigint").alias("ord"), F.lit("fallback").alias("kind"),
+                F.col("image_url").alias("url"), F.lit(None).cast("bigint").alias("file_index"), F.lit("").alias("alt"))
     )
+    has_img = F.max(F.when(F.col("kind") == "image", 1).otherwise(0)).over(Window.partitionBy("trend_id"))
+    both = imgs.unionByName(fb).withColumn("_img", has_img).filter((F.col("kind") == "image") | (F.col("_img") == 0)).drop("_img")
     th = thumbs.filter(F.col("thumbnail_url").isNotNull()).select(
         "trend_id", F.lit(0).cast("bigint").alias("ord"), F.lit("video_thumb").alias("kind"), F.col("thumbnail_url").alias("url"),
         F.lit(None).cast("bigint").alias("file_index"), F.lit("").alias("alt"),
     )
-    return imgs.unionByName(fb).unionByName(th)
+    return both.unionByName(th)
 
 
 def media_counts(files: DataFrame, videos: DataFrame) -> DataFrame:
