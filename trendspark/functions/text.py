@@ -168,9 +168,13 @@ def main_content(html: Column) -> Column:
     marked = F.regexp_replace(_drop_boilerplate(body), rf"(?i)</?(?:{tags})\b[^>]*>", BLOCK_MARK)
     blocks = F.split(marked, BLOCK_MARK, -1)
 
+    def measure(x: Column) -> Column:
+        # block lengths are measured on stripped, collapsed text (entities undecoded): cheap per block
+        return F.char_length(collapse_ws(php_trim(strip_tags(x))))
+
     def keep(b: Column) -> Column:
-        text_len = F.char_length(html_to_text(b))
-        link_len = F.char_length(html_to_text(F.array_join(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), "")))
+        text_len = measure(b)
+        link_len = measure(F.array_join(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), ""))
         return (text_len >= MIN_BLOCK_CHARS) & (link_len < text_len * MAX_LINK_SHARE)
 
     return F.array_join(F.filter(blocks, keep), "\n")

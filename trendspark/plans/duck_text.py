@@ -62,9 +62,9 @@ def main_content(h: str) -> str:
     x = f"regexp_replace({x}, '(?is)<div\\b[^>]*class=\"(?:[^\"]*[ ])?(?:{words})(?:[ ][^\"]*)?\"[^>]*>.*?</div[ \\t\\n\\r\\f]*>', '', 'g')"
     tags = "|".join(T.BLOCK_TAGS)
     x = f"regexp_replace({x}, '(?i)</?(?:{tags})\\b[^>]*>', chr(1), 'g')"
-    tl = f"length({html_to_text('b')})"
+    tl = f"length(regexp_replace({php_trim(strip_tags('b'))}, {WS}, ' ', 'g'))"
     links = "array_to_string(regexp_extract_all(b, '(?is)<a\\b[^>]*>(.*?)</a>', 1), '')"
-    ll = f"length({html_to_text(links)})"
+    ll = f"length(regexp_replace({php_trim(strip_tags(links))}, {WS}, ' ', 'g'))"
     keep = f"{tl} >= {T.MIN_BLOCK_CHARS} AND {ll} < {tl} * {T.MAX_LINK_SHARE}"
     return f"array_to_string(list_filter(string_split({x}, chr(1)), lambda b: {keep}), chr(10))"
 
