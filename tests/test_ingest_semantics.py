@@ -52,23 +52,26 @@ def brute_force(items, news, stored, min_traffic, cap, tlds):
     return status, accepted
 
 
-def make_feed(seed, n=150):
+def make_feed(seed, n=150, hot=False):
     r = random.Random(seed)
     items, news = [], {}
     for pos in range(n):
         title = f"t{r.randrange(12)}"
         pub = None if r.random() < 0.08 else dt.datetime(2025, 1, 1 + r.randrange(4))
+        if hot and r.random() < 0.34:  # one key holds about a third of the feed
+            title, pub = "hot", dt.datetime(2025, 1, 1)
         items.append((pos * 3 + 1, title, r.randrange(0, 400), pub))
         news[pos * 3 + 1] = [r.choice(["", "nohost/x"] + [f"https://{h}/p" for h in HOSTS]) for _ in range(r.randrange(0, 4))]
     stored = {(f"t{r.randrange(12)}", dt.datetime(2025, 1, 1 + r.randrange(4))) for _ in range(6)}
     return items, news, stored
 
 
-@pytest.mark.parametrize("seed,min_traffic,cap,tlds", [
-    (1, 100, 5, "ru"), (2, None, 5, ""), (3, 0, 3, "co.uk, RU"), (4, 250, 50, "org"), (5, 50, 1000, "ru,com"),
+@pytest.mark.parametrize("seed,min_traffic,cap,tlds,hot", [
+    (1, 100, 5, "ru", False), (2, None, 5, "", False), (3, 0, 3, "co.uk, RU", False), (4, 250, 50, "org", False),
+    (5, 50, 1000, "ru,com", False), (6, 100, 1000, "ru", True), (7, None, 4, "org", True),
 ])
-def test_status_cap_counters_match_loop(spark, seed, min_traffic, cap, tlds):
-    items, news, stored = make_feed(seed)
+def test_status_cap_counters_match_loop(spark, seed, min_traffic, cap, tlds, hot):
+    items, news, stored = make_feed(seed, hot=hot)
     p = Params(min_traffic=min_traffic, max_trends=cap, filtered_tlds=tlds)
     idf = spark.createDataFrame(items, "feed_pos long, title string, traffic long, pub_date timestamp")
     ndf = spark.createDataFrame([(k, u) for k, us in news.items() for u in us], "feed_pos long, url string")
