@@ -17,7 +17,8 @@ from trendspark.functions import fill_template, main_content, scraped_piece
 from trendspark.functions.text import php_trim
 from trendspark.params import NO_TAGS_TEXT, TEXT_PIECE_SEPARATOR, Params
 
-# Fixed value: the default prompt template shipped with the reference configuration.
+# Default prompt template (a job parameter; any template with three %s slots works). The
+# separator lines in it are the fixed values the answer parser relies on.
 DEFAULT_PROMPT = resources.files("trendspark.resources").joinpath("default_prompt.txt").read_text(encoding="utf-8")
 
 
