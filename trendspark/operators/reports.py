@@ -168,3 +168,15 @@ def listing(trends: DataFrame, articles: DataFrame, filters: Sequence[Column] =
             order: str | None = None, page: int = 0) -> DataFrame:
     """O-P7 composite: processed trends + article title, filters, sort, one formatted page."""
     return listing_format(listing_page(listing_rows(trends, articles, filters), page, sort, order))
+
+
+def recent_trends_display(trends: DataFrame, n: int = DASHBOARD_TOP_N) -> DataFrame:
+    """O-X23 (dashboard): the recent list as shown — traffic ``1,234K+``, import time
+    ``Y-m-d H:i``, Yes/No, cost ``$`` + 4 decimals with only NULL shown as ``N/A``."""
+    r = recent_trends(trends, n)
+    return r.select(
+        "id", "title", traffic_text(F.col("traffic")).alias("traffic_text"),
+        date_text(F.timestamp_seconds(F.col("imported_at"))).alias("imported_text"),
+        yes_no(F.col("processed")).alias("processed_text"),
+        money_text(F.col("processing_cost"), zero_is_na=False).alias("cost_text"), "node_id",
+    )

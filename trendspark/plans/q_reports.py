@@ -143,3 +143,14 @@ def q_argument(spark, sf):
 @query("report_format", f"SELECT {SQL_FORMAT} FROM ({SQL_LISTING_ROWS})", fx=FXL)
 def q_report_format(spark, sf):
     return R.listing_format(_rows(spark, sf))
+
+
+@query("dashboard_format", """
+SELECT id, title, concat(format('{:,}', traffic), 'K+') AS traffic_text,
+  strftime(make_timestamp(imported_at * 1000000), '%Y-%m-%d %H:%M') AS imported_text,
+  CASE WHEN processed = 1 THEN 'Yes' ELSE 'No' END AS processed_text,
+  CASE WHEN processing_cost IS NULL THEN 'N/A' ELSE concat('$', cast(cast(processing_cost AS decimal(10,4)) AS varchar)) END AS cost_text,
+  node_id
+FROM (SELECT * FROM fx_trends ORDER BY id DESC LIMIT 5)""", fx=FX)
+def q_dashboard_format(spark, sf):
+    return R.recent_trends_display(fixture(spark, sf, "fx_trends"))
