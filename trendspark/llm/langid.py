@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ORDERS = (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -144,7 +145,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out_lang: str = "
             batch: int = 128) -> DataFrame:
     """``docs`` plus the predicted language and a score from 0 to 1 (0.5: on the decision border)."""
     cols = docs.columns
-    schema = docs.schema.add(out_lang, "string").add(out_score, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_lang, T.StringType()), T.StructField(out_score, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -30,7 +30,6 @@ DOMAINS = {"web": [f"src{i}" for i in range(0, 10)], "books": [f"src{i}" for i i
            "reference": [f"src{i}" for i in range(15, 20)]}
 WEIGHTS = {"domain": {"web": 0.55, "books": 0.25, "reference": 0.15, "other": 0.05},
            "language": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "source": {}}
-_INTERNAL = ("domain", "_m_lang", "_m_src", "_m_tok", "_m_h", "_m_key")
 
 
 def _choose(pairs: dict, col: Column, default) -> Column:
@@ -77,6 +76,7 @@ def mix(docs: DataFrame, fraction: float = 0.8, max_epochs: int = 2, seed: int =
 
     The total budget is ``fraction`` of all tokens.
     """
+    docs = docs.drop("mix_domain", "mix_tokens", "mix_copies")
     n_tok = F.col(tokens).cast("long") if tokens else word_count(F.col(text))
     src, lng = F.coalesce(F.col(source).cast("string"), F.lit("unknown")), F.coalesce(F.col(lang).cast("string"), F.lit("unknown"))
     dom = F.lit("other")
