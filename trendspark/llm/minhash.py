@@ -1 +1,218 @@
-"""to come"""
+"""MinHash near-dedup (operator 6): DartMinHash.
+
+A text is a weighted set: its five-word shingles, weighted by how often each stands in it (a shorter
+text is one shingle). Each unit of weight of each element owns a strip of the plane (rank axis); a
+hash of (element, unit, level) says how many darts fall into the strip's level of ranks and, for each
+dart, its coordinate and rank. A signature keeps for each of ``coords`` coordinates the dart of the
+least rank. Levels double in width, and a text opens only as many as its total weight asks for (about
+log(coords) / weight, then further ones while a coordinate is empty), so a signature costs about
+coords * log(coords) darts whatever the weights. Two signatures agree at a coordinate with probability
+equal to the weighted Jaccard similarity.
+
+``rows`` coordinates are a band; texts with an equal band are candidates (24 bands of 4: a pair at 0.8
+is missed with probability 3e-6). Texts with equal shingle sets are one class first. A bucket is
+first compared with its best-connected member only; buckets whose members are still in different
+components are then compared further: small ones in all pairs that cross components, larger ones
+with further centres first and then also in all pairs that cross components. No pair inside one
+component need be looked at, and none that crosses is left out. Every compared pair is
+verified by its exact weighted Jaccard similarity.
+
+Null or empty texts and texts without words have no shingle: a class of their own, kept. Repeated
+rows (equal ids) are one document in the answer, with the smallest class of their texts. Null ids
+are left out. Empty table: empty. Extra columns are not read.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trendspark.llm.common import components, mix, powers, prefix_hash, small, table, word_spans
+
+SHINGLE = 5
+BASE_LEVEL = 2.0 ** -12
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_CDF: dict[float, np.ndarray] = {}
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in ascending order, and how often each stands in the text."""
+    b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
+    s, e = word_spans(b)
+    if not len(s):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = prefix_hash(b)
+    w = mix((h[e] - h[s]) * powers(len(b) + 1)[1][s] + (e - s).astype(np.uint64))
+    n = max(1, len(w) - SHINGLE + 1)
+    x = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(w))):
+        x = mix(x * _ODD + w[k: k + n])
+    return np.unique(x, return_counts=True)
+
+
+def _poisson(mean: float) -> np.ndarray:
+    """Distribution function of the Poisson law with this mean, up to where it is 1."""
+    if mean not in _CDF:
+        k = np.arange(1, int(mean + 12 * np.sqrt(mean) + 24))
+        _CDF[mean] = np.cumsum(np.exp(np.r_[0.0, np.cumsum(np.log(mean / k))] - mean))
+    return _CDF[mean]
+
+
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coords: int) -> np.ndarray:
+    """Dart ids, sets x coords. Sets must not be empty."""
+    reps = [np.repeat(e, c) if c.max() > 1 else e for e, c in sets]
+    copy = [np.arange(len(r)) - np.searchsorted(r, r) if len(r) > len(e) else np.zeros(len(r), np.int64) for r, (e, _) in zip(reps, sets)]
+    doc = np.repeat(np.arange(len(sets)), [len(r) for r in reps])
+    strip = mix(np.concatenate(reps) + np.concatenate(copy).astype(np.uint64) * _ODD)
+    weight = np.bincount(doc, minlength=len(sets))
+    need = np.ceil(np.log2(np.maximum((np.log(coords) + 2) / weight / BASE_LEVEL, 1))).astype(int) + 1
+    out = np.zeros(len(sets) * coords, np.uint64)
+    hit = np.zeros(len(sets) * coords, bool)
+    level = 0
+    while True:
+        if level:
+            full = hit.reshape(len(sets), coords).all(1)
+            need = np.where(full, np.minimum(need, level), np.maximum(need, level + 1))
+            on = need[doc] > level
+            doc, strip = doc[on], strip[on]
+            if not len(doc):
+                return out.reshape(len(sets), coords)
+        width = BASE_LEVEL * (1 if level == 0 else 2.0 ** (level - 1))
+        h = mix(strip + np.uint64((level + 1) * 0xD1B54A32D192ED03 % 2**64))
+        n = np.searchsorted(_poisson(coords * width), (h >> np.uint64(11)) * 2.0 ** -53, "right")
+        at = np.flatnonzero(n)
+        if len(at):
+            k = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
+            dart = mix(np.repeat(h[at], n[at]) + (k + 1).astype(np.uint64) * _ODD)
+            cell = np.repeat(doc[at], n[at]) * coords + ((dart >> np.uint64(32)) % np.uint64(coords)).astype(np.int64)
+            free = ~hit[cell]
+            dart, cell = dart[free], cell[free]
+            order = np.argsort(mix(dart))[::-1]  # the rank inside the level; the least is written last
+            out[cell[order]] = dart[order]
+            hit[cell] = True
+        level += 1
+
+
+def bands(sig: np.ndarray, rows: int) -> np.ndarray:
+    n = sig.shape[1] // rows
+    x = np.zeros((len(sig), n), np.uint64)
+    for k in range(rows):
+        x = mix(x * _ODD + sig[:, k::rows][:, :n])
+    return mix(x + np.arange(n, dtype=np.uint64) * _ODD).view(np.int64)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sets of :func:`shingles`."""
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    same = b[0][at] == a[0]
+    both = np.minimum(a[1][same], b[1][at[same]]).sum()
+    return both / (a[1].sum() + b[1].sum() - both)
+
+
+def _pack(s: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, bytes]:
+    return s[0].tobytes(), s[1].astype("<i4").tobytes() if s[1].max() > 1 else b""
+
+
+def _unpack(e: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    e = np.frombuffer(e, np.uint64)
+    return e, np.frombuffer(c, "<i4").astype(np.int64) if c else np.ones(len(e), np.int64)
+
+
+def sign(docs: DataFrame, coords: int, rows: int) -> DataFrame:
+    """(id, digest of the shingle set, bands) of every text with a word."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 128):
+                part = pdf.iloc[lo: lo + 128]
+                sets = [shingles(t) for t in part["t"]]
+                have = [i for i, s in enumerate(sets) if len(s[0])]
+                if have:
+                    b = bands(signatures([sets[i] for i in have], coords), rows)
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[have], "bands": list(b),
+                                        "digest": [hashlib.blake2b(b"|".join(_pack(sets[i])), digest_size=16).digest() for i in have]})
+
+    return docs.mapInPandas(run, "id long, bands array<long>, digest binary")
+
+
+def near_documents(docs: DataFrame, threshold: float = 0.8, coords: int = 96, rows: int = 4, small_bucket: int = 32,
+                   centres: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per id: ``class_id`` (smallest id of its class) and ``kept``."""
+    d = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    signed = table(sign(d, coords, rows), "signatures")
+    one = table(signed.groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("m")).select("digest", F.col("m.id").alias("rep"), "m.bands"), "classes")
+    buckets = one.select("rep", F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = table(buckets.join(shared, "band"), "buckets")
+    degree = buckets.groupBy("rep").agg(F.sum("n").alias("degree"))
+    buckets = table(buckets.join(degree, "rep"), "buckets")
+    pairs = _star(buckets, F.struct(F.col("degree"), (-F.col("rep")).alias("r")), lambda x: -x["r"])
+    weights = _elements(d, buckets)
+    edges = table(_verify(pairs, weights, threshold), "edges")
+    done = pairs
+    comp = components(edges)
+    for k in range(centres + 1):
+        live = buckets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = live.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("n").alias("size")).where("a <> b")
+        live = table(live.join(mixed.select("band"), "band", "left_semi"), "open")
+        if live.limit(1).count() == 0:
+            break
+        few = live if k == centres else live.where(F.col("n") <= small_bucket)
+        x, y = few.select("band", F.col("rep").alias("a"), F.col("component").alias("ca")), few.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
+        pairs = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct()
+        if k < centres:
+            many = live.where(F.col("n") > small_bucket)
+            pairs = pairs.union(_star(many, F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep"), lambda x: x["rep"])).distinct()
+        pairs = table(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        new = table(_verify(pairs, weights, threshold), "edges")
+        done = done.union(pairs)
+        if new.limit(1).count():
+            edges = edges.union(new)
+            comp = components(edges)
+        elif k >= 1 and pairs.limit(1).count() == 0 and many.limit(1).count() == 0:
+            break
+    own = signed.select("id", "digest").join(one.select("digest", "rep"), "digest")
+    own = own.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
+    own = own.groupBy("id").agg(F.min("c").alias("c"))
+    ids = d.select("id").distinct().join(own, "id", "left")
+    cls = F.coalesce("c", "id")
+    return ids.select(F.col("id").alias(key), cls.alias("class_id"), (F.col("id") == cls).alias("kept"))
+
+
+def _star(buckets: DataFrame, order, centre) -> DataFrame:
+    """Pairs (a < b) of each bucket's centre, the member greatest by ``order``, with its other members."""
+    top = buckets.groupBy("band").agg(F.max(order).alias("x")).select("band", centre(F.col("x")).alias("c"))
+    d = buckets.join(top, "band").where("rep <> c")
+    return table(d.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), "pairs")
+
+
+def _elements(d: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Shingle sets of the texts that share a bucket."""
+    ids = table(buckets.select(F.col("rep").alias("id")).distinct(), "candidates")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):
+                part = pdf.iloc[lo: lo + 256]
+                packed = [_pack(shingles(t)) for t in part["t"]]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "e": [p[0] for p in packed], "c": [p[1] for p in packed]})
+
+    return table(d.join(small(ids, ids.count()), "id", "left_semi").where(F.col("t").rlike("[^ \\t-\\r]")).mapInPandas(run, "id long, e binary, c binary"), "shingles")
+
+
+def _verify(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose weighted Jaccard similarity reaches the threshold."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = [similarity(_unpack(ea, ca), _unpack(eb, cb)) >= threshold - 1e-12
+                  for ea, ca, eb, cb in zip(pdf["ea"], pdf["ca"], pdf["eb"], pdf["cb"])]
+            yield pdf.loc[ok, ["a", "b"]]
+
+    left = weights.select(F.col("id").alias("a"), F.col("e").alias("ea"), F.col("c").alias("ca"))
+    right = weights.select(F.col("id").alias("b"), F.col("e").alias("eb"), F.col("c").alias("cb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "ca", "eb", "cb").mapInPandas(run, "a long, b long")
