@@ -17,20 +17,20 @@ def _op3() -> str:
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}+') AS w,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{word}')) AS l FROM t),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM t),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 gaps AS (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS n FROM twice),
 rep AS (SELECT doc_id, sum(n)::BIGINT AS n FROM gaps GROUP BY doc_id),
-c AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+c AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-             len(list_filter(w, x -> lower(x) IN ({stop}))) AS n_stop_words,
-             len(list_filter(w, x -> regexp_matches(x, '\\p{{L}}'))) AS n_letter_words,
+             len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop_words,
+             len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letter_words,
              length(t) - length(replace(t, '!', '')) AS n_bangs,
-             len(list_filter(range(2, len(w) + 1), i -> w[i] = w[i - 1])) AS n_neighbour_repeats, len(l) AS n_lines,
-             len(list_filter(l, x -> ltrim(x)[1] IN ('-', '*', '•'))) AS n_bullet_lines,
-             len(list_filter(l, x -> rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) AS n_ellipsis_lines
+             len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_neighbour_repeats, len(l) AS n_lines,
+             len(list_filter(l, lambda x: ltrim(x)[1] IN ('-', '*', '•'))) AS n_bullet_lines,
+             len(list_filter(l, lambda x: rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) AS n_ellipsis_lines
       FROM w LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {' OR '.join(fails)} AS failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT failed AS kept FROM b
@@ -38,7 +38,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 _OP2 = """
-WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings),
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
       WHERE list_dot_product(a.v, b.v) >= 0.95 * a.n * b.n AND a.n > 0 AND b.n > 0),
