@@ -15,17 +15,24 @@ import re
 import numpy as np
 
 _CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?=\s)|\A\s|\s\Z")
-MAX_UNITS = 400_000
+#: white space as str.isspace() has it; a blank before one of these needs the slower cut
+_BLANKS = [" " + chr(c) for c in range(128) if chr(c).isspace()]
+_WIDE = [" " + chr(c) for c in range(128, 0x3001) if chr(c).isspace()]
+MAX_UNITS = 1_000_000
 
 
 def units(text: str) -> list[str]:
     """The text cut at every blank before a non-blank; that blank is left out."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    odd = text.endswith(" ") or any(x in text for x in _BLANKS) or not text.isascii() and any(x in text for x in _WIDE)
+    return _CUT.split(text) if odd else text.split(" ")
 
 
 class ByteBpe:
-    """ids of whole texts by the tokenizers library (special strings as its default)."""
+    """ids of whole texts by the tokenizers library (special strings as its default).
+
+    New units go to the library in one text with blanks between them. The only blank of a unit is its
+    first character, so a token that begins with a blank is where the next unit begins.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,24 +40,55 @@ class ByteBpe:
 
         self.tk = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocab = self.tk.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocab.values()) + 1, bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # how the library writes a blank
+        self.special = [t.content for t in self.tk.get_added_tokens_decoder().values()]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _new(self, new: list[str]) -> None:
+        """Encode units, each with the blank before it."""
+        odd = [p for p in new if " " in p or any(x in p for x in self.special)]
+        if odd:
+            self.known.update(zip(odd, self._whole([" " + p for p in odd])))
+            gone = set(odd)
+            new = [p for p in new if p not in gone]
+        for lo in range(0, len(new), 4096):
+            some = new[lo: lo + 4096]
+            ids = np.array(self.tk.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), 4 * len(ids)]
+            raw = ids.tobytes()
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
+        if len(self.known) > MAX_UNITS:
+            self.known.clear()
+        known, get = self.known, self.known.get
         parts = [units(t) for t in texts]
-        known = self.known
-        new = list({p for ps in parts for p in ps[1:] if p not in known})
-        if len(known) + len(new) > MAX_UNITS:
-            known.clear()
-            new = list({p for ps in parts for p in ps[1:]})
-        for lo in range(0, len(new), 20_000):
-            chunk = new[lo: lo + 20_000]
-            known.update(zip(chunk, self._ids([" " + p for p in chunk])))
-        heads = self._ids([ps[0] for ps in parts])
-        get = known.__getitem__
-        return [h + b"".join(map(get, ps[1:])) for h, ps in zip(heads, parts)]
+        heads = self._whole([ps[0] for ps in parts])
+        found = []
+        for ps, h in zip(parts, heads):
+            ids = list(map(get, ps))
+            ids[0] = h
+            found.append(ids)
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
+        new = {ps[i] for ps, at in zip(parts, gaps) for i in at}
+        if new:
+            # letters and one full stop or comma: a piece boundary lies between them
+            ends = [p for p in new if p[-1] in ".," and p[:-1].isalpha()]
+            new.difference_update(ends)
+            new.update(q for p in ends if (q := p[:-1]) not in known)
+            self._new(list(new))
+            if ends:
+                stop = dict(zip(".,", self._whole([".", ","])))
+                known.update((p, known[p[:-1]] + stop[p[-1]]) for p in ends)
+            for ps, ids, at in zip(parts, found, gaps):
+                for i in at:
+                    ids[i] = known[ps[i]]
+        return [b"".join(ids) for ids in found]
 
 
 class PieceCounter:
@@ -76,9 +114,7 @@ class PieceCounter:
         if len(known) + len(new) > MAX_UNITS:
             known.clear()
             new = list({p for _, ps in plain for p in ps})
-        for lo in range(0, len(new), 20_000):
-            chunk = new[lo: lo + 20_000]
-            known.update(zip(chunk, map(len, self.sp.encode(chunk, num_threads=1))))
+        known.update(zip(new, map(len, self.sp.encode(new, num_threads=1))))
         get = known.__getitem__
         for i, ps in plain:
             out[i] = sum(map(get, ps))
