@@ -103,6 +103,7 @@ def within_one(a: list[str], b: list[str]) -> bool:
     return ra[1:] == rb[1:] or ra[1:] == rb or ra == rb[1:]
 
 
+_WHITE = " \t\n\x0b\x0c\r"
 _BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
@@ -145,11 +146,16 @@ def line_dedup(docs: DataFrame, min_words: int = 8, text: str = "text", key: str
                     exact.append(0)
                     continue
                 ls = t.split("\n")
-                full = [bool(_tokens(x)) for x in ls]
-                stay = set() if stay is None else set(stay)
-                texts.append("\n".join(x for i, x in enumerate(ls) if i in stay or not full[i]) if stay or not any(full) else "")
-                total.append(sum(full))
-                exact.append(sum(full) - len(stay) - nn)
+                stay = [] if stay is None else stay
+                blank = [i for i, x in enumerate(ls) if not x or not x.strip(_WHITE)]
+                total.append(len(ls) - len(blank))
+                exact.append(total[-1] - len(stay) - nn)
+                if len(stay) == total[-1]:
+                    texts.append(t)
+                elif not len(stay):
+                    texts.append("")
+                else:
+                    texts.append("\n".join([ls[i] for i in sorted([*stay, *blank])]))
             yield pdf.drop(columns=["_stay"]).assign(**{text: texts, "n_lines": total, "n_exact": exact})
 
     kept = kept.toDF("_kept_k", "_kept_h", "_stay", "_nn")

@@ -303,13 +303,14 @@ def _mixed(src: DataFrame, contexts: DataFrame, length: int, max_group: int) ->
                 b = np.frombuffer(b, np.uint8)
                 p, inv = prefix_hash(b), powers(len(b) + 1)[1]
                 i = np.arange(span + 1)
-                x = mix(mix((p[i + length] - p[i]) * inv[i]) + (off - i).astype(np.uint64) * _ODD)
+                x = mix(mix((p[i + length] - p[i]) * inv[i]) + (off - i).astype(np.uint64) * _ODD + np.uint64(a & (2**64 - 1)))
                 yield pd.DataFrame({"a": a, "c": c, "n": n, "i": i, "w": x.view(np.int64)})
 
     big = got.where(F.col("m") > max_group).mapInPandas(windows, "a long, c long, n long, i int, w long")
     big = table(big, "windows")
-    twice = big.groupBy("a", "w").agg(F.count("*").alias("d")).where("d > 1")
-    more = big.where("n = 1").join(twice, ["a", "w"], "left_semi").select("a", "c", F.col("i").alias("from"), F.col("i").alias("to"))
+    # the window's hash has the anchor in it, so a hot anchor's windows are spread
+    twice = big.groupBy("w").agg(F.count("*").alias("d")).where("d > 1")
+    more = big.where("n = 1").join(twice, "w", "left_semi").select("a", "c", F.col("i").alias("from"), F.col("i").alias("to"))
     return out.union(more)
 
 
