@@ -320,7 +320,7 @@ def test_near_documents(spark, docs, odd_docs, no_docs):
                 t[rng.randrange(len(t))] = rng.choice(words)
             rows.append((10_000 + 100 * g + k, " ".join(t)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for kw in ({}, {"small_bucket": 2}):
+    for kw in ({}, {"block": 4}):
         got = {r["doc_id"]: r["class_id"] for r in minhash.near_documents(df, **kw).collect()}
         assert got == brute_classes(rows)
     got = {r["doc_id"]: r["class_id"] for r in minhash.near_documents(odd_docs).collect()}

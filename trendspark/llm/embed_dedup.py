@@ -181,7 +181,7 @@ def _linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
     return mask
 
 
-def _forest(mask: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(mask: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The smallest id that each row and column reaches over the links of ``mask``."""
     la, lb = ids_a.copy(), ids_b.copy()
     top = np.iinfo(np.int64).max
@@ -220,6 +220,6 @@ def _masked(mask, ids_a, w_a, ids_b, w_b) -> pd.DataFrame:
     mask = mask[np.ix_(a, b)]
     if not len(a):
         return _rows(ids_a[:0], w_a[:0], ids_a[:0])
-    la, lb = _forest(mask, ids_a[a], ids_b[b])
+    la, lb = forest(mask, ids_a[a], ids_b[b])
     ids = np.concatenate([ids_a[a], ids_b[b]])
     return _rows(ids, np.concatenate([mask @ w_b[b], w_a[a] @ mask]), np.concatenate([la, lb]))

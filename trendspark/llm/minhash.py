@@ -11,11 +11,11 @@ equal to the weighted Jaccard similarity.
 
 ``rows`` coordinates are a band; texts with an equal band are candidates (24 bands of 4: a pair at 0.8
 is missed with probability 3e-6). Texts with equal shingle sets are one class first. A bucket is
-first compared with its best-connected member only; buckets whose members are still in different
-components are then compared further: small ones in all pairs that cross components, larger ones
-with further centres first and then also in all pairs that cross components. No pair inside one
-component need be looked at, and none that crosses is left out. Every compared pair is
-verified by its exact weighted Jaccard similarity.
+first compared with its best-connected member only. In a bucket whose members are then still in
+different components, the members outside its largest component are held in blocks of about ``block`` texts,
+and all its members stream past each block. So every pair that crosses components is compared, no pair
+is a row, and the rows sent are members times blocks. Every link is verified by the exact weighted
+Jaccard similarity; a block returns the edges of a spanning forest of its links.
 
 Null or empty texts and texts without words have no shingle: a class of their own, kept. Repeated
 rows (equal ids) are one document in the answer, with the smallest class of their texts. Null ids
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.llm.common import components, mix, powers, prefix_hash, small, table, word_spans
+from trendspark.llm.embed_dedup import forest
 
 SHINGLE = 5
 BASE_LEVEL = 2.0 ** -12
@@ -140,8 +141,7 @@ def sign(docs: DataFrame, coords: int, rows: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, bands array<long>, digest binary")
 
 
-def near_documents(docs: DataFrame, threshold: float = 0.8, coords: int = 96, rows: int = 4, small_bucket: int = 32,
-                   centres: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_documents(docs: DataFrame, threshold: float = 0.8, coords: int = 96, rows: int = 4, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per id: ``class_id`` (smallest id of its class) and ``kept``."""
     d = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     signed = table(sign(d, coords, rows), "signatures")
@@ -154,28 +154,13 @@ def near_documents(docs: DataFrame, threshold: float = 0.8, coords: int = 96, ro
     pairs = _star(buckets, F.struct(F.col("degree"), (-F.col("rep")).alias("r")), lambda x: -x["r"])
     weights = _elements(d, buckets)
     edges = table(_verify(pairs, weights, threshold), "edges")
-    done = pairs
     comp = components(edges)
-    for k in range(centres + 1):
-        live = buckets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = live.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max("n").alias("size")).where("a <> b")
-        live = table(live.join(mixed.select("band"), "band", "left_semi"), "open")
-        if live.limit(1).count() == 0:
-            break
-        few = live if k == centres else live.where(F.col("n") <= small_bucket)
-        x, y = few.select("band", F.col("rep").alias("a"), F.col("component").alias("ca")), few.select("band", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        pairs = x.join(y, "band").where("a < b and ca <> cb").select("a", "b").distinct()
-        if k < centres:
-            many = live.where(F.col("n") > small_bucket)
-            pairs = pairs.union(_star(many, F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep"), lambda x: x["rep"])).distinct()
-        pairs = table(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        new = table(_verify(pairs, weights, threshold), "edges")
-        done = done.union(pairs)
+    live = buckets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    held, members = _open_buckets(live, block)
+    if held.limit(1).count():
+        new = table(_compare(held, members, weights, threshold), "edges")
         if new.limit(1).count():
-            edges = edges.union(new)
-            comp = components(edges)
-        elif k >= 1 and pairs.limit(1).count() == 0 and many.limit(1).count() == 0:
-            break
+            comp = components(edges.union(new))
     own = signed.select("id", "digest").join(one.select("digest", "rep"), "digest")
     own = own.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("c"))
     own = own.groupBy("id").agg(F.min("c").alias("c"))
@@ -191,6 +176,83 @@ def _star(buckets: DataFrame, order, centre) -> DataFrame:
     return table(d.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct(), "pairs")
 
 
+def _open_buckets(live: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of buckets with several components (one of each distinct set of members): (band, block, id) of the
+    members outside the largest component, and (band, blocks, id) of all members."""
+    sizes = table(live.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("x"),
+                                                        F.min("rep").alias("lo")), "bucket-components")
+    per = sizes.groupBy("band").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.sum("c").alias("n"), F.max("c").alias("most"),
+                                    F.sum("x").alias("x"), F.min("lo").alias("lo"))
+    per = per.where("n > most").groupBy("n", "x", "lo").agg(F.min(F.struct("band", "main", "most")).alias("b"))
+    per = per.select("b.band", "b.main", F.ceil((F.col("n") - F.col("b.most")) / block).cast("int").alias("blocks"))
+    d = table(live.select("band", F.col("rep").alias("id"), "component").join(per, "band"), "open-buckets")
+    held = d.where("component <> main").select("band", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), "id")
+    return held, d.select("band", "blocks", "id")
+
+
+def _compare(held: DataFrame, members: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """Edges of spanning forests of the links between held texts and their buckets' members."""
+    guests = members.select("band", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(1).alias("visit"), "id")
+    both = held.select("band", "block", F.lit(0).alias("visit"), "id").union(guests)
+    both = both.join(weights, "id").select("band", "block", "visit", "id", "e", "c").repartition("band", "block")
+    both = both.sortWithinPartitions("band", "block", "visit", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, rows, index = None, [], None
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby(["band", "block"], sort=False):
+                if key != unit:
+                    unit, rows, index = key, [], None
+                own, other = part[part["visit"] == 0], part[part["visit"] == 1]
+                rows += list(zip(own["id"], own["e"], own["c"]))
+                if len(other):
+                    index = index or _Postings(rows)
+                    out += index.links(other, threshold)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return both.mapInPandas(run, "a long, b long")
+
+
+def _units(e: bytes, c: bytes) -> np.ndarray:
+    """A weighted set as a plain one: an element of weight w is w elements, ascending."""
+    x = np.frombuffer(e, np.uint64)
+    if not c:
+        return x
+    n = np.frombuffer(c, "<i4")
+    copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.sort(np.where(copy == 0, np.repeat(x, n), mix(np.repeat(x, n) + copy.astype(np.uint64) * _ODD)))
+
+
+class _Postings:
+    """Held texts by element, to count what a text shares with each of them."""
+
+    def __init__(self, rows: list[tuple]):
+        sets = [_units(e, c) for _, e, c in rows]
+        self.ids = np.array([i for i, _, _ in rows], np.int64)
+        self.size = np.array([len(s) for s in sets])
+        x = np.concatenate(sets)
+        order = np.argsort(x, kind="stable")
+        self.rows = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.elements, self.first = np.unique(x[order], return_index=True)
+        self.first = np.append(self.first, len(x))
+
+    def links(self, guests: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+        mask = np.zeros((len(self.ids), len(guests)), bool)
+        for k, (e, c) in enumerate(zip(guests["e"], guests["c"])):
+            x = _units(e, c)
+            at = np.searchsorted(self.elements, x)
+            at = at[(at < len(self.elements)) & (self.elements[np.minimum(at, len(self.elements) - 1)] == x)]
+            n = self.first[at + 1] - self.first[at]
+            where = np.arange(n.sum()) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
+            both = np.bincount(self.rows[where], minlength=len(self.ids))
+            mask[:, k] = both >= (threshold - 1e-12) * (self.size + len(x) - both)
+        ids = guests["id"].to_numpy()
+        la, lb = forest(mask, self.ids, ids)
+        pairs = {(int(a), int(b)) for i, r in ((self.ids, la), (ids, lb)) for a, b in zip(i, r) if a != b}
+        return sorted(pairs)
+
+
 def _elements(d: DataFrame, buckets: DataFrame) -> DataFrame:
     """Shingle sets of the texts that share a bucket."""
     ids = table(buckets.select(F.col("rep").alias("id")).distinct(), "candidates")
