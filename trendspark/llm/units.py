@@ -18,7 +18,7 @@ _CUT = re.compile(r" (?=\S)")
 #: white space as str.isspace() has it; a blank before one of these needs the slower cut
 _BLANKS = [" " + chr(c) for c in range(128) if chr(c).isspace()]
 _WIDE = [" " + chr(c) for c in range(128, 0x3001) if chr(c).isspace()]
-MAX_UNITS = 1_000_000
+MAX_UNITS = 400_000
 
 
 def units(text: str) -> list[str]:
