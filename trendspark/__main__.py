@@ -56,8 +56,12 @@ def cmd_fetch(spark, a):
     from trendspark.streaming.jobs import start_feed_stream
 
     ckpt = a.checkpoint or f"{a.tables}/_checkpoints/feed"
-    start_feed_stream(spark, a.feeds, a.tables, _params(a), checkpoint=ckpt).awaitTermination()
-    print(json.dumps({"trends": spark.read.parquet(f"{a.tables}/trends").count()}))
+    from trendspark.streaming.jobs import _read_or_empty
+
+    q = start_feed_stream(spark, a.feeds, a.tables, _params(a), checkpoint=ckpt)
+    if q is not None:
+        q.awaitTermination()
+    print(json.dumps({"trends": _read_or_empty(spark, f"{a.tables}/trends", S.TRENDS).count()}))
 
 
 def cmd_prompts(spark, a):
@@ -74,7 +78,7 @@ def cmd_prompts(spark, a):
     done = PR.no_article(trends, news, texts, p).select(
         "id", F.lit(None).cast("bigint").alias("node_id"), F.lit(None).cast("decimal(10,6)").alias("processing_cost"))
     trend_updates(done, p.as_of_epoch).write.mode("append").parquet(f"{a.tables}/trend_updates")
-    PR.scrape_audit(news, pages).write.mode("append").parquet(f"{a.tables}/audit")
+    PR.scrape_audit(PR.news_of_pending(news, PR.pending_trends(trends)), pages).write.mode("append").parquet(f"{a.tables}/audit")
     print(json.dumps({"prompts": spark.read.parquet(f"{a.tables}/prompts").count()}))
 
 

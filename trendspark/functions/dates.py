@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 __all__ = ["parse_pub_date", "created_ts", "month_start_epoch", "DATETIME_FORMAT"]
 
 # Accepted feed date layouts (RFC-822 with numeric offset or zone name,
-# and the stored DATETIME form); the weekday prefix is removed first.
-FEED_DATE_PATTERNS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd HH:mm:ss"]
+# and the stored DATETIME form, two-digit years, ISO 8601); the weekday prefix is removed first.
+FEED_DATE_PATTERNS = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd HH:mm:ss",
+                      "d MMM yy HH:mm:ss Z", "d MMM yy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss"]
 DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 

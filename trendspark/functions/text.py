@@ -74,7 +74,7 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]*>", "")
 
 
-NUMERIC_ENTITY = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+NUMERIC_ENTITY = r"&#(?:0*[0-9]{1,7}|[xX]0*[0-9a-fA-F]{1,6});"
 
 
 def code_point_text(cp: Column) -> Column:

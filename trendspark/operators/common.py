@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T  # noqa: F401
 from pyspark.sql.window import Window
 
+from trendspark.session import ensure_checkpoint_dir
+
 # A literal dimension built from job parameters has a size fixed by the
 # configuration, so broadcasting it is safe at any data scale. Dimensions read
 # from data are left to AQE, which broadcasts only when the runtime size is
@@ -37,6 +39,9 @@ def global_index(df: DataFrame, order_cols: Sequence[str], name: str = "idx") ->
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
     )
+    # fixed by a reliable checkpoint: sampled range bounds may differ between two evaluations
+    ensure_checkpoint_dir(df.sparkSession)
+    part = part.checkpoint(eager=True)
     counts = part.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",

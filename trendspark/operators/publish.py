@@ -87,7 +87,9 @@ def tags_to_terms(parsed_answers: DataFrame, vocab: DataFrame, params: Params, k
 
 
 def unmatched_tags(parsed_answers: DataFrame, vocab: DataFrame, params: Params, key: str = "call_id") -> DataFrame:
-    """O-J5: tags with no term (logged, skipped)."""
+    """O-J5: tags with no term (logged, skipped); none if tags are not configured."""
+    if not params.tag_field or not params.tag_vocabulary:
+        return tag_rows(parsed_answers, key).limit(0)
     terms = first_terms(vocab, params).select(F.col("name").alias("tag"))
     return tag_rows(parsed_answers, key).join(terms, "tag", "left_anti")
 
@@ -95,7 +97,7 @@ def unmatched_tags(parsed_answers: DataFrame, vocab: DataFrame, params: Params,
 def priced(answers: DataFrame, prices: DataFrame) -> DataFrame:
     """O-J6 + O-X14: cost of each call; unknown (provider, model) or missing usage -> 0."""
     p = prices.select("provider", "model", "input_per_m", "output_per_m")
-    j = answers.join(F.broadcast(p), ["provider", "model"], "left")  # literal list, size fixed by code
+    j = answers.join(p, ["provider", "model"], "left")
     return j.withColumn("cost", token_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("input_per_m"), F.col("output_per_m"))) \
         .withColumn("unknown_model", F.col("input_per_m").isNull())
 
@@ -190,7 +192,10 @@ def publish_articles(calls: DataFrame, trends: DataFrame, vocab: DataFrame, user
     The priced answers feed three branches (tags, authors, article rows) with
     different columns, so Spark cannot share their shuffles; with ``materialize``
     they are computed once and checkpointed (spark.checkpoint.dir) first."""
-    p = priced(parsed(new_only(latest_answer(calls), existing)), prices)
+    # an answer without text is an invalid one: it goes to the audit and its trend stays pending
+    rejects = calls.filter(F.col("response").isNull()).select(F.lit("publish").alias("stage"), F.col("call_id").cast("string").alias("key"),
+                                                              F.lit("invalid_response").alias("reason"), F.lit(None).cast("string").alias("detail"))
+    p = priced(parsed(new_only(latest_answer(calls.filter(F.col("response").isNotNull())), existing)), prices)
     if materialize:
         p = p.checkpoint(eager=True)
     pend = trends.filter(F.col("processed") == 0)
@@ -203,5 +208,5 @@ def publish_articles(calls: DataFrame, trends: DataFrame, vocab: DataFrame, user
     return {
         "articles": arts,
         "trends": finish_trends(trends, done),
-        "audit": audit_publish(p, unmatched_tags(p, vocab, params)),
+        "audit": audit_publish(p, unmatched_tags(p, vocab, params)).unionByName(rejects),
     }

@@ -26,7 +26,7 @@ def translation_fanout(articles: DataFrame, languages: DataFrame, params: Params
         return articles.select("node_id", F.lit(None).cast("string").alias("langcode")).limit(0)
     codes = F.array(*[F.lit(c) for c in params.languages])
     fan = articles.select("node_id", "title", "body", F.explode(codes).alias("langcode"))
-    names = F.broadcast(languages.select("langcode", F.col("name").alias("language_name")))
+    names = languages.select("langcode", F.col("name").alias("language_name"))
     fan = fan.join(names, "langcode", "left")
     name = F.coalesce(F.col("language_name"), F.col("langcode"))
     return fan.select("node_id", "langcode", "title", "body", translation_prompt(name, F.col("title"), F.col("body")).alias("prompt"))
@@ -38,10 +38,11 @@ def missing_translation(fan: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def write_translations(fan: DataFrame, answers: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """O-X12 + O-SNK7: parsed translation per pair; without an answer or separator the
-    original title/body are kept. Tags are copied from the article."""
-    j = fan.join(answers.select("node_id", "langcode", "response"), ["node_id", "langcode"], "left")
-    p = parse_translation(F.coalesce(F.col("response"), F.lit("")), F.col("title"), F.col("body"))
+    """O-X12 + O-SNK7: parsed translation per answered pair (the others are asked again); an answer
+    without a separator keeps the original title/body. Tags are copied from the article."""
+    got = answers.filter(F.col("response").isNotNull()).select("node_id", "langcode", "response")
+    j = fan.join(got, ["node_id", "langcode"])
+    p = parse_translation(F.col("response"), F.col("title"), F.col("body"))
     out = j.select("node_id", "langcode", p["title"].alias("title"), p["body"].alias("body"))
     if tags is not None:
         out = out.join(tags.select("node_id", "tag_ids"), "node_id", "left")
@@ -51,4 +52,4 @@ def write_translations(fan: DataFrame, answers: DataFrame, tags: DataFrame | Non
 def translate_articles(articles: DataFrame, languages: DataFrame, existing: DataFrame, answers: DataFrame,
                        params: Params) -> dict[str, DataFrame]:
     fan = missing_translation(translation_fanout(articles, languages, params), existing)
-    return {"prompts": fan, "translations": write_translations(fan, answers)}
+    return {"prompts": fan, "translations": write_translations(fan, answers, articles if "tag_ids" in articles.columns else None)}

@@ -29,12 +29,14 @@ from trendspark.session import ensure_checkpoint_dir
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
+    """The table, or no rows if its folder does not exist yet; any other fault is raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - first run: table folder does not exist yet
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
+_NEWS_COLS = ["trend_id", "news_pos", "title", "snippet", "url", "source"]
 NEWS_OUT = "trend_id bigint, news_pos bigint, title string, snippet string, url string, source string"
 
 
@@ -48,8 +50,11 @@ def ingest_batch(spark: SparkSession, docs: DataFrame, tables: str, params: Para
     trends = out["trends"]
     n = trends.count()
     if n:
+        # children first: a run that stopped in between is taken up again with the same ids, as its
+        # trends aren't stored yet, and adds only the children that are missing
+        have = _read_or_empty(spark, f"{tables}/news", NEWS_OUT).select("trend_id", "news_pos")
+        out["news"].join(have, ["trend_id", "news_pos"], "left_anti").select(*_NEWS_COLS).write.mode("append").parquet(f"{tables}/news")
         trends.write.mode("append").parquet(f"{tables}/trends")
-        out["news"].write.mode("append").parquet(f"{tables}/news")
     audit = out["audit"].unionByName(FEED.feed_rejects(parsed).select(
         F.lit("feed").alias("stage"), F.col("path").alias("key"), "reason", F.lit(None).cast("string").alias("detail")))
     audit.write.mode("append").parquet(f"{tables}/audit")
@@ -58,7 +63,10 @@ def ingest_batch(spark: SparkSession, docs: DataFrame, tables: str, params: Para
 
 def start_feed_stream(spark: SparkSession, landing: str, tables: str, params: Params,
                       checkpoint: str | None = None, max_files: int | None = None,
-                      available_now: bool = True) -> StreamingQuery:
+                      available_now: bool = True) -> StreamingQuery | None:
+    """Start the stream; None, with nothing read, if the import is disabled."""
+    if not params.import_enabled:
+        return None
     base = ensure_checkpoint_dir(spark)
     ckpt = checkpoint or f"{base.rstrip('/')}/streams/feed"
     reader = spark.readStream.format("text").option("wholetext", True)
@@ -95,7 +103,11 @@ def publish_batch(spark: SparkSession, answers: DataFrame, tables: str, vocab: D
     n = arts.count()
     if n:
         arts.write.mode("append").parquet(f"{tables}/articles")
-        done = arts.select(F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost"))
+    # from all articles whose trend is still pending, so that a run that stopped after its articles is completed
+    pending = trends.filter(F.col("processed") == 0).select("id")
+    done = _read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT).select(
+        F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost")).join(pending, "id").checkpoint(eager=True)
+    if done.limit(1).count():
         ST.trend_updates(done, params.as_of_epoch).write.mode("append").parquet(f"{tables}/trend_updates")
     out["audit"].write.mode("append").parquet(f"{tables}/audit")
     return n
