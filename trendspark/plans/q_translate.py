@@ -35,7 +35,7 @@ tr AS (SELECT m.node_id, m.langcode,
        THEN {php_trim("substr(r.response, 1, strpos(r.response, '---TITLE_SEPARATOR---') - 1)")} ELSE m.title END AS title,
   CASE WHEN strpos(coalesce(r.response, ''), '---TITLE_SEPARATOR---') > 0
        THEN {php_trim("substr(r.response, strpos(r.response, '---TITLE_SEPARATOR---') + 21)")} ELSE m.body END AS body
-  FROM miss m LEFT JOIN fx_translation_calls r ON r.node_id = m.node_id AND r.langcode = m.langcode)
+  FROM miss m JOIN fx_translation_calls r ON r.node_id = m.node_id AND r.langcode = m.langcode WHERE r.response IS NOT NULL)
 """
 
 
