@@ -186,6 +186,9 @@ def test_quality(docs, odd_docs, no_docs):
         for r in got:
             assert tuple(r[c] for c in cols) == brute_quality(r["copy"])
             assert not (r["kept"] and r["base_failed"])
+    clash = odd_docs.withColumn("N_words", F.lit(-1)).withColumn("kept", F.lit("x")).withColumn("_w", F.lit(1))
+    assert quality.quality(clash).select("n_words", "kept").orderBy("n_words").collect() == \
+        quality.quality(odd_docs).select("n_words", "kept").orderBy("n_words").collect()
     assert quality.quality(no_docs).count() == 0
 
 

@@ -5,7 +5,11 @@ Everything is built-in Spark functions. The counts of a text are columns; a rule
 turns the table into one boolean expression and one array of the names of failed rules.
 
 Null or empty text: no words, all counts 0, ``base_failed`` true. Repeated rows and ties are
-judged alone. Extra input columns are not read; an empty table gives an empty table.
+judged alone. Extra input columns are not read, those named like an added or internal column are
+replaced; an empty table gives an empty table.
+
+The counts leave through a generator of one row for each text: a caller's filter on them then stays above
+their projection, which Spark would otherwise copy into the filter once for each use of a count.
 """
 
 from __future__ import annotations
@@ -33,6 +37,9 @@ RULES = [
     ("bullet_line_ratio", "n_bullet_lines / n_lines", None, 0.9),
     ("ellipsis_line_ratio", "n_ellipsis_lines / n_lines", None, 0.5),
 ]
+ADDED = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_letter_words", "n_bangs",
+         "n_neighbour_repeats", "n_lines", "n_bullet_lines", "n_ellipsis_lines", "base_failed", "kept", "failed_rules",
+         "_t", "_w", "_l", "_wh", "_h", "_s", "_p"}
 
 
 def compile_rules(rules=RULES) -> tuple[Column, Column]:
@@ -56,7 +63,7 @@ def compile_rules(rules=RULES) -> tuple[Column, Column]:
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` (with its columns but the text) plus the counts of the whole text."""
-    keep = [F.col(c) for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c != text and c.lower() not in ADDED]
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(*keep, t.alias("_t"))
@@ -74,8 +81,8 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     d = d.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x["i"])))
     gaps = F.transform("_p", lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), j + 1) - p, F.lit(WINDOW))))
     n_repeat = F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    return d.select(
-        *[c for c in docs.columns if c != text], "n_words",
+    return d.select(*keep, F.inline(F.array(F.struct(
+        "n_words",
         F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -88,7 +95,7 @@ def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         F.size(F.filter("_l", lambda x: F.ltrim(x).substr(1, 1).isin("-", "*", "•"))).cast("long").alias("n_bullet_lines"),
         F.size(F.filter("_l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long").alias("n_ellipsis_lines"),
-    )
+    ))))
 
 
 def quality(docs: DataFrame, text: str = "text", rules=RULES, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
