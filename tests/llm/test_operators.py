@@ -222,6 +222,21 @@ def test_units_special_strings():
         assert bpe.encode([t])[0] == np.array(bpe.tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_unit_table(monkeypatch):
+    """A full table is emptied, equal hashes go to the library, and blocks end anywhere."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b", "Zé", " ", "  ", "\n", "\t", ".", "'s", "'", "7", "\u2003", "ñ", "日本", "\x1c", "<|endoftext|>"][: 4 + k % 13])
+                     for _ in range(rng.randrange(60))) for k in range(3000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in units.ByteBpe(BYTE).tk.encode_batch_fast(texts, add_special_tokens=False)]
+    bpe = units.ByteBpe(BYTE)
+    assert bpe.encode(texts) == want and bpe.encode(texts[::-1]) == want[::-1]
+    monkeypatch.setattr(units, "BLOCK", 300)
+    monkeypatch.setattr(units, "KEPT_UNITS", 50)
+    assert units.ByteBpe(BYTE).encode(texts) == want
+    monkeypatch.setattr(units, "mix", lambda h: h % np.uint64(64) << np.uint64(58))
+    assert units.ByteBpe(BYTE).encode(texts[:300]) == want[:300]
+
+
 def test_token_counts_cache(spark, docs, odd_docs, no_docs):
     import sentencepiece
 
