@@ -37,13 +37,18 @@ from trendspark.llm.common import mix, powers, prefix_hash, small, table, word_s
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 LINES = "k long, h long, line int, h1 long, h2 long, n int, pa long, sa long, pb long, sb long"
 PLACE = ["k", "h", "line"]
+#: characters of texts hashed at once
+BLOCK = 1 << 20
 
 
-def line_hashes(text: str) -> dict[str, np.ndarray]:
-    """For each line with a word: line number, two hashes, words, and its keys for q = n and q = n - 1."""
-    b = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+def line_hashes(texts: list[str]) -> dict[str, np.ndarray]:
+    """For each line with a word of some texts: which text, line number, two hashes, words, and its keys for
+    q = n and q = n - 1. The texts are handled as one, with a line break after each."""
+    raws = [t.encode("utf-8", "replace") for t in texts]
+    b = np.frombuffer(b"\n".join(raws), np.uint8)
     ends = np.append(np.flatnonzero(b == 10), len(b))
-    starts = np.r_[0, ends[:-1] + 1]
+    starts = np.append(0, ends[:-1] + 1)
+    head = np.searchsorted(starts, np.cumsum([0, *[len(r) + 1 for r in raws[:-1]]]))  # first line of each text
     p = prefix_hash(b)
     inv = powers(len(b) + 1)[1]
     ws, we = word_spans(b)
@@ -59,7 +64,8 @@ def line_hashes(text: str) -> dict[str, np.ndarray]:
     def span(lo, hi, tag):
         return mix((q[hi] - q[lo]) * qi[lo] + tag.astype(np.uint64) * _ODD)
 
-    out = {"line": ok, "h1": mix(raw + (e - s).astype(np.uint64)), "h2": span(a, z, n) ^ mix(raw * _ODD), "n": n}
+    of = np.searchsorted(head, ok, "right") - 1
+    out = {"of": of, "line": ok - head[of], "h1": mix(raw + (e - s).astype(np.uint64)), "h2": span(a, z, n) ^ mix(raw * _ODD), "n": n}
     for name, m in (("a", n), ("b", n - 1)):
         half = m // 2
         out["p" + name] = span(a, a + half, 2 * m)
@@ -74,22 +80,29 @@ def _word_prefix(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return q, inv
 
 
-def variants(line: str, from_front: bool, from_back: bool) -> np.ndarray:
-    """Tagged hashes of the deletion neighbourhood. ``from_front``: another line shares the first half, so
-    the edit is at or behind the middle; ``from_back``: it shares the last half."""
-    b = np.frombuffer(line.encode("utf-8", "replace"), np.uint8)
+def variants(lines: list[str], from_front: np.ndarray, from_back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tagged hashes of the deletion neighbourhoods, and which line each belongs to. ``from_front``: another
+    line shares the first half, so the edit is at or behind the middle; ``from_back``: it shares the last half."""
+    raws = [x.encode("utf-8", "replace") for x in lines]
+    b = np.frombuffer(b"\n".join(raws), np.uint8)
     p, inv = prefix_hash(b), powers(len(b) + 1)[1]
     ws, we = word_spans(b)
     words = mix((p[we] - p[ws]) * inv[ws] + (we - ws).astype(np.uint64))
     q, qi = _word_prefix(words)
-    n = len(words)
-    i = np.arange(n + 1)
+    z = np.searchsorted(ws, np.cumsum([len(r) + 1 for r in raws]))
+    a = np.append(0, z[:-1])
+    n = z - a
+    of = np.repeat(np.arange(len(lines)), n + 1)
+    i = np.arange(len(of)) - (a + np.arange(len(lines)))[of]
     middle = (n - 1) // 2
-    use = (from_front & (i >= middle)) | (from_back & (i <= n - middle))
-    i = i[use]
-    d = i[i < n]
-    without = q[d] + (q[n] - q[d + 1]) * qi[1]
-    return np.concatenate([mix(mix(without) + d.astype(np.uint64) * _ODD), mix(mix(np.full(len(i), q[n])) + i.astype(np.uint64) * _ODD)])
+    use = (from_front[of] & (i >= middle[of])) | (from_back[of] & (i <= (n - middle)[of]))
+    of, i = of[use], i[use]
+    whole = mix(mix(((q[z] - q[a]) * qi[a])[of]) + i.astype(np.uint64) * _ODD)
+    d = i < n[of]
+    do, di = of[d], i[d]
+    at = a[do] + di
+    without = (q[at] - q[a[do]] + (q[z[do]] - q[at + 1]) * qi[1]) * qi[a[do]]
+    return np.concatenate([do, of]), np.concatenate([mix(mix(without) + di.astype(np.uint64) * _ODD), whole])
 
 
 def within_one(a: list[str], b: list[str]) -> bool:
@@ -119,13 +132,14 @@ def line_dedup(docs: DataFrame, min_words: int = 8, text: str = "text", key: str
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo: lo + 256]
-                rows = [line_hashes(t) for t in part["t"]]
-                n = [len(r["line"]) for r in rows]
-                out = pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), n), "h": np.repeat(part["h"].to_numpy(), n)})
-                for c in ("line", "h1", "h2", "n", "pa", "sa", "pb", "sb"):
-                    x = np.concatenate([r[c] for r in rows])
+            sizes = np.cumsum(pdf["t"].str.len().to_numpy()) // BLOCK
+            for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(sizes)) + 1):
+                if not len(part):
+                    continue
+                rows = line_hashes(pdf["t"].iloc[part].tolist())
+                at = part[rows.pop("of")]
+                out = pd.DataFrame({"k": pdf["k"].to_numpy()[at], "h": pdf["h"].to_numpy()[at]})
+                for c, x in rows.items():
                     out[c] = x.view(np.int64) if x.dtype == np.uint64 else x
                 yield out
 
@@ -180,15 +194,11 @@ def _near(src: DataFrame, same: DataFrame, min_words: int) -> DataFrame:
         for pdf in batches:
             for lo in range(0, len(pdf), 64):
                 part = pdf.iloc[lo: lo + 64]
-                rows = []
-                for k, h, t, ls in zip(part["k"], part["h"], part["t"], part["ls"]):
-                    cut = t.split("\n")
-                    for x in ls:
-                        rows.append((k, h, x["line"], variants(cut[x["line"]], x["front"], x["back"])))
-                n = [len(r[3]) for r in rows]
-                yield pd.DataFrame({"k": np.repeat([r[0] for r in rows], n), "h": np.repeat([r[1] for r in rows], n),
-                                    "line": np.repeat([r[2] for r in rows], n),
-                                    "key": np.concatenate([r[3] for r in rows]).view(np.int64)})
+                rows = [(k, h, x, cut[x["line"]]) for k, h, t, ls in zip(part["k"], part["h"], part["t"], part["ls"])
+                        for cut in [t.split("\n")] for x in ls]
+                of, keys = variants([r[3] for r in rows], *[np.array([r[2][side] for r in rows]) for side in ("front", "back")])
+                out = {"k": [r[0] for r in rows], "h": [r[1] for r in rows], "line": [r[2]["line"] for r in rows]}
+                yield pd.DataFrame({c: np.array(x)[of] for c, x in out.items()} | {"key": keys.view(np.int64)})
 
     var = table(src.join(small(live, n_live), ["k", "h"]).mapInPandas(emit, "k long, h long, line int, key long"), "variants")
     first = var.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("to"), F.max(F.struct(*PLACE)).alias("last")).where("to < last").select("key", "to")
