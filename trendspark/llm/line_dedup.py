@@ -38,7 +38,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 LINES = "k long, h long, line int, h1 long, h2 long, n int, pa long, sa long, pb long, sb long"
 PLACE = ["k", "h", "line"]
 #: characters of texts hashed at once
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def line_hashes(texts: list[str]) -> dict[str, np.ndarray]:
