@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: rows up to which a table whose rows are small (a few dozen bytes) may be broadcast
 BROADCAST_ROWS = 250_000
+#: rows of texts that Spark hands to a Python worker at once
+ARROW_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,15 @@ def table(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``ARROW_ROWS`` rows (a smaller setting stays): at Spark's default of
+    10,000, whole texts of some kilobytes take hundreds of megabytes of a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def small(df: DataFrame, n_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows are few, else as it is (shuffle join)."""
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df

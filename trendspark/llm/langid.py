@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendspark.llm.common import text_batches
+
 ORDERS = (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
 _SIZE = {1: 1 << 8, 2: 1 << 16, 3: 1 << 24}
@@ -144,6 +146,7 @@ def _gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def predict(docs: DataFrame, model: Model, text: str = "text", out_lang: str = "lang_pred", out_score: str = "score",
             batch: int = 128) -> DataFrame:
     """``docs`` plus the predicted language and a score from 0 to 1 (0.5: on the decision border)."""
+    text_batches(docs.sparkSession)
     cols = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(out_lang, T.StringType()), T.StructField(out_score, T.DoubleType())])
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import mix, powers, prefix_hash, small, table, word_spans
+from trendspark.llm.common import mix, powers, prefix_hash, small, table, text_batches, word_spans
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 LINES = "k long, h long, line int, h1 long, h2 long, n int, pa long, sa long, pb long, sb long"
@@ -126,6 +126,7 @@ def _tokens(line: str) -> list[str]:
 
 def line_dedup(docs: DataFrame, min_words: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with the reduced text, plus ``n_lines`` (lines with a word), ``n_exact`` and ``n_near`` (dropped ones)."""
+    text_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     keyed = docs.select(*rest, F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_h"))
     src = keyed.select(F.coalesce("_k", F.lit(-(1 << 63))).alias("k"), F.col("_h").alias("h"), F.col(text).alias("t")).where(F.col("t").isNotNull())

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import components, mix, powers, prefix_hash, small, table, word_spans
+from trendspark.llm.common import components, mix, powers, prefix_hash, small, table, text_batches, word_spans
 from trendspark.llm.embed_dedup import forest
 
 SHINGLE = 5
@@ -143,6 +143,7 @@ def sign(docs: DataFrame, coords: int, rows: int) -> DataFrame:
 
 def near_documents(docs: DataFrame, threshold: float = 0.8, coords: int = 96, rows: int = 4, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per id: ``class_id`` (smallest id of its class) and ``kept``."""
+    text_batches(docs.sparkSession)
     d = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     signed = table(sign(d, coords, rows), "signatures")
     one = table(signed.groupBy("digest").agg(F.min(F.struct("id", "bands")).alias("m")).select("digest", F.col("m.id").alias("rep"), "m.bands"), "classes")

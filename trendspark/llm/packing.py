@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import small, table
+from trendspark.llm.common import small, table, text_batches
 from trendspark.llm.token_files import bpe
 
 PIECE = "doc_id long, piece int, start long, length long, tokens binary, part int, at long"
@@ -31,6 +31,7 @@ PIECE = "doc_id long, piece int, start long, length long, tokens binary, part in
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, text: str = "text",
                key: str = "doc_id") -> DataFrame:
     """Encoded pieces, written to the shared folder. ``at`` counts pieces of one length inside one task (``part``)."""
+    text_batches(docs.sparkSession)
     d = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     end = np.array([end_id], "<u4").tobytes()
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import new_path, running_total, small, table
+from trendspark.llm.common import new_path, running_total, small, table, text_batches
 from trendspark.llm.units import ByteBpe
 
 _MAGIC = b"DAC1"
@@ -141,6 +141,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, text: str = "text", key: str = "doc_id",
                       shard_ids: int = 2_000_000) -> DataFrame:
     """Write the shards in ascending ``key`` order; return the manifest (one row per file)."""
+    text_batches(docs.sparkSession)
     d = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     d = d.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
     end = np.array([end_id], "<u4").tobytes()
