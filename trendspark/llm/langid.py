@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out_lang: str = "
     cols = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(out_lang, T.StringType()), T.StructField(out_score, T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf[text].tolist()
             good = [i for i, t in enumerate(texts) if _has_letter(t)] if model.langs else []
@@ -162,4 +162,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out_lang: str = "
                     langs[i], scores[i] = model.langs[j], min(1.0, max(0.0, (float(v) + 1) / 2))
             yield pdf[cols].assign(**{out_lang: langs, out_score: scores})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from predicted(batches)
+        finally:  # 128 MB that a worker would hold through later stages
+            _STAMP.clear()
+            _ROWS.clear()
+
     return docs.mapInPandas(run, schema)
