@@ -165,6 +165,23 @@ def test_near_vectors(spark):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_many_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for d in range(1, 71):
+        centre = rng.normal(size=d)
+        rows += [(10 * d + i, (centre + rng.normal(size=d) * 0.02).tolist()) for i in range(2 + d % 3)]
+    wide = [rng.normal(size=71) for _ in range(3)]
+    rows += [(1000 + i, (wide[i % 3] + rng.normal(size=71) * 0.1).tolist()) for i in range(24)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id long, embedding array<double>")
+    want = brute_vectors(rows)
+    for kw in ({}, {"target": 4, "block": 8}):  # one unit for each length; cells for the length of 24 vectors
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(df, **kw).collect()}
+        assert got == want
+    assert sum(want[i][0] > 0 for i in want) > 200
+
+
 # ---- 3 quality rules
 
 

@@ -29,9 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import components, table
+from trendspark.llm.common import components, new_path, table
 
 ROW = "unit int, visit int, id long, w long, v binary"
+LINK = "id long, links long, root long"
 
 
 def _target(i: np.ndarray, j: int | np.ndarray) -> np.ndarray:
@@ -66,15 +67,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
         return ids.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     m = int(min(max_pivots, max(8, -(-n // target))))
-    out = []
-    for (dim,) in classes.select(F.size("v").alias("d")).distinct().limit(64).collect():  # one cosine space for each length
+    # one cosine space for each length; at most one length for each ``block`` vectors is more than a block
+    long_ = [r["d"] for r in classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > block).collect()]
+    rest = classes.where(~F.size("v").isin(long_)) if long_ else classes
+    path = new_path(vectors.sparkSession, "vec-links")
+    _join_short(rest, cosine).write.parquet(path)
+    for dim in long_:
         own = classes.where(F.size("v") == dim)
         pivots = _normal(np.array([r["v"] for r in own.orderBy(F.xxhash64("class")).limit(m).collect()]))  # at most max_pivots rows
-        out.append(_join(own, pivots, cosine, eps, block))
-    found_rows = out[0]
-    for x in out[1:]:
-        found_rows = found_rows.union(x)
-    found_rows = table(found_rows, "vec-links")
+        _join(own, pivots, cosine, eps, block).write.mode("append").parquet(path)
+    found_rows = vectors.sparkSession.read.schema(LINK).parquet(path)
     links = found_rows.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found_rows.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     per = (classes.join(links, classes["class"] == links["id"], "left").join(comp.withColumnRenamed("id", "cid"), classes["class"] == F.col("cid"), "left")
@@ -136,6 +138,20 @@ def _join(classes: DataFrame, pivots: np.ndarray, cosine: float, eps: float, blo
                 yield pd.DataFrame({"unit": np.concatenate(units), "visit": np.concatenate(visits), "id": ids[who], "w": w[who],
                                     "v": [raw[k] for k in who]})
 
+    return _in_units(classes.mapInPandas(deal, ROW), cosine)
+
+
+def _join_short(classes: DataFrame, cosine: float) -> DataFrame:
+    """As :func:`_join`, for lengths of at most a block of vectors: each length is a unit, all in one job."""
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = [_normal(np.asarray(x, np.float64)[None])[0].tobytes() for x in pdf["v"]]
+            yield pd.DataFrame({"unit": pdf["v"].map(len), "visit": 0, "id": pdf["class"], "w": pdf["w"], "v": v})
+
+    return _in_units(classes.mapInPandas(deal, ROW), cosine)
+
+
+def _in_units(dealt: DataFrame, cosine: float) -> DataFrame:
     def unit_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, held, done = None, [], False
         for big in batches:
@@ -159,9 +175,8 @@ def _join(classes: DataFrame, pivots: np.ndarray, cosine: float, eps: float, blo
         if held and not done:
             yield _within(_cat(held), cosine)
 
-    dealt = classes.mapInPandas(deal, ROW)
     dealt = dealt.repartition("unit").sortWithinPartitions("unit", "visit")
-    return dealt.mapInPandas(unit_join, "id long, links long, root long")
+    return dealt.mapInPandas(unit_join, LINK)
 
 
 def _cat(parts: list[pd.DataFrame]):
