@@ -182,6 +182,31 @@ def test_near_vectors_many_lengths(spark):
     assert sum(want[i][0] > 0 for i in want) > 200
 
 
+def test_near_vectors_pivot_copies(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=16).astype(np.float32)
+    rows = []
+    for i in range(90):  # one direction: one-bit and rescaled copies
+        v = base.copy()
+        if i % 2:
+            k = rng.integers(16)
+            v[k] = np.nextafter(v[k], np.float32(9))
+        rows.append((i, (v.astype(float) * (1 + i // 32 * 0.37)).tolist()))
+    unit = base / np.linalg.norm(base)
+    for i in range(180):  # around the threshold of a link with them, and of links among each other
+        side = rng.normal(size=16)
+        side -= side @ unit * unit
+        c = rng.uniform(0.93, 0.98)
+        rows.append((100 + i, (c * unit + np.sqrt(1 - c * c) * side / np.linalg.norm(side)).tolist()))
+    pivots = embed_dedup._thin(embed_dedup._normal(np.array([v for _, v in rows])))
+    gaps = np.linalg.norm(pivots[:, None] - pivots[None], axis=2) + np.eye(len(pivots))
+    assert len(pivots) == 181 and gaps.min() >= 1e-4
+    df = spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id long, embedding array<double>")
+    want = brute_vectors(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(df, target=4, block=16).collect()}
+    assert got == want
+
+
 # ---- 3 quality rules
 
 

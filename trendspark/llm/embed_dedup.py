@@ -1,7 +1,7 @@
 """Embedding near-dedup (operator 2): exact metric range join.
 
-On unit vectors cosine >= c means distance <= eps = sqrt(2 - 2c). Pivots (a bounded sample) partition
-the vectors by nearest pivot. A vector also goes to another cell only if it can have a partner there:
+On unit vectors cosine >= c means distance <= eps = sqrt(2 - 2c). Pivots (a bounded sample, thinned
+to directions at least 1e-4 apart) partition the vectors by nearest pivot. A vector also goes to another cell only if it can have a partner there:
 it must lie within eps of the face between the two pivots, (d(v,q)^2 - d(v,p)^2) / (2 d(p,q)) <= eps
 (which the triangle inequality implies the weaker d(v,q) - d(v,p) <= 2 eps of), and within eps of the
 cell's covering ball, d(v,q) <= radius(q) + eps. For each pair of cells one of the two is the place where their pairs
@@ -33,6 +33,10 @@ from trendspark.llm.common import components, new_path, table
 
 ROW = "unit int, visit int, id long, w long, v binary"
 LINK = "id long, links long, root long"
+#: least distance of two pivots; rounding of a squared distance (some 1e-15) over it stays far below the slack of ``eps``
+APART = 1e-4
+#: more than the rounding of a squared distance, for radii
+ROUNDING = 1e-13
 
 
 def _target(i: np.ndarray, j: int | np.ndarray) -> np.ndarray:
@@ -44,6 +48,15 @@ def _normal(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def _thin(pivots: np.ndarray) -> np.ndarray:
+    """``pivots`` without those nearer than ``APART`` to an earlier one that stays."""
+    near = 2 - 2 * pivots @ pivots.T < APART ** 2
+    stay = np.zeros(len(pivots), bool)
+    for i in range(len(pivots)):
+        stay[i] = not (near[i] & stay).any()
+    return pivots[stay]
+
+
 def unit_classes(vectors: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFrame]:
     """(id, class) of every usable row; (class, weight, vector) of every distinct vector."""
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
@@ -74,7 +87,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
     _join_short(rest, cosine).write.parquet(path)
     for dim in long_:
         own = classes.where(F.size("v") == dim)
-        pivots = _normal(np.array([r["v"] for r in own.orderBy(F.xxhash64("class")).limit(m).collect()]))  # at most max_pivots rows
+        pivots = _thin(_normal(np.array([r["v"] for r in own.orderBy(F.xxhash64("class")).limit(m).collect()])))  # at most max_pivots rows
         _join(own, pivots, cosine, eps, block).write.mode("append").parquet(path)
     found_rows = vectors.sparkSession.read.schema(LINK).parquet(path)
     links = found_rows.groupBy("id").agg(F.sum("links").alias("links"))
@@ -92,7 +105,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
 def _join(classes: DataFrame, pivots: np.ndarray, cosine: float, eps: float, block: int) -> DataFrame:
     """(id, links, root): partial link counts of distinct vectors and forest edges (root null: none)."""
     m = len(pivots)
-    pp = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 1e-18))
+    pp = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, APART ** 2 / 2))
 
     def nearest(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = _normal(np.stack(pdf["v"].to_numpy()).astype(np.float64))
@@ -108,7 +121,7 @@ def _join(classes: DataFrame, pivots: np.ndarray, cosine: float, eps: float, blo
     radius = np.full(m, -np.inf)
     blocks = np.ones(m, np.int64)
     for r in stat:
-        radius[r["cell"]], blocks[r["cell"]] = np.sqrt(r["r"]), -(-r["n"] // (block // 2))
+        radius[r["cell"]], blocks[r["cell"]] = np.sqrt(r["r"] + ROUNDING), -(-r["n"] // (block // 2))
     first = np.r_[0, np.cumsum(blocks)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
