@@ -107,6 +107,27 @@ def test_suffix_dedup_documents(spark, docs):
     check_repeats(spark, texts, 400, 96)
 
 
+def test_suffix_dedup_repeated_rows(spark, monkeypatch):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    edited = text[:150] + "#" + text[151:]
+    real = suffix_dedup._group
+
+    def group(rows, length):  # goes to the workers in place of the real one
+        if len(rows) > 2:
+            raise ValueError(f"{len(rows)} contexts held")
+        return real(rows, length)
+
+    want = brute_repeats([text.encode()] * 2 + [edited.encode()], 40)
+    monkeypatch.setattr(suffix_dedup, "_group", group)
+    for i in (1, None):
+        df = spark.createDataFrame([(i, text)] * 300 + [(2, edited)], "doc_id long, text string")
+        got = suffix_dedup.suffix_dedup(df, 40, 10).collect()
+        assert len(got) == 301
+        for r in got:
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[2 if r["doc_id"] == 2 else 0]
+
+
 def test_suffix_dedup_odd(odd_docs, no_docs):
     got = suffix_dedup.suffix_dedup(odd_docs).collect()
     assert len(got) == odd_docs.count()

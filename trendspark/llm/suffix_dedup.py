@@ -211,7 +211,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 96, max_group:
     """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes."""
     src = _source(docs, text, key)
     found = repeated(src, length, gram, max_group)
-    ranges = found.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).toDF("rk", "rh", "ranges")
+    ranges = found.distinct().groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).toDF("rk", "rh", "ranges")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -277,7 +277,8 @@ def _mixed(src: DataFrame, contexts: DataFrame, length: int, max_group: int) ->
             for lo in range(0, len(rows), 5000):
                 yield pd.DataFrame(rows[lo: lo + 5000], columns=["a", "c", "n", "m", "off", "span", "b"])
 
-    got = src.select("k", "h", "t").join(small(wanted, wanted.count()), ["k", "h"]).mapInPandas(
+    # one of repeated rows: the others have the same contexts
+    got = src.select("k", "h", "t").join(small(wanted, wanted.count()), ["k", "h"]).dropDuplicates(["k", "h"]).mapInPandas(
         fetch, "a long, c long, n long, m long, off int, span int, b binary")
     got = table(got, "context-bytes")
 
