@@ -36,14 +36,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6. Of each group of near duplicates the document with the smallest id stays; of rows with an
-    equal id one stays."""
-    gone = table(minhash.near_documents(docs).where(~F.col("kept")).select("doc_id"), "near-duplicates")
-    d = docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
-    ids = docs.where("doc_id is not null")
-    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        d = d.where("doc_id is not null").dropDuplicates(["doc_id"]).union(d.where("doc_id is null"))
-    return d
+    """Operator 6. Of each group of near duplicates the document with the smallest id stays (of equal ids the
+    smallest text hash, null ids last); of rows with equal id (null ids too) and text one stays."""
+    d, key = docs, "doc_id"
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        d, key = table(_row_keys(docs), "row-keys"), "_row"
+    gone = table(minhash.near_documents(d, key=key).where(~F.col("kept")).select(key), "near-duplicates")
+    return d.join(small(gone, gone.count()), key, "left_anti").select(docs.columns)
+
+
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """One row for each id and text, numbered (``_row``) in the order of ids and text hashes."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    d = docs.groupBy("doc_id", F.md5("text").alias("_hash")).agg(F.min(F.struct(*rest)).alias("_rest"))
+    d = d.orderBy(F.col("doc_id").asc_nulls_last(), "_hash")
+    return d.select("doc_id", "_rest.*", F.monotonically_increasing_id().alias("_row")).select(*docs.columns, "_row")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,25 @@ def test_near_duplicate_stage(stages):
     assert set(after) == {i for i, c in label.items() if i == c}
 
 
+def test_near_duplicates_of_equal_and_null_ids(spark):
+    rng = np.random.default_rng(4)
+
+    def words(n=60):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+
+    a, b, c, d = words(), words(), words(), words()
+    near = a + " end"
+    hot = [(7, words(), "en", f"s{i % 3}", i) for i in range(40)]  # one id, forty texts
+    lines = [*hot, (7, hot[0][1], "en", "s0", 0), (1, a, "en", "s", 1), (7, near, "en", "s", 2), (2, b, "en", "s", 3), (None, b, "en", "s", 4),
+             (None, c, "en", "s", 5), (None, c, "en", "s", 5), (None, c + " end", "en", "s", 6), (None, d, "en", "s", 7), (3, None, "en", "s", 8)]
+    docs = spark.createDataFrame(lines, "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in C.near_duplicates(spark, docs, "").collect())
+    assert set(got.values()) == {1}
+    want = {(7, r[1]) for r in hot} | {(1, a), (2, b), (None, d), (3, None)}
+    rest = set(got) - want
+    assert want <= set(got) and len(rest) == 1 and rest < {(None, c), (None, c + " end")}
+
+
 def test_mixing_stage(stages):
     before, after = rows(stages[3][1]), rows(stages[4][1])
     assert set(after) <= set(before) and stages[4][1].count() == len(after)
