@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trendspark.llm import (embed_dedup, langid, line_dedup, minhash, mixing, packing, quality, queries, suffix_dedup, token_counts,
                             token_files, units)
+from trendspark.llm import common
 from trendspark.llm.common import components, new_path, running_total
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +52,23 @@ def test_running_total_and_components(spark):
     assert all(x in got for a, b in edges if a != b for x in (a, b))
 
 
+def test_broadcast_bound_counts_items(spark, monkeypatch):
+    df = spark.range(3).select("id", F.expr("sequence(1, 1000)").alias("xs"))
+
+    def broadcast(x):
+        return "Hint" in x._jdf.queryExecution().logical().toString()
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 3 * 64 + 3000 * 72)
+    assert broadcast(common.small_lists(df, "xs", 72))
+    assert not broadcast(common.small_lists(df, "xs", 73))  # three rows, but too many bytes in their arrays
+    assert broadcast(common.small_lists(df.limit(0), "xs", 72))
+    rows = [(i, "one two three four five six seven eight nine ten " * 12 + f"end{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [sorted(map(tuple, f().collect())) for f in (lambda: suffix_dedup.suffix_dedup(docs, 40, 10), lambda: line_dedup.line_dedup(docs))]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert [sorted(map(tuple, f().collect())) for f in (lambda: suffix_dedup.suffix_dedup(docs, 40, 10), lambda: line_dedup.line_dedup(docs))] == want
+
+
 # ---- 1 suffix-array dedup
 
 

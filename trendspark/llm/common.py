@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: rows up to which a table whose rows are small (a few dozen bytes) may be broadcast
 BROADCAST_ROWS = 250_000
+#: bytes of rows with arrays up to which they may be broadcast
+BROADCAST_BYTES = 48 << 20
 #: rows of texts that Spark hands to a Python worker at once
 ARROW_ROWS = 1_000
 
@@ -58,6 +60,13 @@ def small(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
+def small_lists(df: DataFrame, lists: str, item_bytes: int) -> DataFrame:
+    """As :func:`small`, for rows of a few dozen bytes and an array ``lists`` whose items take ``item_bytes``:
+    the summed lengths of the arrays count."""
+    n = df.agg(F.count("*").alias("rows"), F.sum(F.size(lists)).alias("items")).first()
+    return F.broadcast(df) if n["rows"] * 64 + (n["items"] or 0) * item_bytes <= BROADCAST_BYTES else df
+
+
 def running_total(df: DataFrame, key: str, value: str, out: str, block: int = 1024) -> DataFrame:
     """Add ``out``: the sum of ``value`` over rows with a smaller integer ``key`` (keys unique).
 

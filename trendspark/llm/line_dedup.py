@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import mix, powers, prefix_hash, small, table, text_batches, word_spans
+from trendspark.llm.common import mix, powers, prefix_hash, small_lists, table, text_batches, word_spans
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 LINES = "k long, h long, line int, h1 long, h2 long, n int, pa long, sa long, pb long, sb long"
@@ -189,7 +189,6 @@ def _near(src: DataFrame, same: DataFrame, min_words: int) -> DataFrame:
         F.max(F.col("side") % 2 == 0).alias("front"), F.max(F.col("side") % 2 == 1).alias("back"))
     live = live.groupBy("k", "h").agg(F.collect_list(F.struct("line", "front", "back")).alias("ls"))
     live = table(live, "live-lines")
-    n_live = live.count()
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -201,7 +200,7 @@ def _near(src: DataFrame, same: DataFrame, min_words: int) -> DataFrame:
                 out = {"k": [r[0] for r in rows], "h": [r[1] for r in rows], "line": [r[2]["line"] for r in rows]}
                 yield pd.DataFrame({c: np.array(x)[of] for c, x in out.items()} | {"key": keys.view(np.int64)})
 
-    var = table(src.join(small(live, n_live), ["k", "h"]).mapInPandas(emit, "k long, h long, line int, key long"), "variants")
+    var = table(src.join(small_lists(live, "ls", 40), ["k", "h"]).mapInPandas(emit, "k long, h long, line int, key long"), "variants")
     first = var.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("to"), F.max(F.struct(*PLACE)).alias("last")).where("to < last").select("key", "to")
     pairs = var.join(first, "key").groupBy(*PLACE).agg(F.min("to").alias("to")).where(F.struct(*PLACE) > F.col("to"))
     return _verified(src, table(pairs, "line-pairs"))
@@ -220,7 +219,7 @@ def _verified(src: DataFrame, pairs: DataFrame) -> DataFrame:
                 rows += [(k, h, i, cut[i]) for i in ls]
             yield pd.DataFrame(rows, columns=["k", "h", "line", "s"])
 
-    got = table(src.join(small(wanted, wanted.count()), ["k", "h"]).mapInPandas(fetch, "k long, h long, line int, s string").dropDuplicates(PLACE), "line-texts")
+    got = table(src.join(small_lists(wanted, "ls", 8), ["k", "h"]).mapInPandas(fetch, "k long, h long, line int, s string").dropDuplicates(PLACE), "line-texts")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import mix, powers, prefix_hash, small, table
+from trendspark.llm.common import mix, powers, prefix_hash, small_lists, table
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -278,7 +278,7 @@ def _mixed(src: DataFrame, contexts: DataFrame, length: int, max_group: int) ->
                 yield pd.DataFrame(rows[lo: lo + 5000], columns=["a", "c", "n", "m", "off", "span", "b"])
 
     # one of repeated rows: the others have the same contexts
-    got = src.select("k", "h", "t").join(small(wanted, wanted.count()), ["k", "h"]).dropDuplicates(["k", "h"]).mapInPandas(
+    got = src.select("k", "h", "t").join(small_lists(wanted, "xs", 72), ["k", "h"]).dropDuplicates(["k", "h"]).mapInPandas(
         fetch, "a long, c long, n long, m long, off int, span int, b binary")
     got = table(got, "context-bytes")
 
