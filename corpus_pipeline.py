@@ -20,10 +20,11 @@ LEAST_LANGUAGE_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9. Drops texts without a letter (null and empty ones too) and texts of no known language; a
-    null ``lang`` becomes the predicted one."""
-    seen = langid.predict(docs, langid.fit(docs), out_lang="_pred", out_score="_score")
-    seen = seen.where((F.col("_pred") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
+    """Operator 9. Drops texts without a letter (null and empty ones too) and texts of no known language: too few
+    of their n-grams are known from labelled texts, or every classifier is against them; a null ``lang`` becomes
+    the predicted one."""
+    seen = langid.predict(docs, langid.fit(docs), out_lang="_pred", out_score="_score", out_match="_match")
+    seen = seen.where((F.col("_pred") != "und") & F.col("_match") & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
     return seen.withColumn("lang", F.coalesce("lang", "_pred")).select(docs.columns)
 
 

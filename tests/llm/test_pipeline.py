@@ -40,6 +40,23 @@ def test_language_stage_keeps_clean(spark, stages):
         assert (i in after) == letters
 
 
+def test_language_stage_rejects_unknown(spark, docs):
+    rng = np.random.default_rng(3)
+
+    def noise(letters, n):
+        return "".join(rng.choice(list(letters), n))
+
+    bad = ["我们今天去公园散步然后回家吃饭看电视学习中文和数学", "Сегодня мы пошли в парк и потом вернулись домой ужинать", "我们",
+           "Σήμερα πήγαμε στο πάρκο και μετά γυρίσαμε σπίτι", "dzisiaj poszliśmy do parku a potem wróciliśmy do domu na obiad",
+           noise("bcdfghjklmnpqrstvwxz ", 400), noise("0123456789abcdef", 400), noise("abcdefghijklmnopqrstuvwxyz    ", 800), "x" * 500]
+    clean = ["the cat sat on the mat and the dog lay by the door", "hello there", "Von.", "der Hund lag vor der Tür", "the",
+             'The cat and the token = "d79b4bd5ac35c6fd4765f3c195ae8bf92c95a355" on the mat']
+    rows = [(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(clean + bad)]
+    got = C.language_id(spark, docs.union(spark.createDataFrame(rows, docs.schema)), "")
+    got = {r["doc_id"]: r["lang"] for r in got.where("doc_id >= 1000000").collect()}
+    assert set(got) == set(range(10**6, 10**6 + len(clean))) and got[10**6] == "en"
+
+
 def test_line_stage(stages):
     before, after = rows(stages[1][1]), rows(stages[2][1])
     want = brute_lines([(i, r["text"]) for i, r in before.items()], 8)

@@ -29,6 +29,7 @@ from trendspark.llm.common import text_batches
 
 ORDERS = (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
+_CODE = re.compile(r"\S*\d\S*")
 _SIZE = {1: 1 << 8, 2: 1 << 16, 3: 1 << 24}
 _STAMP: dict[int, np.ndarray] = {}
 
@@ -56,14 +57,27 @@ def _has_letter(text) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
 
+def _familiar(known: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Share of a text's three-byte n-grams that are known; that of the two-byte ones counts as eight more of
+    them, as a short text has few. Columns: the orders."""
+    return (known[:, 2] + 8 * known[:, 1] / np.maximum(1, sizes[:, 1])) / (sizes[:, 2] + 8)
+
+
 class Model:
-    """``langs``; per order the known n-grams (sorted) and their weight for each language."""
+    """``langs``; per order the known n-grams (sorted) and their weight for each language; for each language
+    the least familiar share (:func:`_familiar`) of a text in it."""
 
-    def __init__(self, langs: list[str], grams: list[np.ndarray], weights: list[np.ndarray]):
+    def __init__(self, langs: list[str], grams: list[np.ndarray], weights: list[np.ndarray], least: np.ndarray | None = None):
         self.langs, self.grams, self.weights = langs, grams, weights
+        self.least = np.zeros(len(langs)) if least is None else least
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Decision values, texts x languages: sum over orders of presence @ weights / sqrt(|x|)."""
+        return self.score_and_share(texts)[0]
+
+    def score_and_share(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Decision values, and each text's familiar share."""
+        known, sizes = np.zeros((len(texts), len(ORDERS))), np.zeros((len(texts), len(ORDERS)))
         out = np.zeros((len(texts), len(self.langs)), np.float32)
         sets = [distinct_grams(t) for t in texts]
         for k, (grams, w) in enumerate(zip(self.grams, self.weights)):
@@ -72,10 +86,12 @@ class Model:
             size = np.ones(len(texts), np.float32)
             for i, s in enumerate(sets):
                 at = row[s[k]]
-                present[i, at[at >= 0]] = 1
+                at = at[at >= 0]
+                present[i, at] = 1
                 size[i] = max(1, len(s[k]))
+                known[i, k], sizes[i, k] = len(at), len(s[k])
             out += (present @ w) / np.sqrt(size)[:, None]
-        return out
+        return out, _familiar(known, sizes)
 
 
 _ROWS: dict = {}
@@ -114,6 +130,8 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     y = np.array([[1.0 if r["lang"] == x else -1.0 for x in langs] for r in rows])
     k_all = np.zeros((len(rows), len(marks)))
     grams, presence = [], []
+    known = np.zeros((len(rows), len(ORDERS)))
+    mark = np.isin(np.arange(len(rows)), marks)
     for k in range(len(ORDERS)):
         g = np.unique(np.concatenate([sets[i][k] for i in marks]))
         p = np.zeros((len(g), len(marks)), np.float32)  # landmark presence, normalised
@@ -121,17 +139,21 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
             p[np.searchsorted(g, sets[i][k]), j] = 1 / np.sqrt(max(1, len(sets[i][k])))
         grams.append(g)
         presence.append(p)
+        holders = (p > 0).sum(1)
         for i, s in enumerate(sets):
             at = np.searchsorted(g, s[k])
             at = at[(at < len(g)) & (g[np.minimum(at, len(g) - 1)] == s[k])] if len(g) else at[:0]
             k_all[i] += p[at].sum(0) / np.sqrt(max(1, len(s[k])))
+            known[i, k] = (holders[at] > mark[i]).sum()  # a landmark is held out: another one must know the n-gram
     k_all /= len(ORDERS)
     k_mm = k_all[marks]
     # every language counts alike, however many texts teach it
     share = np.array([1 / max(1, sum(r["lang"] == x["lang"] for x in rows)) for r in rows])[:, None]
     a = k_all.T @ (share * k_all) + ridge * (k_mm + k_mm.T) / 2 + 1e-8 * np.eye(len(marks))
     alpha = np.linalg.solve(a, k_all.T @ (share * y))
-    return Model(langs, grams, [(p @ alpha / len(ORDERS)).astype(np.float32) for p in presence])
+    share = _familiar(known, np.array([[len(x) for x in s] for s in sets]))
+    least = np.array([0.6 * np.quantile([v for v, r in zip(share, rows) if r["lang"] == x], 0.05) for x in langs])
+    return Model(langs, grams, [(p @ alpha / len(ORDERS)).astype(np.float32) for p in presence], least)
 
 
 def _gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,24 +165,33 @@ def _gram_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def _words_match(model: Model, text: str, lang: int) -> bool:
+    """Whether the text without its words with digits (keys, numbers) is familiar enough."""
+    words = _CODE.sub(" ", text)
+    return words != text and _has_letter(words) and model.score_and_share([words])[1][0] >= model.least[lang]
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", out_lang: str = "lang_pred", out_score: str = "score",
-            batch: int = 128) -> DataFrame:
-    """``docs`` plus the predicted language and a score from 0 to 1 (0.5: on the decision border)."""
+            batch: int = 128, out_match: str | None = None) -> DataFrame:
+    """``docs`` plus the predicted language and a score from 0 to 1 (0.5: on the decision border); as ``out_match``,
+    if named, whether the text's n-grams are as familiar as its language asks (:class:`Model`)."""
     text_batches(docs.sparkSession)
     cols = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_lang, T.StringType()), T.StructField(out_score, T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_lang, T.StringType()), T.StructField(out_score, T.DoubleType()),
+                           *([T.StructField(out_match, T.BooleanType())] if out_match else [])])
 
     def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = pdf[text].tolist()
             good = [i for i, t in enumerate(texts) if _has_letter(t)] if model.langs else []
-            langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+            langs, scores, match = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
             for lo in range(0, len(good), batch):
                 at = good[lo: lo + batch]
-                f = model.score([texts[i] for i in at])
-                for i, j, v in zip(at, f.argmax(1), f.max(1)):
+                f, share = model.score_and_share([texts[i] for i in at])
+                for i, j, v, x in zip(at, f.argmax(1), f.max(1), share):
+                    match[i] = x >= model.least[j] or _words_match(model, texts[i], j)
                     langs[i], scores[i] = model.langs[j], min(1.0, max(0.0, (float(v) + 1) / 2))
-            yield pdf[cols].assign(**{out_lang: langs, out_score: scores})
+            yield pdf[cols].assign(**{out_lang: langs, out_score: scores} | ({out_match: match} if out_match else {}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
