@@ -4,7 +4,7 @@ import json
 import os
 import tempfile
 
-from conftest import FEED_GOOD, FEED_LATER
+from feeds import FEED_GOOD, FEED_LATER
 
 
 def test_fetch_dashboard_listing(spark, capsys):

@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from feeds import SF_SMALL
 from tools.oracle_check import digest, duck_conn
 
 QUERIES = E.queries()

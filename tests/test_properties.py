@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from feeds import SF_SMALL
 from trendspark.fixtures import fixture, table
 from trendspark.functions import slugify
 from trendspark.operators import publish as PB

@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import FEED_BAD, FEED_EMPTY, FEED_GOOD, FEED_LATER, FEED_NO_NS
+from feeds import FEED_BAD, FEED_EMPTY, FEED_GOOD, FEED_LATER, FEED_NO_NS
 from trendspark.params import Params
 from trendspark.sources.feed import read_feed
 from trendspark.streaming.jobs import start_feed_stream
@@ -67,7 +67,7 @@ def test_max_files_per_trigger_bounds_a_run(spark):
 
 
 def test_publish_stream_is_retry_safe(spark):
-    from conftest import SF_SMALL
+    from feeds import SF_SMALL
     from trendspark.fixtures import fixture
     from trendspark.plans import q_publish
     from trendspark.streaming.jobs import start_publish_stream

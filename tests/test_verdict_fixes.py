@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import FEED_GOOD, SF_SMALL
+from feeds import FEED_GOOD, SF_SMALL
 from trendspark.fixtures import fixture
 from trendspark.functions import parse_pub_date
 from trendspark.operators import translate as TR
