@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -553,6 +553,7 @@ def test_language_kernel_is_exact():
 
 
 @settings(max_examples=80, deadline=None)
+@example({33: 9})
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_covers_counts(counts):
     used = collections.Counter()
@@ -564,7 +565,8 @@ def test_plan_covers_counts(counts):
             used[x] += times
     assert used == collections.Counter(counts)
     total = sum(k * v for k, v in counts.items())
-    assert n <= 1.5 * -(-total // 64) + 1
+    least = max(-(-total // 64), sum(v for k, v in counts.items() if k > 32))  # no two pieces over half share a sequence
+    assert n <= 1.5 * least + 1
 
 
 def test_packing(docs, odd_docs, no_docs):
