@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm import embed_dedup, langid, line_dedup, minhash, mixing, packing, quality, suffix_dedup, token_counts, token_files
+from trendspark.llm import (embed_dedup, langid, line_dedup, merkle, minhash, mixing, packing, quality, quality_fm, suffix_dedup, token_counts,
+                            token_files, whitening)
 from trendspark.llm.common import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,6 +71,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(p, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), _read(spark, sf_dir, "labels").select("doc_id", "quality")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    learn = ~F.coalesce(held, F.lit(True))  # null ids match no label
+    model = quality_fm.fit(docs.where(learn), labels.where(learn), meta=("n_chars",))
+    d = quality_fm.predict(docs, model, meta=("n_chars",))
+    return d.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+    pairs = F.posexplode(F.arrays_zip(F.col("whitened"), F.col("explained"))).alias("at", "one")
+    d = d.select("vec_id", "n", "deviation", "identity_error", pairs)
+    return d.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "one.whitened", "one.explained", "identity_error")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_embedding_near_dedup, op3_quality_rules, op4_token_counts, op5_token_output, op6_minhash_near_dedup,
-    op7_source_mixing, op8_line_dedup, op9_language_id, op10_best_fit_packing)}
+    op7_source_mixing, op8_line_dedup, op9_language_id, op10_best_fit_packing, op11_quality_classifier, op12_embedding_whitening,
+    op13_merkle_manifest)}
