@@ -48,4 +48,42 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, c.c = c.id AS kept FROM c LEFT JOIN n ON n.a = c.id
 """
 
-ORACLE = {"op2_embedding_near_dedup": _OP2, "op3_quality_rules": _op3()}
+# the CRC-32 of the decimal id, bit by bit; its last bit alone decides
+_OP13 = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, *, concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+         coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+         list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                     lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents),
+e AS (SELECT row, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+             CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS t, head FROM d),
+f AS (SELECT row, doc_id, source, leaf, sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS bent,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM e),
+lv AS (SELECT source, 0 AS l, i, leaf AS h, n FROM f
+       UNION ALL
+       SELECT source, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM lv WHERE n > 1 GROUP BY source, l, i // 3, n),
+sub AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+top AS (SELECT 0 AS l, i, h, n FROM sub
+        UNION ALL
+        SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM top WHERE n > 1 GROUP BY l, i // 3, n),
+height AS (SELECT source, max(l) AS t FROM lv GROUP BY source),
+path AS (SELECT f.row, k.l, k.i, k.h, k.i < f.i // pow(3, k.l)::BIGINT AS before FROM f JOIN lv k
+           ON k.source IS NOT DISTINCT FROM f.source AND k.n > 1 AND k.i // 3 = f.i // pow(3, k.l + 1)::BIGINT AND k.i <> f.i // pow(3, k.l)::BIGINT
+         UNION ALL
+         SELECT f.row, x.t + k.l, k.i, k.h, k.i < s.i // pow(3, k.l)::BIGINT FROM f JOIN sub s ON s.source IS NOT DISTINCT FROM f.source
+           JOIN height x ON x.source IS NOT DISTINCT FROM f.source
+           JOIN top k ON k.n > 1 AND k.i // 3 = s.i // pow(3, k.l + 1)::BIGINT AND k.i <> s.i // pow(3, k.l)::BIGINT),
+sides AS (SELECT row, l, coalesce(string_agg(h, '' ORDER BY i) FILTER (before), '') AS a, coalesce(string_agg(h, '' ORDER BY i) FILTER (NOT before), '') AS b
+         FROM path GROUP BY row, l),
+proof AS (SELECT row, string_agg(a || b, '' ORDER BY l) AS p FROM sides GROUP BY row),
+fold AS (SELECT f.row, 0 AS l, bent AS h, x.t + (SELECT max(l) FROM top) AS high FROM f JOIN height x ON x.source IS NOT DISTINCT FROM f.source
+         UNION ALL
+         SELECT fold.row, fold.l + 1, sha256(concat(b.a, fold.h, b.b)), high FROM fold LEFT JOIN sides b ON b.row = fold.row AND b.l = fold.l WHERE fold.l < high),
+root AS (SELECT h FROM top WHERE n = 1)
+SELECT f.doc_id, f.leaf, sub.h AS subroot, root.h AS root, sha256(coalesce(proof.p, '')) AS proof_sha256, fold.h AS folded_root, fold.h = root.h AS verified
+FROM f JOIN sub ON sub.source IS NOT DISTINCT FROM f.source JOIN fold ON fold.row = f.row AND fold.l = fold.high CROSS JOIN root
+LEFT JOIN proof ON proof.row = f.row
+"""
+
+ORACLE = {"op2_embedding_near_dedup": _OP2, "op3_quality_rules": _op3(), "op13_merkle_manifest": _OP13}
