@@ -37,9 +37,9 @@ def _session() -> SparkSession:
 
 def _current(spark, tables):
     from trendspark.operators.state import UPDATES, current_trends
-    from trendspark.streaming.jobs import _read_or_empty
+    from trendspark.streaming.batches import read_or_empty
 
-    return current_trends(_read_or_empty(spark, f"{tables}/trends", S.TRENDS), _read_or_empty(spark, f"{tables}/trend_updates", UPDATES))
+    return current_trends(read_or_empty(spark, f"{tables}/trends", S.TRENDS), read_or_empty(spark, f"{tables}/trend_updates", UPDATES))
 
 
 def _params(a) -> Params:
@@ -56,12 +56,12 @@ def cmd_fetch(spark, a):
     from trendspark.streaming.jobs import start_feed_stream
 
     ckpt = a.checkpoint or f"{a.tables}/_checkpoints/feed"
-    from trendspark.streaming.jobs import _read_or_empty
+    from trendspark.streaming.batches import read_or_empty
 
     q = start_feed_stream(spark, a.feeds, a.tables, _params(a), checkpoint=ckpt)
     if q is not None:
         q.awaitTermination()
-    print(json.dumps({"trends": _read_or_empty(spark, f"{a.tables}/trends", S.TRENDS).count()}))
+    print(json.dumps({"trends": read_or_empty(spark, f"{a.tables}/trends", S.TRENDS).count()}))
 
 
 def cmd_prompts(spark, a):
@@ -104,9 +104,10 @@ def cmd_dashboard(spark, a):
 
 def cmd_listing(spark, a):
     from trendspark.operators import reports as R
-    from trendspark.streaming.jobs import ARTICLES_OUT, _read_or_empty
+    from trendspark.streaming.batches import read_or_empty
+    from trendspark.streaming.jobs import ARTICLES_OUT
 
-    arts = _read_or_empty(spark, f"{a.tables}/articles", ARTICLES_OUT)
+    arts = read_or_empty(spark, f"{a.tables}/articles", ARTICLES_OUT)
     page = R.listing(_current(spark, a.tables), arts, sort=a.sort, order=a.order, page=a.page)
     for r in page.collect():
         print(json.dumps(r.asDict(), default=str))

@@ -75,13 +75,9 @@ def _too_long(df: DataFrame):
     return cond
 
 
-def item_status(items: DataFrame, news: DataFrame, stored_keys: DataFrame, params: Params) -> DataFrame:
-    """Status per feed item in check order (traffic, date, TLD, stored, in-feed duplicate).
-
-    The in-feed rule keeps the first item per (title, pub_date) among those passing
-    the earlier checks. It is a min(feed_pos) aggregate (partial, so a hot key is
-    reduced map-side) joined back on (title, pub_date, feed_pos), a key that stays
-    evenly spread however skewed the title is."""
+def precheck(items: DataFrame, news: DataFrame, stored_keys: DataFrame, params: Params) -> DataFrame:
+    """``_pre``: the outcome of the checks that look at one item alone (traffic, date, TLD, stored key, column bounds), in
+    check order; NULL for a candidate."""
     m = params.min_traffic_effective
     flagged = tld_flagged(news, params).withColumn("_tld", F.lit(True))
     stored = stored_keys.select(*KEY).distinct().withColumn("_stored", F.lit(True))
@@ -94,7 +90,17 @@ def item_status(items: DataFrame, news: DataFrame, stored_keys: DataFrame, param
         # the stored columns are bounded (title 255, link 2048): such rows would fail the insert
         .when(_too_long(x), F.lit(TOO_LONG))
     )
-    x = x.withColumn("_pre", pre).drop("_tld", "_stored")
+    return x.withColumn("_pre", pre).drop("_tld", "_stored")
+
+
+def item_status(items: DataFrame, news: DataFrame, stored_keys: DataFrame, params: Params) -> DataFrame:
+    """Status per feed item in check order (traffic, date, TLD, stored, in-feed duplicate).
+
+    The in-feed rule keeps the first item per (title, pub_date) among those passing
+    the earlier checks. It is a min(feed_pos) aggregate (partial, so a hot key is
+    reduced map-side) joined back on (title, pub_date, feed_pos), a key that stays
+    evenly spread however skewed the title is."""
+    x = precheck(items, news, stored_keys, params)
     # conditional aggregate over the unfiltered frame: both branches share one
     # subtree, so its shuffles are computed once and reused
     firsts = (

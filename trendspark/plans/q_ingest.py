@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trendspark.fixtures import fixture
 from trendspark.functions import migrate_traffic, parse_pub_date, parse_traffic, url_host
+from trendspark.operators import history as H
 from trendspark.operators import ingest as I
 from trendspark.params import Params
 from trendspark.plans.registry import query
@@ -26,25 +27,30 @@ SQL_PUBDATE = """(try_strptime(regexp_extract(pub_date_raw, '^(?:[A-Za-z]+, *)?(
      * (try_cast(substr(pub_date_raw, -4, 2) AS int) * 60 + try_cast(substr(pub_date_raw, -2, 2) AS int)) AS bigint)))"""
 SQL_HOST = "lower(regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//(?:[^/?#@]*@)?([^/?#:\\[\\]]+)', 1))"
 
-CTE_STATUS = f"""WITH
-items AS (
+# every host is computed once and cut into its suffixes, so that the list match is an equi-join
+CTE_ITEMS = f"""WITH
+items AS MATERIALIZED (
   SELECT feed_pos, title, approx_traffic, pub_date_raw, link, snippet, picture,
     {SQL_TRAFFIC} AS traffic, {SQL_PUBDATE} AS pub_date
   FROM fx_feed_items),
-flagged AS (
-  SELECT DISTINCT n.trend_id AS feed_pos FROM fx_news_items n,
-    (VALUES ('tionsh.example.net'), ('cheap-pills.example.com'), ('org.zz')) t(tld)
-  WHERE {SQL_HOST.format(u='n.url')} <> ''
-    AND ({SQL_HOST.format(u='n.url')} = t.tld OR ends_with({SQL_HOST.format(u='n.url')}, '.' || t.tld))),
-pre AS (
-  SELECT i.*, CASE
+hosts AS MATERIALIZED (SELECT trend_id, string_split({SQL_HOST.format(u='url')}, '.') AS parts FROM fx_news_items),
+suffixes AS (SELECT trend_id, unnest(list_transform(range(1, len(parts) + 1), lambda i: array_to_string(parts[i:], '.'))) AS suffix
+  FROM hosts WHERE parts[1] <> ''),
+flagged AS MATERIALIZED (
+  SELECT DISTINCT trend_id AS feed_pos FROM suffixes
+  WHERE suffix IN ('tionsh.example.net', 'cheap-pills.example.com', 'org.zz'))"""
+_PRE = """CASE
     WHEN i.traffic < 100 THEN 'skipped_traffic'
     WHEN i.pub_date IS NULL THEN 'bad_date'
-    WHEN i.feed_pos IN (SELECT feed_pos FROM flagged) THEN 'filtered_tld'
-    WHEN EXISTS (SELECT 1 FROM fx_stored_keys s WHERE s.title = i.title AND s.pub_date = i.pub_date) THEN 'duplicate_stored'
+    WHEN f.feed_pos IS NOT NULL THEN 'filtered_tld'
+    {stored}
     WHEN length(i.title) > 255 OR length(i.link) > 2048 THEN 'too_long'
-  END AS pre FROM items i),
-st AS (
+  END"""
+CTE_STATUS = CTE_ITEMS + f""",
+pre AS MATERIALIZED (
+  SELECT i.*, {_PRE.format(stored="WHEN s.title IS NOT NULL THEN 'duplicate_stored'")} AS pre
+  FROM items i LEFT JOIN flagged f ON f.feed_pos = i.feed_pos LEFT JOIN fx_stored_keys s ON s.title = i.title AND s.pub_date = i.pub_date),
+st AS MATERIALIZED (
   SELECT p.*, coalesce(pre, CASE WHEN feed_pos = min(feed_pos) FILTER (WHERE pre IS NULL) OVER (PARTITION BY title, pub_date)
     THEN 'accepted' ELSE 'duplicate_in_feed' END) AS status FROM pre p),
 capped AS (SELECT * FROM st WHERE status = 'accepted' ORDER BY feed_pos LIMIT 5),
@@ -52,6 +58,20 @@ cut AS (SELECT CASE WHEN count(*) >= 5 THEN max(feed_pos) END AS c FROM capped),
 run AS (SELECT st.*, CASE WHEN cut.c IS NULL OR st.feed_pos <= cut.c THEN status ELSE 'after_cap' END AS run_status
         FROM st, cut)
 """
+# documents of 100 positions, one run after the other: what the earlier ones took is carried along
+CTE_RUNS = CTE_ITEMS.replace("WITH", "WITH RECURSIVE", 1) + f""",
+cand AS MATERIALIZED (
+  SELECT dense_rank() OVER (ORDER BY d) AS n, min(feed_pos) AS pos, title, pub_date, title || '|' || pub_date AS k
+  FROM (SELECT i.*, floor(i.feed_pos / 100) AS d, {_PRE.format(stored='')} AS pre FROM items i LEFT JOIN flagged f ON f.feed_pos = i.feed_pos)
+  WHERE pre IS NULL GROUP BY d, title, pub_date),
+runs(n, took, places) AS (
+  SELECT cast(0 AS bigint), cast([] AS varchar[]), cast([] AS bigint[])
+  UNION ALL
+  SELECT r.n + 1, list_concat(any_value(r.took), coalesce(list_slice(list(c.k ORDER BY c.pos) FILTER (WHERE NOT list_contains(r.took, c.k)), 1, 5), [])),
+    list_concat(any_value(r.places), coalesce(list_slice(list(c.pos ORDER BY c.pos) FILTER (WHERE NOT list_contains(r.took, c.k)), 1, 5), []))
+  FROM runs r JOIN cand c ON c.n = r.n + 1 GROUP BY r.n),
+taken AS (SELECT unnest(places) AS feed_pos FROM (SELECT places FROM runs ORDER BY n DESC LIMIT 1))
+"""
 
 
 def _feed(spark, sf):
@@ -109,7 +129,9 @@ def q_host_suffix_match(spark, sf):
 @query("not_yet_stored", CTE_STATUS + """SELECT feed_pos, title, pub_date FROM items i
 WHERE NOT EXISTS (SELECT 1 FROM fx_stored_keys s WHERE s.title = i.title AND s.pub_date = i.pub_date)""", fx=FEED)
 def q_not_yet_stored(spark, sf):
-    return I.not_yet_stored(_feed(spark, sf), fixture(spark, sf, "fx_stored_keys")).select("feed_pos", "title", "pub_date")
+    items = _feed(spark, sf)
+    stored = H.stored_keys(fixture(spark, sf, "fx_stored_keys"), items)
+    return I.not_yet_stored(items, stored).select("feed_pos", "title", "pub_date")
 
 
 @query("dedupe_in_feed", CTE_STATUS + """SELECT feed_pos, title, pub_date FROM items

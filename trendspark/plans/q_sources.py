@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trendspark.fixtures import fixture
 from trendspark.operators import ingest as I
+from trendspark.operators.common import global_index
 from trendspark.operators import media as M
 from trendspark.operators import prompts as PR
 from trendspark.operators import publish as PB
@@ -68,34 +69,46 @@ def q_news_explode(spark, sf):
     return n.join(it.select("feed_pos", "link"), "feed_pos").select("link", "news_pos", "title", "snippet", "url", "source")
 
 
-# ---- streams (rows-only: they land files under spark.checkpoint.dir and read the tables back)
+# ---- streams (they land files under spark.checkpoint.dir, run, and read the tables back)
 
 def _scratch(spark, kind):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/registered/{kind}-{uuid.uuid4().hex}"
 
 
-def _land_docs(spark, sf, path):
-    _docs(spark, sf).withColumn("doc", F.col("path")).select("doc", "value").write.partitionBy("doc").text(path)
+#: documents that land between two runs of ``max_per_run``, which is also the most files that a micro-batch of it takes
+WAVE = 64
 
 
-def _feed_stream(spark, sf, max_files):
+def _feed_stream(spark, sf, wave, max_files):
+    """Land the feed's documents in waves, in document order, and run the stream after each wave."""
     from trendspark.streaming.jobs import start_feed_stream
 
     base = _scratch(spark, "feed")
-    _land_docs(spark, sf, f"{base}/landing")
-    start_feed_stream(spark, f"{base}/landing", f"{base}/tables", q_ingest.P, checkpoint=f"{base}/ckpt",
-                      max_files=max_files).awaitTermination()
-    return spark.read.parquet(f"{base}/tables/trends")
+    docs = _docs(spark, sf).withColumn("doc", F.col("path")).select("doc", "value")
+    docs = global_index(docs, ["doc"], "i").withColumn("wave", F.floor(F.col("i") / wave) if wave else F.lit(0)).drop("i").checkpoint(eager=True)
+    for w in range(docs.agg(F.max("wave")).first()[0] + 1):
+        docs.filter(F.col("wave") == w).drop("wave").write.mode("append").partitionBy("doc").text(f"{base}/landing")
+        start_feed_stream(spark, f"{base}/landing", f"{base}/tables", q_ingest.P, checkpoint=f"{base}/ckpt",
+                          max_files=max_files).awaitTermination()
+    return spark.read.parquet(f"{base}/tables/trends").select(*S.TRENDS.fieldNames())
 
 
-@query("feed_stream")
+_STREAM_SQL = q_ingest.CTE_RUNS + """
+SELECT cast(row_number() OVER (ORDER BY i.feed_pos) AS bigint) AS id, title, traffic, pub_date, link, snippet, picture AS image_url,
+  0 AS processed, cast(NULL AS bigint) AS node_id, cast(995198400 AS bigint) AS imported_at, cast(NULL AS decimal(10,6)) AS processing_cost
+FROM items i JOIN taken t ON t.feed_pos = i.feed_pos"""
+
+
+@query("feed_stream", _STREAM_SQL, fx=FXF)
 def q_feed_stream(spark, sf):
-    return _feed_stream(spark, sf, None)
+    """O-T1: all documents in one micro-batch; each is a run of its own."""
+    return _feed_stream(spark, sf, None, None)
 
 
-@query("max_per_run")
+@query("max_per_run", _STREAM_SQL, fx=FXF)
 def q_max_per_run(spark, sf):
-    return _feed_stream(spark, sf, 20)
+    """O-T2: the same documents in waves and in micro-batches of a bounded number of files: the same trends."""
+    return _feed_stream(spark, sf, WAVE, WAVE)
 
 
 @query("process_stream")

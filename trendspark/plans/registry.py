@@ -49,6 +49,8 @@ def query(name: str, sql: str | None = None, fx: tuple[str, ...] = ()):
             if fx:
                 head = duck_with(*fx).rstrip()
                 # merge the query's own WITH list into the fixture WITH list
+                if re.match(r"(?i)WITH\s+RECURSIVE\s", body):
+                    head, body = head.replace("WITH", "WITH RECURSIVE", 1), re.sub(r"(?i)^WITH\s+RECURSIVE", "WITH", body)
                 body = head + ",\n" + body[5:] if re.match(r"(?i)WITH\s", body) else head + "\n" + body
             ORACLE[name] = body
         return fn

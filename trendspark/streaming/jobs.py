@@ -1,9 +1,11 @@
 """O-T1..T4: incremental runs over landing folders.
 
 * ``start_feed_stream`` (O-T1, O-T2): new feed files -> the ingest job per
-  micro-batch, anti-joined with the stored keys, appended to the trends/news
-  tables. ``availableNow`` drains what has landed; ``maxFilesPerTrigger``
-  bounds one run. The checkpoint records each file once.
+  micro-batch, appended to the trends/news tables. A file is one run with its own cap
+  (``operators/runs.py``), however many files a micro-batch has. ``availableNow``
+  drains what has landed; ``maxFilesPerTrigger`` bounds a micro-batch. The checkpoint
+  records each file once; a micro-batch that stops is taken up from what it decided
+  (``batches.py``).
 * ``start_publish_stream`` (O-T3, O-T4): new model answers -> articles. An
   answer whose trend already has an article is skipped (retry-safe), failures
   go to the audit table and leave the trend pending.
@@ -14,51 +16,76 @@ Checkpoints and tables live under the shared folder named by
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from trendspark import schemas as S
+from trendspark.operators import history as H
 from trendspark.operators import ingest as I
 from trendspark.operators import publish as PB
+from trendspark.operators import runs as R
 from trendspark.operators import state as ST
 from trendspark.params import Params
 from trendspark.sources import feed as FEED
 from trendspark.sources.dimensions import model_prices
 from trendspark.session import ensure_checkpoint_dir
+from trendspark.streaming.batches import Batch, read_or_empty, run
+
 
+def stream_name(checkpoint: str) -> str:
+    """A stream is known by its checkpoint, as its epochs are counted there."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:24]
 
-def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table, or no rows if its folder does not exist yet; any other fault is raised."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
 
 
 _NEWS_COLS = ["trend_id", "news_pos", "title", "snippet", "url", "source"]
 NEWS_OUT = "trend_id bigint, news_pos bigint, title string, snippet string, url string, source string"
-
-
-def ingest_batch(spark: SparkSession, docs: DataFrame, tables: str, params: Params) -> dict[str, int]:
-    """One ingest run over feed documents (path, value); appends to ``tables``."""
-    parsed = FEED.parse_documents(docs)
-    items = FEED.feed_items(parsed)
-    news = FEED.news_explode(items)
-    stored = _read_or_empty(spark, f"{tables}/trends", S.TRENDS)
-    out = I.ingest_trends(items.drop("news_item"), news, stored, params, materialize=True)
-    trends = out["trends"]
-    n = trends.count()
-    if n:
-        # children first: a run that stopped in between is taken up again with the same ids, as its
-        # trends aren't stored yet, and adds only the children that are missing
-        have = _read_or_empty(spark, f"{tables}/news", NEWS_OUT).select("trend_id", "news_pos")
-        out["news"].join(have, ["trend_id", "news_pos"], "left_anti").select(*_NEWS_COLS).write.mode("append").parquet(f"{tables}/news")
-        trends.write.mode("append").parquet(f"{tables}/trends")
-    audit = out["audit"].unionByName(FEED.feed_rejects(parsed).select(
-        F.lit("feed").alias("stage"), F.col("path").alias("key"), "reason", F.lit(None).cast("string").alias("detail")))
-    audit.write.mode("append").parquet(f"{tables}/audit")
-    return {"accepted": n}
+#: stored trends and the folder (day of the date) they are kept in; NULL where a table is kept without folders
+TRENDS_IN = T.StructType([*S.TRENDS.fields, T.StructField("pub_day", T.StringType()), T.StructField("batch", T.StringType())])
+
+
+def read_trends(spark: SparkSession, tables: str) -> DataFrame:
+    return read_or_empty(spark, f"{tables}/trends", TRENDS_IN)
+
+
+def _ingest_decisions(spark: SparkSession, docs: DataFrame, tables: str, params: Params) -> DataFrame:
+    """One row per item (its status, its id if accepted, its fields and children) and per rejected document."""
+    parsed = FEED.checked(FEED.parse_documents(docs)).checkpoint(eager=True)  # the XML is parsed once
+    items = I.typed_items(FEED.feed_items(parsed)).checkpoint(eager=True)
+    stored = read_trends(spark, tables)
+    status = R.document_status(items, FEED.news_explode(items), H.stored_keys(stored, items), params).checkpoint(eager=True)
+    last = stored.agg(F.max("id")).first()[0] or 0
+    ids = R.numbered(status.filter(F.col("status") == I.ACCEPTED).select("feed_pos"), last + 1)
+    rows = status.join(ids, "feed_pos", "left").select(
+        F.lit("ingest").alias("stage"), F.col("feed_pos").cast("string").alias("key"), "status", "id", "feed_pos", "title", "traffic", "pub_date",
+        "link", "snippet", "picture", F.when(F.col("id").isNotNull(), F.col("news_item")).alias("news_item"))
+    rejects = parsed.filter(F.col("reason").isNotNull()).select(F.lit("feed").alias("stage"), F.col("path").alias("key"), F.col("reason").alias("status"))
+    return rows.unionByName(rejects, allowMissingColumns=True).withColumn("seq", F.monotonically_increasing_id())
+
+
+def _ingest_apply(batch: Batch, params: Params) -> None:
+    d = batch.decisions()
+    took = d.filter(F.col("id").isNotNull())
+    batch.append("news", I.append_news(FEED.news_explode(took), took).select(*_NEWS_COLS), ["trend_id", "news_pos"])
+    batch.append("trends", I.append_trends(took, params).withColumn("pub_day", H.pub_day(F.col("pub_date"))), ["id"], day="pub_day")
+    audit = d.filter(F.col("status") != I.ACCEPTED).select(
+        "stage", "key", F.col("status").alias("reason"), F.col("title").alias("detail"), "seq")
+    batch.append("audit", audit, ["seq"])
+
+
+def ingest_batch(spark: SparkSession, docs: DataFrame, tables: str, params: Params, stream: str | None = None, epoch: int = 0) -> dict[str, int]:
+    """Runs over feed documents (path, value), one a document, in path order; appends to ``tables``. ``stream`` and ``epoch``
+    name the batch, so that its replay changes nothing. A disabled import reads and writes nothing."""
+    if not params.import_enabled:
+        return {"accepted": 0}
+    batch = Batch(spark, tables, "feed", stream, epoch)
+    if not run(batch, lambda: _ingest_decisions(spark, docs, tables, params), lambda b: _ingest_apply(b, params)):
+        return {"accepted": 0}
+    return {"accepted": batch.decisions().filter(F.col("id").isNotNull()).count()}
 
 
 def start_feed_stream(spark: SparkSession, landing: str, tables: str, params: Params,
@@ -74,10 +101,10 @@ def start_feed_stream(spark: SparkSession, landing: str, tables: str, params: Pa
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.load(landing).select(F.col("_metadata.file_path").alias("path"), "value")
 
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        ingest_batch(batch.sparkSession, batch, tables, params)
+    def each(batch: DataFrame, epoch_id: int) -> None:
+        ingest_batch(batch.sparkSession, batch, tables, params, stream=stream_name(ckpt), epoch=epoch_id)
 
-    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
+    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="60 seconds")
     return w.start()
 
@@ -94,10 +121,10 @@ def publish_batch(spark: SparkSession, answers: DataFrame, tables: str, vocab: D
     (O-T4). Intermediate results are checkpointed before writing, so the guard does
     not see this batch's own articles and a recomputation cannot change them. The
     published trends are marked processed through the append-only update log."""
-    stored = _read_or_empty(spark, f"{tables}/trends", S.TRENDS)
-    updates = _read_or_empty(spark, f"{tables}/trend_updates", ST.UPDATES)
+    stored = read_or_empty(spark, f"{tables}/trends", S.TRENDS)
+    updates = read_or_empty(spark, f"{tables}/trend_updates", ST.UPDATES)
     trends = ST.current_trends(stored, updates)
-    existing = _read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT)
+    existing = read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT)
     out = PB.publish_articles(answers, trends, vocab, users, model_prices(spark), params, existing=existing, materialize=True)
     arts = out["articles"]
     n = arts.count()
@@ -105,7 +132,7 @@ def publish_batch(spark: SparkSession, answers: DataFrame, tables: str, vocab: D
         arts.write.mode("append").parquet(f"{tables}/articles")
     # from all articles whose trend is still pending, so that a run that stopped after its articles is completed
     pending = trends.filter(F.col("processed") == 0).select("id")
-    done = _read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT).select(
+    done = read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT).select(
         F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost")).join(pending, "id").checkpoint(eager=True)
     if done.limit(1).count():
         ST.trend_updates(done, params.as_of_epoch).write.mode("append").parquet(f"{tables}/trend_updates")
