@@ -72,13 +72,13 @@ def cmd_prompts(spark, a):
     trends = _current(spark, a.tables).checkpoint(eager=True)
     news = spark.read.parquet(f"{a.tables}/news")
     pages, vocab = spark.read.parquet(a.pages), spark.read.parquet(a.vocab)
-    prompts = PR.build_prompts(trends, news, pages, vocab, p)
-    prompts.write.mode("overwrite").parquet(f"{a.tables}/prompts")
-    texts = PR.trend_text(PR.news_pieces(PR.news_of_pending(news, PR.pending_trends(trends)), pages))
-    done = PR.no_article(trends, news, texts, p).select(
+    mine = PR.news_of_pending(news, PR.pending_trends(trends))
+    pieces = PR.page_pieces(mine, pages).checkpoint(eager=True)  # pages are read and cleaned once for the three outputs
+    PR.build_prompts(trends, news, pages, vocab, p, pieces).write.mode("overwrite").parquet(f"{a.tables}/prompts")
+    done = PR.no_article(trends, news, PR.trend_text(mine, pieces), p).select(
         "id", F.lit(None).cast("bigint").alias("node_id"), F.lit(None).cast("decimal(10,6)").alias("processing_cost"))
     trend_updates(done, p.as_of_epoch).write.mode("append").parquet(f"{a.tables}/trend_updates")
-    PR.scrape_audit(PR.news_of_pending(news, PR.pending_trends(trends)), pages).write.mode("append").parquet(f"{a.tables}/audit")
+    PR.scrape_audit(mine, pages, pieces).write.mode("append").parquet(f"{a.tables}/audit")
     print(json.dumps({"prompts": spark.read.parquet(f"{a.tables}/prompts").count()}))
 
 

@@ -2,11 +2,11 @@
 
 Per trend the reference fetches every page again, collects <img> URLs in page
 order, drops repeats, probes sizes, sorts by area and keeps ten downloads, and
-takes the first YouTube/Vimeo iframe. Here: one regex pass per page row,
-``posexplode`` to image rows, a partial aggregate for first occurrence, a join
-for sizes, and a ``row_number() <= 10`` window that Spark limits per map
-partition before the shuffle (so a trend with millions of images ships at most
-ten per partition).
+takes the first YouTube/Vimeo iframe. Here: one projection per needed page
+(``pages.py``), sizes and landed bytes joined per page and cut to the images a
+trend could keep, then per trend a partial aggregate for first occurrence and a
+``row_number() <= 10`` window that Spark limits per map partition before the
+shuffle (so a trend with millions of images ships at most ten per partition).
 """
 
 from __future__ import annotations
@@ -15,13 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trendspark.functions import (
-    alt_text, image_extension, image_filename, is_video_url, normalize_video_url, vimeo_id, youtu_be_id, youtube_embed_id,
-)
+from trendspark.functions import alt_text, image_extension, image_filename, normalize_video_url, vimeo_id, youtu_be_id, youtube_embed_id
+from trendspark.operators.pages import needed_pages, page_facts
 from trendspark.params import MAX_IMAGES
-
-IMG_SRC = r"""(?i)<img\b[^>]*[ \t\n\r\f]src=["']([^"']*)["']"""
-IFRAME_SRC = r"""(?i)<iframe\b[^>]*[ \t\n\r\f]src=["']([^"']*)["']"""
+from trendspark.session import ensure_checkpoint_dir
 
 # Thumbnail URL layouts of the two video services.
 YOUTUBE_MAXRES = "https://img.youtube.com/vi/{id}/maxresdefault.jpg"
@@ -48,18 +45,46 @@ def resolve_url(src: Column, page_url: Column) -> Column:
     )
 
 
+def page_media(news: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, images, video) of the pages that ``news`` needs; a narrow table, read by all steps below."""
+    return page_facts(needed_pages(news, pages)).select("url", "images", "video")
+
+
+def image_rows(facts: DataFrame) -> DataFrame:
+    """(page_url, img_pos, url): the images of each page in page order."""
+    i = facts.select("url", F.explode("images").alias("i"))
+    return i.select(F.col("url").alias("page_url"), F.col("i.img_pos").cast("bigint").alias("img_pos"), resolve_url(F.col("i.src"), F.col("url")).alias("url"))
+
+
 def page_images(news: DataFrame, pages: DataFrame) -> DataFrame:
     """O-U1 media_union: (trend_id, news_pos, img_pos, url) for every <img> of every
     child page, in page order. Pages are read once per distinct URL."""
-    imgs = pages.select(
-        "url", F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(IMG_SRC), 1)).alias("img_pos", "src")
-    ).filter(F.col("src") != "")
-    imgs = imgs.select(F.col("url").alias("page_url"), "img_pos", resolve_url(F.col("src"), F.col("url")).alias("img_url"))
     # no repartition by trend here: the de-dup below is a partial aggregate on
     # (trend, url) and the rank gets a per-partition WindowGroupLimit, so a trend
     # holding a large share of all images is spread and cut before it is shuffled
-    n = news.select("trend_id", "news_pos", F.col("url").alias("page_url"))
-    return n.join(imgs, "page_url").select("trend_id", "news_pos", F.col("img_pos").cast("bigint"), F.col("img_url").alias("url"))
+    return _of_news(news, image_rows(page_media(news, pages))).select("trend_id", "news_pos", "img_pos", "url")
+
+
+def _of_news(news: DataFrame, by_page: DataFrame) -> DataFrame:
+    return news.select("trend_id", "news_pos", F.col("url").alias("page_url")).join(by_page, "page_url")
+
+
+def page_top_images(facts: DataFrame, image_meta: DataFrame, landed: DataFrame | None = None, n: int = MAX_IMAGES) -> DataFrame:
+    """(page_url, img_pos, url, width, height): the images of each page that a trend could keep.
+
+    Sizes and landed bytes are joined to pages, not to trends, which list a page many times. An image that ``n`` others of its
+    page beat (by area, or by place at equal area) can't be among the first ``n`` of any trend that has the page, so
+    no more than ``n`` distinct images of a page go on."""
+    i = image_rows(facts).groupBy("page_url", "url").agg(F.min("img_pos").alias("img_pos"))
+    i = image_dims_lookup(i if landed is None else landed_only(i, landed), image_meta)
+    return top_images(i.withColumnRenamed("page_url", "trend_id"), n, ("img_pos",)).withColumnRenamed("trend_id", "page_url") \
+        .select("page_url", "img_pos", "url", "width", "height")
+
+
+def landed_only(images: DataFrame, landed: DataFrame) -> DataFrame:
+    """O-S6: images whose bytes have landed. ``landed`` = (url, length), a listing of the landed files; a file without bytes is
+    a dead image. Dead images take none of a trend's places."""
+    return images.join(landed.filter(F.col("length") > 0).select("url").distinct(), "url", "left_semi")
 
 
 def image_dedupe(images: DataFrame, order: tuple[str, ...] = ("news_pos", "img_pos")) -> DataFrame:
@@ -92,20 +117,12 @@ def top_images(images: DataFrame, n: int = MAX_IMAGES, order: tuple[str, ...] =
     return media_rank(images, order).filter(F.col("rank") <= n).withColumn("file_index", F.col("rank") - 1)
 
 
-def page_videos(pages: DataFrame) -> DataFrame:
-    """(url, vid_pos, src): video iframes of each page in document order."""
-    v = pages.select("url", F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(IFRAME_SRC), 1)).alias("vid_pos", "src"))
-    return v.filter(is_video_url(F.col("src")))
-
-
-def first_video(news: DataFrame, pages: DataFrame) -> DataFrame:
+def first_video(news: DataFrame, facts: DataFrame) -> DataFrame:
     """O-F17 + O-X19: the first video iframe of the first child page that has one."""
-    v = page_videos(pages).withColumnRenamed("url", "page_url")
-    n = news.select("trend_id", "news_pos", F.col("url").alias("page_url"))
-    j = n.join(v, "page_url")  # min_by below is a partial aggregate: skew-safe per trend
-    return j.groupBy("trend_id").agg(
-        F.min_by(F.col("src"), F.struct("news_pos", "vid_pos")).alias("src")
-    ).select("trend_id", normalize_video_url(F.col("src")).alias("video_url"))
+    v = facts.filter(F.col("video").isNotNull()).select(F.col("url").alias("page_url"), "video")
+    # min_by is a partial aggregate: skew-safe per trend
+    return _of_news(news, v).groupBy("trend_id").agg(F.min_by("video", "news_pos").alias("src")) \
+        .select("trend_id", normalize_video_url(F.col("src")).alias("video_url"))
 
 
 def video_thumbnail(videos: DataFrame, url_status: DataFrame) -> DataFrame:
@@ -121,12 +138,14 @@ def video_thumbnail(videos: DataFrame, url_status: DataFrame) -> DataFrame:
         F.when((yt == "") & (ys == "") & (vm != ""), _fmt(VIMEO_API, vm)).alias("_api"),
     )
     st = url_status.groupBy("url").agg(F.max("status").alias("status"), F.max("body").alias("body"))
-    probe = st.select(F.col("url").alias("_probe"), F.col("status").alias("_probe_status"))
-    api = st.select(F.col("url").alias("_api"), F.col("status").alias("_api_status"), F.col("body").alias("_api_body"))
-    v = v.join(probe, "_probe", "left").join(api, "_api", "left")
-    vimeo_thumb = F.when(F.col("_api_status") == 200, F.get_json_object(F.col("_api_body"), "$[0].thumbnail_large"))
+    # one look-up by one key: a video has a probe or an API address or neither; those with neither skip the join, as NULL
+    # keys would all meet in one task
+    v = v.withColumn("_key", F.coalesce("_probe", "_api"))
+    found = v.filter(F.col("_key").isNotNull()).join(st.withColumnRenamed("url", "_key"), "_key", "left")
+    v = found.unionByName(v.filter(F.col("_key").isNull()), allowMissingColumns=True)
+    vimeo_thumb = F.when(F.col("status") == 200, F.get_json_object(F.col("body"), "$[0].thumbnail_large"))
     thumb = (
-        F.when(F.col("_probe").isNotNull(), F.when(F.col("_probe_status") == 200, F.col("_probe")).otherwise(F.col("_hq")))
+        F.when(F.col("_probe").isNotNull(), F.when(F.col("status") == 200, F.col("_probe")).otherwise(F.col("_hq")))
         .when(F.col("_short").isNotNull(), F.col("_short"))
         .when(F.col("_api").isNotNull(), vimeo_thumb)
     )
@@ -197,15 +216,14 @@ def name_collisions(manifest: DataFrame) -> DataFrame:
 
 
 def extract_media(news: DataFrame, pages: DataFrame, image_meta: DataFrame, url_status: DataFrame,
-                  trends: DataFrame, materialize: bool = False) -> dict[str, DataFrame]:
-    """O-P4 composite. The kept images feed the file list, the fallback test and the
-    counts with different columns; with ``materialize`` they and the videos are
-    computed once and checkpointed (spark.checkpoint.dir)."""
-    imgs = image_dedupe(page_images(news, pages))
-    top = top_images(image_dims_lookup(imgs, image_meta))
-    videos = first_video(news, pages)
-    if materialize:
-        top, videos = top.checkpoint(eager=True), videos.checkpoint(eager=True)
+                  trends: DataFrame, landed: DataFrame | None = None, facts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """O-P4 composite. Images and videos of the needed pages, and the kept images and videos of the trends, feed
+    several outputs with different columns; they are computed once and checkpointed (spark.checkpoint.dir).
+    ``facts``: :func:`page_media` where it is at hand."""
+    ensure_checkpoint_dir(news.sparkSession)
+    facts = (page_media(news, pages) if facts is None else facts).checkpoint(eager=True)
+    top = top_images(image_dedupe(_of_news(news, page_top_images(facts, image_meta, landed)).drop("page_url"))).checkpoint(eager=True)
+    videos = first_video(news, facts).checkpoint(eager=True)
     thumbs = video_thumbnail(videos, url_status)
     files = media_files(top, thumbs, trends)
     return {"images": top, "videos": thumbs, "files": files, "counts": media_counts(files, videos)}

@@ -3,18 +3,19 @@
 The reference loops per trend and per news URL, fetching each page twice. Here a
 page is cleaned once per distinct URL (pieces by URL), joined to the news rows,
 and the pieces of a trend are concatenated in child order by one grouped
-aggregate.
+aggregate. Only pages that pending news need are read (``operators/pages.py``).
 """
 
 from __future__ import annotations
 
 from importlib import resources
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.functions import fill_template, main_content, scraped_piece
+from trendspark.functions import fill_template
 from trendspark.functions.text import php_trim
+from trendspark.operators.pages import needed_pages, page_facts
 from trendspark.params import NO_TAGS_TEXT, TEXT_PIECE_SEPARATOR, Params
 
 # Default prompt template (a job parameter; any template with three %s slots works). The
@@ -22,6 +23,10 @@ from trendspark.params import NO_TAGS_TEXT, TEXT_PIECE_SEPARATOR, Params
 DEFAULT_PROMPT = resources.files("trendspark.resources").joinpath("default_prompt.txt").read_text(encoding="utf-8")
 
 
+#: Children up to which a trend's text is put together in one step, and ranges of positions beyond that.
+CHUNK_ROWS, CHUNKS = 1_000, 256
+
+
 def pending_trends(trends: DataFrame) -> DataFrame:
     """O-SRC5: trends still to process (processed = 0)."""
     return trends.filter(F.col("processed") == 0)
@@ -32,39 +37,25 @@ def news_of_pending(news: DataFrame, pending: DataFrame) -> DataFrame:
     return news.join(pending.select(F.col("id").alias("trend_id")), "trend_id", "left_semi")
 
 
-def dedupe_pages(pages: DataFrame) -> DataFrame:
-    """One page per URL (lowest page_id wins) so the URL join cannot fan out."""
-    if "page_id" in pages.columns:
-        return pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
-    return pages.groupBy("url").agg(F.max("html").alias("html"))
-
-
-def page_pieces(pages: DataFrame) -> DataFrame:
-    """(url, piece): each distinct page cleaned once (O-X6..X8, O-F10)."""
-    # two projections: the content column is computed once, not inlined per use
-    p = dedupe_pages(pages).withColumn("content", main_content(F.col("html")))
-    return p.select("url", scraped_piece(F.col("html"), F.col("content")).alias("piece"))
+def page_pieces(news: DataFrame, pages: DataFrame) -> DataFrame:
+    """(url, piece): each distinct page that ``news`` needs, cleaned once (O-X6..X8, O-F10)."""
+    return page_facts(needed_pages(news, pages)).select("url", "piece")
 
 
 def page_source(news: DataFrame, pages: DataFrame) -> DataFrame:
     """O-SRC6 / O-J7: news rows with their page HTML; a missing page yields ''."""
-    return news.join(dedupe_pages(pages), "url", "left").withColumn("html", F.coalesce(F.col("html"), F.lit("")))
-
+    return news.join(needed_pages(news, pages), "url", "left").withColumn("html", F.coalesce(F.col("html"), F.lit("")))
 
-def news_pieces(news: DataFrame, pages: DataFrame) -> DataFrame:
-    """News rows with the cleaned text of their page ('' when missing or empty).
 
-    The small news rows are hash-partitioned by trend first: when the pieces side
-    is broadcast (AQE, by runtime size) the join keeps that partitioning and the
-    per-trend aggregate needs no second shuffle of the large text rows."""
-    return news.repartition("trend_id").join(page_pieces(pages), "url", "left") \
-        .withColumn("piece", F.coalesce(F.col("piece"), F.lit("")))
+def news_pieces(news: DataFrame, pieces: DataFrame) -> DataFrame:
+    """News rows with the cleaned text of their page ('' when missing or empty)."""
+    return news.join(pieces, "url", "left").withColumn("piece", F.coalesce(F.col("piece"), F.lit("")))
 
 
-def scrape_audit(news: DataFrame, pages: DataFrame) -> DataFrame:
+def scrape_audit(news: DataFrame, pages: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
     """O-SNK10 (prompt part): news URLs with no landed page (the fetch failed) or
     whose page gave no text."""
-    p = page_pieces(pages).withColumn("_has_page", F.lit(True))
+    p = (page_pieces(news, pages) if pieces is None else pieces).withColumn("_has_page", F.lit(True))
     j = news.join(p, "url", "left")
     reason = F.when(F.col("_has_page").isNull(), F.lit("scrape_failed")).when(F.col("piece") == "", F.lit("no_content"))
     return j.select(
@@ -74,14 +65,33 @@ def scrape_audit(news: DataFrame, pages: DataFrame) -> DataFrame:
     ).filter(F.col("reason").isNotNull())
 
 
-def trend_text(pieces: DataFrame) -> DataFrame:
-    """O-A10: pieces concatenated in child order, the separator after every piece,
-    plus a flag telling whether any piece had text (O-F9 intent)."""
-    ordered = F.array_sort(F.collect_list(F.struct("news_pos", F.concat("piece", F.lit(TEXT_PIECE_SEPARATOR)).alias("p"))))
-    return pieces.groupBy("trend_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("text"),
-        F.max(F.when(php_trim(F.col("piece")) != "", F.lit(1)).otherwise(F.lit(0))).alias("has_text"),
-    )
+def _joined(pieces: DataFrame, by: list[str], order: str, text: Column) -> DataFrame:
+    """Strings of a group in order, as one; ``has_text`` if one of them has any."""
+    ordered = F.array_sort(F.collect_list(F.struct(order, text.alias("p"))))
+    return pieces.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("text"), F.max("has_text").alias("has_text"))
+
+
+def _separated(pieces: DataFrame, by: list[str]) -> DataFrame:
+    p = pieces.withColumn("has_text", F.when(php_trim(F.col("piece")) != "", F.lit(1)).otherwise(F.lit(0)))
+    return _joined(p, by, "news_pos", F.concat("piece", F.lit(TEXT_PIECE_SEPARATOR)))
+
+
+def trend_text(news: DataFrame, pieces: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """O-A10: (trend_id, text, has_text): pieces concatenated in child order, the separator after every piece, plus a flag
+    telling whether any piece had text (O-F9 intent).
+
+    News rows are dealt by trend before the join: where the pieces are broadcast (AQE, by their size) the join keeps that
+    partitioning and the texts aren't shuffled again. Trends with more than ``chunk_rows`` children are taken apart: their
+    rows are dealt by ranges of positions (quantiles of each such trend), every range becomes one string in a
+    task of its own, and the strings of the ranges are put together in order. Both ways give the same text."""
+    hot = news.groupBy("trend_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows).select("trend_id")
+    few = news.join(hot, "trend_id", "left_anti").repartition("trend_id")
+    many = news.join(hot, "trend_id", "left_semi")
+    at = [i / CHUNKS for i in range(1, CHUNKS)]
+    bounds = many.groupBy("trend_id").agg(F.percentile_approx("news_pos", at).alias("_at"))
+    many = many.join(bounds, "trend_id").withColumn("_chunk", F.size(F.filter("_at", lambda b: b < F.col("news_pos")))).drop("_at")
+    parts = _separated(news_pieces(many, pieces), ["trend_id", "_chunk"])
+    return _separated(news_pieces(few, pieces), ["trend_id"]).unionByName(_joined(parts, ["trend_id"], "_chunk", F.col("text")))
 
 
 def tags_prompt_list(vocab: DataFrame, params: Params):
@@ -114,13 +124,16 @@ def no_article(trends: DataFrame, news: DataFrame, texts: DataFrame, params: Par
     return no_news.unionByName(no_text)
 
 
-def build_prompts(trends: DataFrame, news: DataFrame, pages: DataFrame, vocab: DataFrame, params: Params) -> DataFrame:
+def build_prompts(trends: DataFrame, news: DataFrame, pages: DataFrame, vocab: DataFrame, params: Params,
+                  pieces: DataFrame | None = None) -> DataFrame:
     """O-P2 composite: (trend_id, title, text, tags_list, prompt) per pending trend
-    that has news and (unless literal_quirks) some scraped text."""
+    that has news and (unless literal_quirks) some scraped text. ``pieces``: the cleaned
+    pages where they are at hand."""
     pend = pending_trends(trends)
     if not params.import_enabled:  # O-F16 gate
         pend = pend.limit(0)
-    texts = trend_text(news_pieces(news_of_pending(news, pend), pages))
+    mine = news_of_pending(news, pend)
+    texts = trend_text(mine, page_pieces(mine, pages) if pieces is None else pieces)
     if not params.literal_quirks:
         texts = texts.filter(F.col("has_text") == 1)
     template = params.prompt_template or DEFAULT_PROMPT

@@ -9,6 +9,7 @@ from trendspark.fixtures import fixture
 from trendspark.functions import image_extension, slugify
 from trendspark.functions import text as T
 from trendspark.operators import media as M
+from trendspark.operators.pages import IFRAME_SRC
 from trendspark.operators.prompts import news_of_pending, pending_trends
 from trendspark.plans.duck_text import q
 from trendspark.plans.registry import query
@@ -76,27 +77,19 @@ files AS (
 """
 
 
-def _dd(spark, sf):
+def _media(spark, sf):
     t, n, p = _inputs(spark, sf)
-    return M.image_dedupe(M.page_images(n, p))
-
+    return M.extract_media(n, p, fixture(spark, sf, "fx_image_meta"), fixture(spark, sf, "fx_url_status"), t)
 
-def _top(spark, sf):
-    return M.top_images(M.image_dims_lookup(_dd(spark, sf), fixture(spark, sf, "fx_image_meta")))
 
-
-def _videos(spark, sf):
+def _dd(spark, sf):
     t, n, p = _inputs(spark, sf)
-    return M.first_video(n, p)
-
-
-def _thumbs(spark, sf):
-    return M.video_thumbnail(_videos(spark, sf), fixture(spark, sf, "fx_url_status"))
+    return M.image_dedupe(M.page_images(n, p))
 
 
-def _files(spark, sf):
+def _videos(spark, sf):
     t, n, p = _inputs(spark, sf)
-    return M.media_files(_top(spark, sf), _thumbs(spark, sf), t)
+    return M.first_video(n, M.page_media(n, p))
 
 
 @query("media_union", CTE + "SELECT trend_id, news_pos, img_pos, url FROM mu", fx=FX)
@@ -147,7 +140,7 @@ def q_top_images(spark, sf):
 
 @query("file_index", CTE + "SELECT trend_id, url, file_index FROM top", fx=FX)
 def q_file_index(spark, sf):
-    return _top(spark, sf).select("trend_id", "url", "file_index")
+    return _media(spark, sf)["images"].select("trend_id", "url", "file_index")
 
 
 @query("image_extension", """
@@ -168,14 +161,14 @@ WITH v AS (SELECT page_id, unnest(regexp_extract_all(html, {_IFR}, 1)) AS src FR
 SELECT page_id, src, CASE WHEN starts_with(src, '//') THEN 'https:' || src ELSE src END AS video_url FROM v""", fx=("fx_pages",))
 def q_normalize_video_url(spark, sf):
     p = fixture(spark, sf, "fx_pages")
-    v = p.select("page_id", F.explode(F.regexp_extract_all(F.col("html"), F.lit(M.IFRAME_SRC), 1)).alias("src"))
+    v = p.select("page_id", F.explode(F.regexp_extract_all(F.col("html"), F.lit(IFRAME_SRC), 1)).alias("src"))
     from trendspark.functions import normalize_video_url
     return v.select("page_id", "src", normalize_video_url(F.col("src")).alias("video_url"))
 
 
 @query("video_thumbnail", CTE + "SELECT trend_id, video_url, thumbnail_url FROM thumbs", fx=FX)
 def q_video_thumbnail(spark, sf):
-    return _thumbs(spark, sf)
+    return M.video_thumbnail(_videos(spark, sf), fixture(spark, sf, "fx_url_status"))
 
 
 @query("thumb_probe_source", """
@@ -188,14 +181,14 @@ def q_thumb_probe(spark, sf):
 @query("prepend_thumbnail", CTE + "SELECT trend_id, ord, kind, url FROM files WHERE trend_id IN (SELECT trend_id FROM thumbs WHERE thumbnail_url IS NOT NULL)",
        fx=FX)
 def q_prepend_thumbnail(spark, sf):
-    f = _files(spark, sf)
-    has = _thumbs(spark, sf).filter(F.col("thumbnail_url").isNotNull()).select("trend_id")
+    m = _media(spark, sf)
+    f, has = m["files"], m["videos"].filter(F.col("thumbnail_url").isNotNull()).select("trend_id")
     return f.join(has, "trend_id", "left_semi").select("trend_id", "ord", "kind", "url")
 
 
 @query("fallback_image", CTE + "SELECT trend_id, url FROM files WHERE kind = 'fallback'", fx=FX)
 def q_fallback_image(spark, sf):
-    return _files(spark, sf).filter(F.col("kind") == "fallback").select("trend_id", "url")
+    return _media(spark, sf)["files"].filter(F.col("kind") == "fallback").select("trend_id", "url")
 
 
 @query("media_counts", CTE + """
@@ -204,7 +197,7 @@ SELECT coalesce(c.trend_id, v.trend_id) AS trend_id, coalesce(c.n_images, 0) AS
 FROM (SELECT trend_id, cast(count(*) FILTER (WHERE kind = 'image') AS bigint) AS n_images, cast(count(*) AS bigint) AS n_files
       FROM files GROUP BY trend_id) c FULL JOIN vids v ON v.trend_id = c.trend_id""", fx=FX)
 def q_media_counts(spark, sf):
-    return M.media_counts(_files(spark, sf), _videos(spark, sf))
+    return _media(spark, sf)["counts"]
 
 
 @query("media_manifest", CTE.rstrip() + f""",
@@ -220,7 +213,7 @@ FROM files f JOIN ti ON ti.trend_id = f.trend_id,
 def q_media_manifest(spark, sf):
     t, n, p = _inputs(spark, sf)
     titles = t.select(F.col("id").alias("trend_id"), "title", slugify(F.col("title")).alias("slug"))
-    return M.media_manifest(_files(spark, sf), titles)
+    return M.media_manifest(_media(spark, sf)["files"], titles)
 
 
 @query("slugify", f"SELECT doc_id, {duck_slug('text')} AS slug FROM documents")

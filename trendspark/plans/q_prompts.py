@@ -88,10 +88,11 @@ def q_page_source(spark, sf):
     return df.select("trend_id", "news_pos", "url", *_digest(F.col("html"), "html"))
 
 
-@query("page_lookup", "SELECT n.news_pos, n.trend_id, p.page_id FROM fx_news_items n LEFT JOIN fx_pages p ON p.url = n.url",
+@query("page_lookup", "SELECT n.news_pos, n.trend_id, p.page_id FROM fx_news_items n LEFT JOIN (SELECT url, min(page_id) AS page_id FROM fx_pages GROUP BY url) p "
+       "ON p.url = n.url",
        fx=("fx_news_items", "fx_pages"))
 def q_page_lookup(spark, sf):
-    p = _t(spark, sf, "fx_pages").select("url", "page_id")
+    p = _t(spark, sf, "fx_pages").groupBy("url").agg(F.min("page_id").alias("page_id"))
     return _t(spark, sf, "fx_news_items").join(p, "url", "left").select("news_pos", "trend_id", "page_id")
 
 
@@ -124,7 +125,7 @@ def q_meaningful(spark, sf):
 def q_trend_text(spark, sf):
     pend = PR.pending_trends(_t(spark, sf, "fx_trends"))
     news = PR.news_of_pending(_t(spark, sf, "fx_news_items"), pend)
-    tt = PR.trend_text(PR.news_pieces(news, _t(spark, sf, "fx_pages")))
+    tt = PR.trend_text(news, PR.page_pieces(news, _t(spark, sf, "fx_pages")))
     return tt.select("trend_id", *_digest(F.col("text"), "text"), "has_text")
 
 
@@ -133,7 +134,8 @@ SELECT id, 'no_news' AS reason FROM pend WHERE id NOT IN (SELECT trend_id FROM f
 UNION ALL SELECT trend_id AS id, 'no_text' AS reason FROM tt WHERE has_text = 0""", fx=FX)
 def q_has_news(spark, sf):
     t, n = _t(spark, sf, "fx_trends"), _t(spark, sf, "fx_news_items")
-    tt = PR.trend_text(PR.news_pieces(PR.news_of_pending(n, PR.pending_trends(t)), _t(spark, sf, "fx_pages")))
+    mine = PR.news_of_pending(n, PR.pending_trends(t))
+    tt = PR.trend_text(mine, PR.page_pieces(mine, _t(spark, sf, "fx_pages")))
     return PR.no_article(t, n, tt, P)
 
 

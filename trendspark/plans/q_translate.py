@@ -130,7 +130,7 @@ FROM pend p LEFT JOIN vids v ON v.trend_id = p.id""", fx=q_media.FX)
 def q_embed_video(spark, sf):
     t = pending_trends(fixture(spark, sf, "fx_trends"))
     n = news_of_pending(fixture(spark, sf, "fx_news_items"), t)
-    v = M.first_video(n, fixture(spark, sf, "fx_pages"))
+    v = M.first_video(n, M.page_media(n, fixture(spark, sf, "fx_pages")))
     j = t.select(F.col("id").alias("trend_id"), "snippet").join(v, "trend_id", "left")
     return j.select("trend_id", F.md5(embed_video(F.col("snippet"), F.col("video_url"))).alias("body_md5"))
 
