@@ -73,7 +73,7 @@ def cmd_prompts(spark, a):
     news = spark.read.parquet(f"{a.tables}/news")
     pages, vocab = spark.read.parquet(a.pages), spark.read.parquet(a.vocab)
     mine = PR.news_of_pending(news, PR.pending_trends(trends))
-    pieces = PR.page_pieces(mine, pages).checkpoint(eager=True)  # pages are read and cleaned once for the three outputs
+    pieces = PR.page_pieces(mine, pages)  # pages are read and cleaned once for the three outputs
     PR.build_prompts(trends, news, pages, vocab, p, pieces).write.mode("overwrite").parquet(f"{a.tables}/prompts")
     done = PR.no_article(trends, news, PR.trend_text(mine, pieces), p).select(
         "id", F.lit(None).cast("bigint").alias("node_id"), F.lit(None).cast("decimal(10,6)").alias("processing_cost"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import unicodedata
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,37 +22,73 @@ __all__ = [
 PHP_TRIM_CHARS = " \t\n\r\x00\x0b"
 WS_CLASS = "[ \\t\\n\\x0B\\f\\r]"
 
-# Named entities decoded by html_to_text (the ones pages use plus the
-# HTML special characters); '&amp;' is decoded last so '&amp;lt;' stays '&lt;'.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"),
-    ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
-    ("&rdquo;", "”"), ("&euro;", "€"), ("&amp;", "&"),
-]
+# Lower-case Latin letters without a Unicode decomposition and their transliteration.
+SPECIAL_TRANSLIT = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("đ", "d"), ("ł", "l"), ("þ", "th"), ("ð", "d"), ("ħ", "h"), ("ı", "i"),
+                    ("ŋ", "ng")]
+
+
+# Romanisation of lower-case letters of other scripts. Cyrillic, Greek, Arabic and Persian, Hebrew.
+ROMAN = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "y", "к": "k", "л": "l", "м": "m",
+    "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
+    "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "yu", "я": "ya", "ђ": "dj", "є": "ye", "ѕ": "dz", "і": "i", "ј": "j",
+    "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz", "ґ": "g",
+    "α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n",
+    "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "y", "φ": "f", "χ": "ch", "ψ": "ps", "ω": "o",
+    "ا": "a", "ب": "b", "ة": "h", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z",
+    "س": "s", "ش": "sh", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "ع": "a", "غ": "gh", "ف": "f", "ق": "q", "ك": "k", "ل": "l",
+    "م": "m", "ن": "n", "ه": "h", "و": "w", "ى": "a", "ي": "y", "ء": "", "پ": "p", "چ": "ch", "ژ": "zh", "ک": "k", "گ": "g", "ی": "y",
+    "א": "a", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "h", "ט": "t", "י": "y", "ך": "k", "כ": "k", "ל": "l",
+    "ם": "m", "מ": "m", "ן": "n", "נ": "n", "ס": "s", "ע": "a", "ף": "p", "פ": "p", "ץ": "ts", "צ": "ts", "ק": "q", "ר": "r",
+    "ש": "sh", "ת": "t",
+}
+
+
+def _roman_table(top: int = 0x3100) -> dict[str, str]:
+    """What each lower-case character below ``top`` becomes, by rule: letters of its compatibility decomposition, each ASCII or
+    in :data:`ROMAN` (é -> e, ѝ -> i, ά -> a, أ -> a, ﬁ -> fi); marks that combine vanish; kana are read from their Unicode names."""
+    special = dict(SPECIAL_TRANSLIT)
+    out = {}
+    for cp in range(0x80, top):
+        ch = chr(cp)
+        parts = unicodedata.normalize("NFKD", ch)
+        name = unicodedata.name(ch, "").split()
+        if ch in ROMAN or ch in special:
+            out[ch] = ROMAN.get(ch, special.get(ch))
+        elif unicodedata.category(ch) == "Mn":
+            out[ch] = ""
+        elif name[:1] in (["HIRAGANA"], ["KATAKANA"]) and "LETTER" in name:
+            out[ch] = "" if name[-2] == "SMALL" and name[-1] == "TU" else name[-1].lower()
+        else:
+            letters = [c if c.isascii() and c.isalnum() else ROMAN.get(c.lower(), "" if unicodedata.category(c) == "Mn" else None) for c in parts]
+            if parts != ch and None not in letters and any(letters):
+                out[ch] = "".join(letters)
+    return out
 
-# Latin letters without a Unicode decomposition and their transliteration.
-SPECIAL_TRANSLIT = [
-    ("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"),
-    ("đ", "d"), ("Đ", "D"), ("ł", "l"), ("Ł", "L"), ("þ", "th"), ("Þ", "TH"), ("ð", "d"), ("Ð", "D"),
-]
 
+ROMAN_TABLE = _roman_table()
+#: HTML5 named entities (name without & and ;) and their text. Entities without a semicolon aren't decoded.
+ENTITIES = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+_ENTITY_BUCKETS = 1 << 12
 
-def _accent_map() -> tuple[str, str]:
-    """Single-letter transliteration for U+00C0..U+024F built by rule: the ASCII
-    base letter of the Unicode compatibility decomposition (é -> e, Ł has none)."""
-    src, dst = [], []
-    for cp in range(0xC0, 0x250):
-        ch = chr(cp)
-        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if c.isascii() and c.isalpha())
-        if len(base) == 1:
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often ``body`` uses it: Spark would compute an expression that
+    branches of a condition share once for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-ACCENT_FROM, ACCENT_TO = _accent_map()
+def _literal(rows: list, kind: str) -> Column:
+    """A nested table as a literal: parsed once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), kind)
+
+
+def _entity_table() -> Column:
+    """The names by hash bucket, so that a look-up tests one or two of them."""
+    rows: list[list] = [[] for _ in range(_ENTITY_BUCKETS)]
+    for n, v in sorted(ENTITIES.items()):
+        rows[zlib.crc32(n.encode()) % _ENTITY_BUCKETS].append({"n": n, "v": v})
+    return _literal(rows, "array<array<struct<n:string,v:string>>>")
 
 
 def php_trim(c: Column) -> Column:
@@ -74,9 +113,6 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, r"<[^>]*>", "")
 
 
-NUMERIC_ENTITY = r"&#(?:0*[0-9]{1,7}|[xX]0*[0-9a-fA-F]{1,6});"
-
-
 def code_point_text(cp: Column) -> Column:
     """One Unicode code point as a string: UTF-8 bytes by integer arithmetic, then decoded."""
     def byte(v: Column) -> Column:
@@ -94,32 +130,40 @@ def code_point_text(cp: Column) -> Column:
     return F.decode(F.unhex(hexs), "UTF-8")
 
 
-def _entity_code_point(e: Column) -> Column:
-    dec = F.regexp_extract(e, r"^&#([0-9]+);$", 1)
-    hx = F.regexp_extract(e, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-    return F.when(dec != "", dec.try_cast("int")).otherwise(F.conv(hx, 16, 10).try_cast("int"))
+def _code_point(e: Column) -> Column:
+    """``#65`` or ``#x41`` -> 65; NULL for what is longer than any code point."""
+    dec = F.regexp_extract(e, r"^#0*([0-9]{1,7})$", 1)
+    hx = F.regexp_extract(e, r"^#[xX]0*([0-9a-fA-F]{1,6})$", 1)
+    return F.when(dec != "", dec.try_cast("int")).when(hx != "", F.conv(hx, 16, 10).try_cast("int"))
 
 
-def decode_numeric_entities(c: Column) -> Column:
-    """``&#NNN;`` / ``&#xHH;`` -> the character; NUL, surrogates and values past
-    U+10FFFF stay as written. One pass over the distinct entities of the text."""
-    ents = F.array_distinct(F.regexp_extract_all(c, F.lit(NUMERIC_ENTITY), 0))
+def _allowed(cp: Column) -> Column:
+    """Characters that HTML5 lets a numeric entity stand for: no controls but TAB, LF and FF, no surrogates, no non-characters."""
+    low = cp.isin(0x09, 0x0A, 0x0C) | cp.between(0x20, 0x7E)
+    high = cp.between(0xA0, 0x10FFFF) & ~cp.between(0xD800, 0xDFFF) & ~cp.between(0xFDD0, 0xFDEF) & (cp.bitwiseAND(0xFFFE) != 0xFFFE)
+    return low | high
 
-    def step(acc: Column, e: Column) -> Column:
-        cp = _entity_code_point(e)
-        ok = (cp > 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
-        return F.when(ok, F.replace(acc, e, code_point_text(cp))).otherwise(acc)
 
-    return F.aggregate(ents, c, step)
+def decode_entities(c: Column) -> Column:
+    """Named (all of HTML5) and numeric entities in one pass: the text is cut at ``&``, and each part that starts with an entity
+    and its semicolon has it replaced. What is decoded isn't looked at again (``&amp;lt;`` becomes ``&lt;``); what is no
+    entity stays as written."""
+    table = _entity_table()
 
+    def named(e: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(e.cast("binary")), F.lit(_ENTITY_BUCKETS)).cast("int"))
+        return F.get(F.filter(bucket, lambda x: x["n"] == e), F.lit(0))["v"]
 
-def decode_entities(c: Column) -> Column:
-    """Named entities, then numeric ones, ``&amp;`` last (so ``&amp;#39;`` stays ``&#39;``)."""
-    for ent, ch in ENTITIES[:-1]:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    c = decode_numeric_entities(c)
-    ent, ch = ENTITIES[-1]
-    return F.replace(c, F.lit(ent), F.lit(ch))
+    def part(p: Column, i: Column) -> Column:
+        def of(e: Column) -> Column:
+            numeric = let(_code_point(e), lambda cp: F.when(_allowed(cp), code_point_text(cp)))
+            text = F.when(e == "", F.lit(None)).when(F.startswith(e, F.lit("#")), numeric).otherwise(named(e))
+            return let(text, lambda v: F.when(v.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(v, F.substr(p, F.char_length(e) + 2))))
+
+        name = F.regexp_extract(p, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        return F.when(i == 0, p).otherwise(let(name, of))
+
+    return F.array_join(F.transform(F.split(c, "&", -1), part), "")
 
 
 def html_to_text(c: Column) -> Column:
@@ -156,28 +200,39 @@ def _drop_boilerplate(c: Column) -> Column:
     return c
 
 
+def _strip_in_blocks(c: Column) -> Column:
+    """:func:`strip_tags` inside each block of a marked text: nothing is matched across a mark."""
+    c = F.regexp_replace(c, rf"<!--[^{BLOCK_MARK}]*?-->", "")
+    c = F.regexp_replace(c, rf"(?i)<script\b[^>{BLOCK_MARK}]*>[^{BLOCK_MARK}]*?</script[ \t\n\r\f]*>", "")
+    c = F.regexp_replace(c, rf"(?i)<style\b[^>{BLOCK_MARK}]*>[^{BLOCK_MARK}]*?</style[ \t\n\r\f]*>", "")
+    return F.regexp_replace(c, rf"<[^>{BLOCK_MARK}]*>", "")
+
+
+def _block_lengths(marked: Column) -> Column:
+    """Characters of each block's stripped, collapsed text (entities undecoded)."""
+    return F.transform(F.split(collapse_ws(_strip_in_blocks(marked)), BLOCK_MARK, -1), lambda b: F.char_length(php_trim(b)))
+
+
 def main_content(html: Column) -> Column:
     """O-X7 re-aimed: the article part of a page, as HTML of the kept blocks.
 
     The body is cut into blocks at block-level tags; a block is kept when its text
     has at least MIN_BLOCK_CHARS characters and less than MAX_LINK_SHARE of it is
-    link text. All in-row array functions: no explode, no shuffle."""
-    body = F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)</body>", 1)
-    body = F.when(body == "", html).otherwise(body)
+    link text. All in-row array functions: no explode, no shuffle. The text of all blocks is measured in one pass over the
+    marked body, that of their links in a second."""
     tags = "|".join(BLOCK_TAGS)
+    body = let(F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*)</body>", 1), lambda b: F.when(b == "", html).otherwise(b))
     marked = F.regexp_replace(_drop_boilerplate(body), rf"(?i)</?(?:{tags})\b[^>]*>", BLOCK_MARK)
-    blocks = F.split(marked, BLOCK_MARK, -1)
+    links = rf"(?i)<a\b[^>{BLOCK_MARK}]*>[^{BLOCK_MARK}]*?</a>|{BLOCK_MARK}"
 
-    def measure(x: Column) -> Column:
-        # block lengths are measured on stripped, collapsed text (entities undecoded): cheap per block
-        return F.char_length(collapse_ws(php_trim(strip_tags(x))))
+    def kept(m: Column) -> Column:
+        link_text = F.array_join(F.regexp_extract_all(m, F.lit(links), 0), "")
+        lengths = F.struct(_block_lengths(m).alias("all"), _block_lengths(link_text).alias("link"))
+        return let(lengths, lambda n: F.array_join(F.filter(
+            F.split(m, BLOCK_MARK, -1),
+            lambda b, i: (F.get(n["all"], i) >= MIN_BLOCK_CHARS) & (F.get(n["link"], i) < F.get(n["all"], i) * MAX_LINK_SHARE)), "\n"))
 
-    def keep(b: Column) -> Column:
-        text_len = measure(b)
-        link_len = measure(F.array_join(F.regexp_extract_all(b, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), 1), ""))
-        return (text_len >= MIN_BLOCK_CHARS) & (link_len < text_len * MAX_LINK_SHARE)
-
-    return F.array_join(F.filter(blocks, keep), "\n")
+    return let(marked, kept)
 
 
 def meaningful(content_html: Column) -> Column:
@@ -189,14 +244,14 @@ def meaningful(content_html: Column) -> Column:
 def scraped_piece(html: Column, content_html: Column) -> Column:
     """One scraped page as ``title\\n\\ntext``; '' for blank pages, pages without
     meaningful content, or content whose text is empty after clean-up."""
-    text = html_to_text(content_html)
-    title = page_title(html)
-    title = F.when(is_blank(title), F.lit(UNTITLED_ARTICLE)).otherwise(title)
+    def piece(text: Column) -> Column:
+        title = let(page_title(html), lambda x: F.when(is_blank(x), F.lit(UNTITLED_ARTICLE)).otherwise(x))
+        return F.when(text == "", F.lit("")).otherwise(F.concat(title, F.lit("\n\n"), text))
+
     return (
         F.when(html.isNull() | (php_trim(html) == ""), F.lit(""))
         .when(~meaningful(content_html), F.lit(""))
-        .when(text == "", F.lit(""))
-        .otherwise(F.concat(title, F.lit("\n\n"), text))
+        .otherwise(let(html_to_text(content_html), piece))
     )
 
 
@@ -269,13 +324,21 @@ def translation_prompt(language_name: Column, title: Column, body: Column) -> Co
 
 
 def slugify(c: Column, max_len: int = 100) -> Column:
-    """transliterate -> lower -> non [a-z0-9] runs to '-' -> trim '-' -> first 100 chars (O-X15)."""
-    t = c
-    for a, b in SPECIAL_TRANSLIT:
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.translate(t, ACCENT_FROM, ACCENT_TO)
-    t = F.regexp_replace(F.lower(t), r"[^a-z0-9]+", "-")
-    t = F.btrim(t, F.lit("-"))
+    """lower -> transliterate -> non [a-z0-9] runs to '-' -> trim '-' -> first 100 chars (O-X15). Letters of other scripts are
+    romanised character by character; what has no romanisation becomes '-'."""
+    first, last = 0x80, max(map(ord, ROMAN_TABLE))
+    table = _literal([ROMAN_TABLE.get(chr(k)) for k in range(first, last + 1)], "array<string>")
+
+    def roman(x: Column) -> Column:
+        def one(ch: Column) -> Column:
+            at = F.ascii(ch) - first
+            return F.when(at < 0, ch).otherwise(F.coalesce(F.get(table, at), ch))
+
+        plain = F.octet_length(x) == F.char_length(x)
+        return F.when(plain, x).otherwise(F.array_join(F.transform(F.split(x, "", -1), one), ""))
+
+    t = let(F.lower(c), roman)
+    t = F.btrim(F.regexp_replace(t, r"[^a-z0-9]+", "-"), F.lit("-"))
     return F.substring(t, 1, max_len)
 
 

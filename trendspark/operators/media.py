@@ -94,6 +94,15 @@ def image_dedupe(images: DataFrame, order: tuple[str, ...] = ("news_pos", "img_p
     return images.groupBy("trend_id", "url").agg(first).select("trend_id", "url", "_f.*")
 
 
+def first_places(images: DataFrame) -> DataFrame:
+    """:func:`image_dedupe` for images of distinct pages of a trend (trend_id, news_pos, img_pos, url, width, height): a
+    position of the trend has an image once, and sizes go with the URL, so the first place is a minimum of numbers, which Spark aggregates by hash
+    where a minimum of structs is sorted."""
+    return images.groupBy("trend_id", "url").agg(
+        F.min_by("img_pos", "news_pos").alias("img_pos"), F.min("news_pos").alias("news_pos"), F.max("width").alias("width"),
+        F.max("height").alias("height"))
+
+
 def image_dims_lookup(images: DataFrame, image_meta: DataFrame) -> DataFrame:
     """O-J9 / O-SRC10: width/height by URL; unknown or undecodable (-1) -> 0 x 0."""
     meta = image_meta.groupBy("url").agg(F.max("width").alias("width"), F.max("height").alias("height"))
@@ -157,19 +166,15 @@ def media_files(top: DataFrame, thumbs: DataFrame, trends: DataFrame) -> DataFra
     kept images; a trend with no kept image falls back to its feed picture.
     Columns: trend_id, ord, kind, url, file_index, alt.
 
-    The fallback test reads the kept images once: candidates (one per trend) are
-    unioned with the kept images (at most ten per trend) and a per-trend window
-    drops the candidate where an image exists — bounded rows per trend, no second
-    evaluation of the ranking."""
+    Trends and kept images meet in one full join on the trend, the key that the rank has dealt the images by: a trend without
+    a match is one that falls back, so the ranking is neither evaluated nor dealt a second time."""
     alt = F.coalesce(F.col("alt"), F.lit("")) if "alt" in top.columns else F.lit("")
-    imgs = top.select("trend_id", F.col("rank").alias("ord"), F.lit("image").alias("kind"), "url", "file_index", alt.alias("alt"))
-    fb = (
-        trends.filter(F.col("image_url").isNotNull() & ~F.col("image_url").isin("", "0"))
-        .select(F.col("id").alias("trend_id"), F.lit(1).cast("bigint").alias("ord"), F.lit("fallback").alias("kind"),
-                F.col("image_url").alias("url"), F.lit(None).cast("bigint").alias("file_index"), F.lit("").alias("alt"))
-    )
-    has_img = F.max(F.when(F.col("kind") == "image", 1).otherwise(0)).over(Window.partitionBy("trend_id"))
-    both = imgs.unionByName(fb).withColumn("_img", has_img).filter((F.col("kind") == "image") | (F.col("_img") == 0)).drop("_img")
+    imgs = top.select("trend_id", "rank", "url", "file_index", alt.alias("alt"))
+    j = trends.select(F.col("id").alias("trend_id"), F.col("image_url").alias("_own")).join(imgs, "trend_id", "full")
+    kept = F.col("rank").isNotNull()
+    both = j.filter(kept | (F.col("_own").isNotNull() & ~F.col("_own").isin("", "0"))).select(
+        "trend_id", F.coalesce("rank", F.lit(1).cast("bigint")).alias("ord"), F.when(kept, F.lit("image")).otherwise(F.lit("fallback")).alias("kind"),
+        F.when(kept, F.col("url")).otherwise(F.col("_own")).alias("url"), "file_index", F.coalesce("alt", F.lit("")).alias("alt"))
     th = thumbs.filter(F.col("thumbnail_url").isNotNull()).select(
         "trend_id", F.lit(0).cast("bigint").alias("ord"), F.lit("video_thumb").alias("kind"), F.col("thumbnail_url").alias("url"),
         F.lit(None).cast("bigint").alias("file_index"), F.lit("").alias("alt"),
@@ -216,14 +221,17 @@ def name_collisions(manifest: DataFrame) -> DataFrame:
 
 
 def extract_media(news: DataFrame, pages: DataFrame, image_meta: DataFrame, url_status: DataFrame,
-                  trends: DataFrame, landed: DataFrame | None = None, facts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """O-P4 composite. Images and videos of the needed pages, and the kept images and videos of the trends, feed
-    several outputs with different columns; they are computed once and checkpointed (spark.checkpoint.dir).
-    ``facts``: :func:`page_media` where it is at hand."""
+                  trends: DataFrame, landed: DataFrame | None = None, facts: DataFrame | None = None,
+                  materialize: bool = False) -> dict[str, DataFrame]:
+    """O-P4 composite. What the needed pages hold is computed once and checkpointed (spark.checkpoint.dir), as images and videos
+    both come from it; ``facts`` is :func:`page_media` where it is at hand. With ``materialize`` the kept images and the
+    videos are checkpointed too, for callers that use several of the outputs."""
     ensure_checkpoint_dir(news.sparkSession)
-    facts = (page_media(news, pages) if facts is None else facts).checkpoint(eager=True)
-    top = top_images(image_dedupe(_of_news(news, page_top_images(facts, image_meta, landed)).drop("page_url"))).checkpoint(eager=True)
-    videos = first_video(news, facts).checkpoint(eager=True)
+    facts = page_media(news, pages).checkpoint(eager=True) if facts is None else facts
+    top = top_images(first_places(_of_news(news, page_top_images(facts, image_meta, landed))))
+    videos = first_video(news, facts)
+    if materialize:
+        top, videos = top.checkpoint(eager=True), videos.checkpoint(eager=True)
     thumbs = video_thumbnail(videos, url_status)
     files = media_files(top, thumbs, trends)
     return {"images": top, "videos": thumbs, "files": files, "counts": media_counts(files, videos)}

@@ -25,7 +25,8 @@ def needed_pages(news: DataFrame, pages: DataFrame) -> DataFrame:
     if "page_id" not in pages.columns:
         return pages.join(keys, "url", "left_semi").groupBy("url").agg(F.max("html").alias("html"))
     pick = pages.select("url", "page_id").join(keys, "url", "left_semi").groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return pages.join(pick, ["url", "page_id"], "left_semi").select("url", "html")
+    # the few pages that are left are dealt evenly: what is done with their HTML is the costly part
+    return pages.join(pick, ["url", "page_id"], "left_semi").select("url", "html").repartition("url")
 
 
 def page_facts(needed: DataFrame) -> DataFrame:

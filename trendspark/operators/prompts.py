@@ -17,6 +17,7 @@ from trendspark.functions import fill_template
 from trendspark.functions.text import php_trim
 from trendspark.operators.pages import needed_pages, page_facts
 from trendspark.params import NO_TAGS_TEXT, TEXT_PIECE_SEPARATOR, Params
+from trendspark.session import ensure_checkpoint_dir
 
 # Default prompt template (a job parameter; any template with three %s slots works). The
 # separator lines in it are the fixed values the answer parser relies on.
@@ -38,8 +39,10 @@ def news_of_pending(news: DataFrame, pending: DataFrame) -> DataFrame:
 
 
 def page_pieces(news: DataFrame, pages: DataFrame) -> DataFrame:
-    """(url, piece): each distinct page that ``news`` needs, cleaned once (O-X6..X8, O-F10)."""
-    return page_facts(needed_pages(news, pages)).select("url", "piece")
+    """(url, piece): each distinct page that ``news`` needs, cleaned once (O-X6..X8, O-F10) and checkpointed: prompts, finished
+    trends and the audit read it, and the join below is planned by its size."""
+    ensure_checkpoint_dir(news.sparkSession)
+    return page_facts(needed_pages(news, pages)).select("url", "piece").checkpoint(eager=True)
 
 
 def page_source(news: DataFrame, pages: DataFrame) -> DataFrame:
@@ -84,7 +87,10 @@ def trend_text(news: DataFrame, pieces: DataFrame, chunk_rows: int = CHUNK_ROWS)
     partitioning and the texts aren't shuffled again. Trends with more than ``chunk_rows`` children are taken apart: their
     rows are dealt by ranges of positions (quantiles of each such trend), every range becomes one string in a
     task of its own, and the strings of the ranges are put together in order. Both ways give the same text."""
-    hot = news.groupBy("trend_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows).select("trend_id")
+    ensure_checkpoint_dir(news.sparkSession)
+    hot = news.groupBy("trend_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk_rows).select("trend_id").checkpoint(eager=True)
+    if not hot.limit(1).count():
+        return _separated(news_pieces(news.repartition("trend_id"), pieces), ["trend_id"])
     few = news.join(hot, "trend_id", "left_anti").repartition("trend_id")
     many = news.join(hot, "trend_id", "left_semi")
     at = [i / CHUNKS for i in range(1, CHUNKS)]

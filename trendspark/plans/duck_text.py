@@ -28,17 +28,29 @@ def strip_tags(x: str) -> str:
     return f"regexp_replace({x}, '<[^>]*>', '', 'g')"
 
 
+def _list(values) -> str:
+    return "[" + ", ".join(q(v) for v in values) + "]"
+
+
 def decode(x: str) -> str:
-    for ent, ch in T.ENTITIES[:-1]:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    cp = ("(CASE WHEN regexp_matches(e, '^&#[0-9]+;$') THEN try_cast(regexp_extract(e, '^&#([0-9]+);$', 1) AS integer) "
-          "ELSE try_cast(('0x' || regexp_extract(e, '^&#[xX]([0-9a-fA-F]+);$', 1)) AS integer) END)")
-    step = (f"CASE WHEN {cp} > 0 AND {cp} <= 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
-            f"THEN replace(acc, e, chr({cp})) ELSE acc END")
-    ents = f"list_distinct(regexp_extract_all({x}, '&#(?:[0-9]{{1,7}}|[xX][0-9a-fA-F]{{1,6}});', 0))"
-    x = f"list_reduce({ents}, lambda acc, e: {step}, {x})"
-    ent, ch = T.ENTITIES[-1]
-    return f"replace({x}, {q(ent)}, {q(ch)})"
+    names = sorted(T.ENTITIES)
+    name = "regexp_extract(p, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);', 1)"
+    cp = (f"(CASE WHEN {name} LIKE '#x%' OR {name} LIKE '#X%' THEN try_cast('0x' || ltrim(substr({name}, 3), '0') AS integer) "
+          f"ELSE try_cast(substr({name}, 2) AS integer) END)")
+    ok = (f"({cp} IN (9, 10, 12) OR {cp} BETWEEN 32 AND 126 OR ({cp} BETWEEN 160 AND 1114111 AND NOT ({cp} BETWEEN 55296 AND 57343) "
+          f"AND NOT ({cp} BETWEEN 64976 AND 65007) AND {cp} % 65536 < 65534))")
+    part = (f"CASE WHEN i = 1 THEN p WHEN {name} = '' THEN '&' || p "
+            f"WHEN {name} LIKE '#%' THEN CASE WHEN {ok} THEN chr({cp}) || substr(p, length({name}) + 2) ELSE '&' || p END "
+            f"ELSE coalesce(list_extract({_list(T.ENTITIES[n] for n in names)}, list_position({_list(names)}, {name})) "
+            f"|| substr(p, length({name}) + 2), '&' || p) END")
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: {part}), '')"
+
+
+def romanised(x: str) -> str:
+    """``x`` in lower case with every character of the table replaced."""
+    table = sorted(T.ROMAN_TABLE)
+    one = f"CASE WHEN unicode(c) < 128 THEN c ELSE coalesce(list_extract({_list(T.ROMAN_TABLE[c] for c in table)}, list_position({_list(table)}, c)), c) END"
+    return f"array_to_string(list_transform(string_split(lower({x}), ''), lambda c: {one}), '')"
 
 
 def html_to_text(x: str) -> str:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from trendspark.fixtures import fixture
 from trendspark.functions import image_extension, slugify
-from trendspark.functions import text as T
 from trendspark.operators import media as M
 from trendspark.operators.pages import IFRAME_SRC
 from trendspark.operators.prompts import news_of_pending, pending_trends
-from trendspark.plans.duck_text import q
+from trendspark.plans.duck_text import romanised
 from trendspark.plans.registry import query
 
 FX = ("fx_trends", "fx_news_items", "fx_pages", "fx_image_meta", "fx_url_status")
@@ -24,11 +23,7 @@ def _inputs(spark, sf):
 
 
 def duck_slug(x: str) -> str:
-    for a, b in T.SPECIAL_TRANSLIT:
-        x = f"replace({x}, {q(a)}, {q(b)})"
-    x = f"translate({x}, {q(T.ACCENT_FROM)}, {q(T.ACCENT_TO)})"
-    x = f"regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g')"
-    return f"substr(trim({x}, '-'), 1, 100)"
+    return f"substr(trim(regexp_replace({romanised(x)}, '[^a-z0-9]+', '-', 'g'), '-'), 1, 100)"
 
 
 _IMG = """'(?i)<img\\b[^>]*[ \\t\\n\\r\\f]src=["'']([^"'']*)["'']'"""
