@@ -22,9 +22,11 @@ BASE_TABLES = (
 _DIALECT = {
     "spark": {
         "epoch_days": "cast(datediff(cast(o_orderdate AS date), date '1970-01-01') AS bigint)",
+        "response_json": "substr(to_json(named_struct('t', response)), 6, length(to_json(named_struct('t', response))) - 6)",
     },
     "duckdb": {
         "epoch_days": "cast(date_diff('day', date '1970-01-01', cast(o_orderdate AS date)) AS bigint)",
+        "response_json": "cast(to_json(response) AS varchar)",
         "n_pages": "(SELECT count(*) FROM pages)",
     },
 }
@@ -155,6 +157,23 @@ SELECT doc_id AS node_id, 'es' AS langcode,
 FROM {documents} WHERE lang = 'en' AND doc_id % 2 = 0""",
 }
 
+# the same answers as the providers send them: both layouts, both spellings of the usage counters, counts written as text, no
+# usage at all, cut-off and other broken bodies, answers without text
+FX_SQL["fx_raw_answers"] = """
+SELECT call_id, trend_id, trend_title, provider, model, CASE call_id % 23
+  WHEN 3 THEN substr(body, 1, cast(floor(length(body) / 2) AS int)) WHEN 5 THEN 'Bad gateway' WHEN 7 THEN NULL
+  WHEN 11 THEN '{{"choices": [], "content": [], "usage": {{}}}}' ELSE body END AS json
+FROM (SELECT c.*, CASE WHEN provider = 'claude'
+    THEN concat('{{"id": "m", "content": [{{"type": "text", "text": ', text_json, '}}], "usage": {{"input_tokens": ', tokens_in,
+                ', "output_tokens": ', tokens_out, '}}}}')
+    WHEN call_id % 23 = 13 THEN concat('{{"choices": [{{"message": {{"role": "assistant", "content": ', text_json, '}}}}]}}')
+    WHEN call_id % 2 = 0 THEN concat('{{"choices": [{{"message": {{"content": ', text_json, '}}}}], "usage": {{"promptTokens": ', tokens_in,
+                ', "completionTokens": "', tokens_out, '"}}}}')
+    ELSE concat('{{"choices": [{{"message": {{"content": ', text_json, '}}}}], "usage": {{"prompt_tokens": ', tokens_in,
+                ', "completion_tokens": ', tokens_out, '}}}}') END AS body
+  FROM (SELECT *, $response_json AS text_json, coalesce(cast(input_tokens AS varchar(20)), 'null') AS tokens_in,
+          cast(output_tokens AS varchar(20)) AS tokens_out FROM (""" + FX_SQL["fx_ai_calls"] + """) a) c) b"""
+
 _TABLE_RE = re.compile(r"\{([a-z_]+)\}")
 
 

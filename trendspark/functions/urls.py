@@ -10,7 +10,7 @@ from trendspark.functions.text import html_escape
 __all__ = [
     "url_host", "parse_tld_list", "host_suffixes", "is_video_url", "normalize_video_url",
     "youtube_embed_id", "youtu_be_id", "vimeo_id", "image_extension", "image_filename",
-    "alt_text", "embed_video", "VIDEO_HOSTS",
+    "alt_text", "embed_video", "VIDEO_HOSTS", "VIDEO_FRAME",
 ]
 
 # Hosts whose iframes count as videos.
@@ -83,18 +83,17 @@ def alt_text(alt: Column, title: Column) -> Column:
     return F.when(alt.isNull() | alt.isin("", "0"), title).otherwise(alt)
 
 
+# Fixed value: the markup around an embedded video's address.
+VIDEO_FRAME = (
+    '<div class="embedded-video" style="position: relative; padding-bottom: 56.25%; height: 0; overflow: hidden; max-width: 100%; margin: 20px 0;">'
+    '<iframe src="%s" style="position: absolute; top: 0; left: 0; width: 100%; height: 100%;" frameborder="0" allow="accelerometer; autoplay; '
+    'clipboard-write; encrypted-media; gyroscope; picture-in-picture" allowfullscreen></iframe></div>'
+)
+
+
 def embed_video(body: Column, video_url: Column) -> Column:
     """Prefix the body with a responsive iframe for the three video hosts (O-X21)."""
-    frame = F.concat(
-        F.lit('<div class="embedded-video" style="position: relative; padding-bottom: 56.25%; height: 0; '
-              'overflow: hidden; max-width: 100%; margin: 20px 0;">'),
-        F.lit('<iframe src="'), html_escape(video_url), F.lit('" '),
-        F.lit('style="position: absolute; top: 0; left: 0; width: 100%; height: 100%;" '),
-        F.lit('frameborder="0" allow="accelerometer; autoplay; clipboard-write; encrypted-media; gyroscope; '
-              'picture-in-picture" allowfullscreen></iframe>'),
-        F.lit("</div>"),
-    )
+    before, after = VIDEO_FRAME.split("%s")
+    frame = F.concat(F.lit(before), html_escape(video_url), F.lit(after))
     ok = video_url.isNotNull() & (video_url != "") & is_video_url(video_url)
     return F.when(ok, F.concat(frame, F.lit("\n\n"), F.coalesce(body, F.lit("")))).otherwise(body)
-
-

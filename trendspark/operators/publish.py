@@ -8,11 +8,12 @@ dense user index for authors, and anti-joins for idempotence.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from trendspark.functions import created_ts, embed_video, parse_response, token_cost
+from trendspark.functions import created_ts, embed_video, parse_response, slugify, token_cost
+from trendspark.operators import media as M
 from trendspark.operators.common import global_index
 from trendspark.params import Params
 
@@ -31,27 +32,37 @@ def normalize_answers(raw: DataFrame) -> DataFrame:
 
     chat layout: choices[0].message.content, usage.prompt_tokens|promptTokens,
     usage.completion_tokens|completionTokens; messages layout: content[0].text,
-    usage.input_tokens / output_tokens. A messages answer without text is a reject
-    (``response`` NULL, ``reject`` set)."""
-    usage = T.StructType([T.StructField(n, T.LongType()) for n in
-                          ("prompt_tokens", "promptTokens", "completion_tokens", "completionTokens", "input_tokens", "output_tokens")])
-    schema = T.StructType([
-        T.StructField("choices", T.ArrayType(T.StructType([T.StructField("message", T.StructType([T.StructField("content", T.StringType())]))]))),
-        T.StructField("content", T.ArrayType(T.StructType([T.StructField("text", T.StringType())]))),
-        T.StructField("usage", usage),
-    ])
-    j = F.from_json(F.col("json"), schema)
-    chat_text = j["choices"][0]["message"]["content"]
-    msg_text = j["content"][0]["text"]
-    u = j["usage"]
-    is_chat = F.col("provider") != "claude"
-    return raw.select(
-        *[c for c in raw.columns if c != "json"],
-        F.when(is_chat, chat_text).otherwise(msg_text).alias("response"),
-        F.when(is_chat, F.coalesce(u["prompt_tokens"], u["promptTokens"])).otherwise(u["input_tokens"]).alias("input_tokens"),
-        F.when(is_chat, F.coalesce(u["completion_tokens"], u["completionTokens"])).otherwise(u["output_tokens"]).alias("output_tokens"),
-        F.when(~is_chat & msg_text.isNull(), F.lit("invalid_response")).alias("reject"),
-    )
+    usage.input_tokens|inputTokens, usage.output_tokens|outputTokens. The JSON is read as a variant, so
+    further fields, counts written as text and missing parts do no harm. ``reject`` tells why an answer can't be
+    used (``response`` NULL): ``malformed_answer`` for what is no JSON (a cut-off body, too), ``invalid_response`` for one
+    without text."""
+    answers = raw.withColumn("_v", F.try_parse_json("json"))
+    chat = F.coalesce(F.col("provider") != "claude", F.lit(True))
+
+    def field(kind: str, chat_paths: list[str], message_paths: list[str]) -> Column:
+        get = [F.coalesce(*[F.try_variant_get("_v", f"$.{x}", kind) for x in paths]) for paths in (chat_paths, message_paths)]
+        return F.when(chat, get[0]).otherwise(get[1])
+
+    text = field("string", ["choices[0].message.content"], ["content[0].text"])
+    out = answers.select(
+        *[c for c in raw.columns if c != "json"], text.alias("response"),
+        field("bigint", ["usage.prompt_tokens", "usage.promptTokens"], ["usage.input_tokens", "usage.inputTokens"]).alias("input_tokens"),
+        field("bigint", ["usage.completion_tokens", "usage.completionTokens"], ["usage.output_tokens", "usage.outputTokens"]).alias("output_tokens"),
+        F.col("_v").isNull().alias("_bad"))
+    reject = F.when(F.col("_bad"), F.lit("malformed_answer")).when(F.col("response").isNull(), F.lit("invalid_response"))
+    return out.withColumn("reject", reject).drop("_bad")
+
+
+def failed_attempts(calls: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(trend_id, call_id, attempt, reason) of the answers of this run that can't be used; ``attempt`` counts on from the
+    ``earlier`` ones of the trend. Their trends stay pending, to be asked again."""
+    reason = F.coalesce(F.col("reject"), F.lit("invalid_response")) if "reject" in calls.columns else F.lit("invalid_response")
+    bad = calls.filter(F.col("response").isNull()).select("trend_id", "call_id", reason.alias("reason"))
+    before = earlier.groupBy("trend_id").agg(F.max("attempt").alias("_n"))
+    # answers of one trend in one run: a handful, one for each time it was asked
+    nth = F.row_number().over(Window.partitionBy("trend_id").orderBy("call_id"))
+    return bad.join(before, "trend_id", "left").select(
+        "trend_id", "call_id", (F.coalesce("_n", F.lit(0)) + nth).cast("bigint").alias("attempt"), "reason")
 
 
 def parsed(answers: DataFrame) -> DataFrame:
@@ -122,11 +133,12 @@ def author_assign(items: DataFrame, users: DataFrame, params: Params, key: str =
     ).drop("_pick", "_uid")
 
 
-def assign_node_ids(articles: DataFrame, trends: DataFrame) -> DataFrame:
-    """Node ids: highest stored node id + trend id. Unique (trend ids are), stable
+def assign_node_ids(articles: DataFrame, trends: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Node ids: highest stored node id (of trends and ``existing`` articles) + trend id. Unique (trend ids are), stable
     across retries of the same run (the article key is the trend), and free of
     any global sort or single-partition numbering."""
-    base = F.coalesce(trends.agg(F.max("node_id")).scalar(), F.lit(0)).cast("bigint")
+    stored = trends.select("node_id") if existing is None else trends.select("node_id").union(existing.select("node_id"))
+    base = F.coalesce(stored.agg(F.max("node_id")).scalar(), F.lit(0)).cast("bigint")
     return articles.withColumn("node_id", (base + F.col("trend_id")).cast("bigint"))
 
 
@@ -135,8 +147,27 @@ def new_only(answers: DataFrame, articles: DataFrame | None) -> DataFrame:
     return answers if articles is None else answers.join(articles.select("trend_id"), "trend_id", "left_anti")
 
 
+def article_media(parsed_answers: DataFrame, trends: DataFrame, media: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """O-P4 and O-SNK8 for the trends that get an article: (trend_id, video_url) and the manifest of their files, named
+    after the generated titles. ``media``: news, pages, image_meta, url_status, and landed where the bytes of images have landed."""
+    todo = trends.join(parsed_answers.select(F.col("trend_id").alias("id")), "id", "left_semi")
+    news = media["news"].join(todo.select(F.col("id").alias("trend_id")), "trend_id", "left_semi")
+    got = M.extract_media(news, media["pages"], media["image_meta"], media["url_status"], todo, media.get("landed"), materialize=True)
+    titles = parsed_answers.select("trend_id", F.col("gen_title").alias("title"), slugify(F.col("gen_title")).alias("slug"))
+    return got["videos"].select("trend_id", "video_url"), M.media_manifest(got["files"], titles)
+
+
+def article_images(manifest: DataFrame) -> DataFrame:
+    """(trend_id, images): file names and alt texts in order, the video's thumbnail first; at most eleven a trend."""
+    files = F.sort_array(F.collect_list(F.struct("ord", "filename", "alt")))
+    return manifest.groupBy("trend_id").agg(F.transform(files, lambda f: F.struct(f["filename"].alias("filename"), f["alt"].alias("alt"))).alias("images"))
+
+
+NO_IMAGES = "array<struct<filename:string,alt:string>>"
+
+
 def article_rows(parsed_answers: DataFrame, trends: DataFrame, tag_ids: DataFrame, authors: DataFrame,
-                 videos: DataFrame | None, params: Params) -> DataFrame:
+                 videos: DataFrame | None, params: Params, images: DataFrame | None = None) -> DataFrame:
     """O-SNK6: one published article per trend (without node ids)."""
     t = trends.select(F.col("id").alias("trend_id"), "pub_date")
     a = parsed_answers.join(t, "trend_id").join(tag_ids, "call_id", "left").join(authors.select("trend_id", "uid"), "trend_id", "left")
@@ -144,6 +175,7 @@ def article_rows(parsed_answers: DataFrame, trends: DataFrame, tag_ids: DataFram
     if videos is not None:
         a = a.join(videos.select("trend_id", "video_url"), "trend_id", "left")
         body = embed_video(body, F.col("video_url"))
+    a = a.withColumn("images", F.lit(None).cast(NO_IMAGES)) if images is None else a.join(images, "trend_id", "left")
     return a.select(
         "trend_id",
         F.lit(params.content_type_effective).alias("type"),
@@ -153,6 +185,7 @@ def article_rows(parsed_answers: DataFrame, trends: DataFrame, tag_ids: DataFram
         body.alias("body"),
         created_ts(F.col("pub_date"), params.as_of_epoch).alias("created"),
         F.coalesce(F.col("tag_ids"), F.array().cast("array<bigint>")).alias("tag_ids"),
+        F.coalesce(F.col("images"), F.array().cast(NO_IMAGES)).alias("images"),
         F.lit(params.domain_id or None).cast("string").alias("domain_access"),
         F.lit(None if params.skip_domain_source or not params.domain_id else params.domain_id).cast("string").alias("domain_source"),
         "cost",
@@ -185,28 +218,41 @@ def audit_publish(p: DataFrame, unmatched: DataFrame) -> DataFrame:
 
 
 def publish_articles(calls: DataFrame, trends: DataFrame, vocab: DataFrame, users: DataFrame, prices: DataFrame,
-                     params: Params, videos: DataFrame | None = None, existing: DataFrame | None = None,
+                     params: Params, media: dict[str, DataFrame] | None = None, existing: DataFrame | None = None,
                      materialize: bool = False) -> dict[str, DataFrame]:
-    """O-P3 composite: latest answer per pending trend -> articles, finished trends, audit.
+    """O-P3 composite: latest answer per pending trend -> articles, their files, finished trends, audit.
 
-    The priced answers feed three branches (tags, authors, article rows) with
+    ``calls`` may be raw (column ``json``) or normalised; ``media`` are the inputs of :func:`article_media`, without which
+    articles have neither video nor images. The priced answers feed four branches (tags, authors, media, article rows) with
     different columns, so Spark cannot share their shuffles; with ``materialize``
     they are computed once and checkpointed (spark.checkpoint.dir) first."""
+    if "json" in calls.columns:
+        calls = normalize_answers(calls)
     # an answer without text is an invalid one: it goes to the audit and its trend stays pending
+    reason = F.coalesce(F.col("reject"), F.lit("invalid_response")) if "reject" in calls.columns else F.lit("invalid_response")
     rejects = calls.filter(F.col("response").isNull()).select(F.lit("publish").alias("stage"), F.col("call_id").cast("string").alias("key"),
-                                                              F.lit("invalid_response").alias("reason"), F.lit(None).cast("string").alias("detail"))
-    p = priced(parsed(new_only(latest_answer(calls.filter(F.col("response").isNotNull())), existing)), prices)
+                                                              reason.alias("reason"), F.lit(None).cast("string").alias("detail"))
+    pend = trends.filter(F.col("processed") == 0)
+    good = latest_answer(calls.filter(F.col("response").isNotNull()).drop("reject"))
+    p = priced(parsed(new_only(good, existing)), prices)
     if materialize:
         p = p.checkpoint(eager=True)
-    pend = trends.filter(F.col("processed") == 0)
     tags = tags_to_terms(p, vocab, params)
     authors = author_assign(p.select("trend_id"), users, params)
-    arts = assign_node_ids(article_rows(p, pend, tags, authors, videos, params), trends)
+    videos = images = manifest = None
+    if media is not None:
+        videos, manifest = article_media(p, pend, media)
+        if materialize:
+            manifest = manifest.checkpoint(eager=True)
+        images = article_images(manifest)
+    arts = assign_node_ids(article_rows(p, pend, tags, authors, videos, params, images), trends,
+                           existing if existing is not None and "node_id" in existing.columns else None)
     if materialize:
         arts = arts.checkpoint(eager=True)
     done = arts.select(F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost"))
     return {
         "articles": arts,
+        "files": manifest,
         "trends": finish_trends(trends, done),
         "audit": audit_publish(p, unmatched_tags(p, vocab, params)).unionByName(rejects),
     }

@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trendspark.fixtures import fixture
-from trendspark.functions import image_extension, slugify
+from trendspark.functions import VIDEO_FRAME, image_extension, slugify
 from trendspark.operators import media as M
 from trendspark.operators.pages import IFRAME_SRC
 from trendspark.operators.prompts import news_of_pending, pending_trends
-from trendspark.plans.duck_text import romanised
+from trendspark.plans.duck_text import q, romanised
 from trendspark.plans.registry import query
 
 FX = ("fx_trends", "fx_news_items", "fx_pages", "fx_image_meta", "fx_url_status")
@@ -26,6 +26,10 @@ def duck_slug(x: str) -> str:
     return f"substr(trim(regexp_replace({romanised(x)}, '[^a-z0-9]+', '-', 'g'), '-'), 1, 100)"
 
 
+_ESC = "replace(replace(replace(replace(replace(video_url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
+#: a video's frame and the blank line after it, as SQL over ``video_url``
+FRAME = f" || {_ESC} || ".join(q(x) for x in VIDEO_FRAME.split("%s")) + " || chr(10) || chr(10)"
+
 _IMG = """'(?i)<img\\b[^>]*[ \\t\\n\\r\\f]src=["'']([^"'']*)["'']'"""
 _IFR = """'(?i)<iframe\\b[^>]*[ \\t\\n\\r\\f]src=["'']([^"'']*)["'']'"""
 CTE = f"""WITH

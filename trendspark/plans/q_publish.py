@@ -9,6 +9,7 @@ from trendspark.functions import created_ts, split_tags
 from trendspark.operators import publish as PB
 from trendspark.operators.prompts import pending_trends
 from trendspark.params import Params
+from trendspark.plans import q_media
 from trendspark.plans.duck_text import php_trim, q
 from trendspark.plans.registry import query
 from trendspark.sources.dimensions import MODEL_PRICES, model_prices
@@ -21,6 +22,18 @@ _PRICES_SQL = "(VALUES " + ", ".join(
     f"({q(p)}, {q(m)}, cast({i} AS decimal(10,4)), cast({o} AS decimal(10,4)), {q(lab)})" for p, m, i, o, lab in MODEL_PRICES
 ) + ") AS mp(provider, model, input_per_m, output_per_m, label)"
 
+# landed provider bodies read leniently: a body that is no JSON, or has no text, has no response
+ANSWERS_CTE = """WITH
+raw AS MATERIALIZED (SELECT *, CASE WHEN json_valid(json) THEN json END AS j FROM fx_raw_answers),
+ans AS MATERIALIZED (SELECT call_id, trend_id, trend_title, provider, model,
+  CASE WHEN provider = 'claude' THEN json_extract_string(j, '$.content[0].text') ELSE json_extract_string(j, '$.choices[0].message.content') END AS response,
+  try_cast(CASE WHEN provider = 'claude' THEN json_extract_string(j, '$.usage.input_tokens')
+    ELSE coalesce(json_extract_string(j, '$.usage.prompt_tokens'), json_extract_string(j, '$.usage.promptTokens')) END AS bigint) AS input_tokens,
+  try_cast(CASE WHEN provider = 'claude' THEN json_extract_string(j, '$.usage.output_tokens')
+    ELSE coalesce(json_extract_string(j, '$.usage.completion_tokens'), json_extract_string(j, '$.usage.completionTokens')) END AS bigint) AS output_tokens,
+  j IS NULL AS bad FROM raw),
+good AS (SELECT * FROM ans WHERE response IS NOT NULL)"""
+
 CTE = f"""WITH
 ps AS (SELECT *, strpos(response, {ST}) AS tpos FROM fx_ai_calls),
 pr AS (SELECT *, CASE WHEN tpos > 0 THEN substr(response, tpos + 21) END AS rest FROM ps),
@@ -56,22 +69,24 @@ def _tags_str(c):
     return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
 
 
-@query("ai_call_source", "SELECT call_id, trend_id, provider, model, md5(response) AS response_md5, input_tokens, output_tokens, "
-       "cast(NULL AS varchar) AS reject FROM fx_ai_calls", fx=("fx_ai_calls",))
+@query("ai_call_source", ANSWERS_CTE + """
+SELECT call_id, trend_id, provider, model, md5(response) AS response_md5, input_tokens, output_tokens,
+  CASE WHEN bad THEN 'malformed_answer' WHEN response IS NULL THEN 'invalid_response' END AS reject FROM ans""", fx=("fx_raw_answers",))
 def q_ai_call_source(spark, sf):
-    c = _calls(spark, sf)
-    chat = F.to_json(F.struct(
-        F.array(F.struct(F.struct(F.col("response").alias("content")).alias("message"))).alias("choices"),
-        F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("completion_tokens")).alias("usage")))
-    msg = F.to_json(F.struct(
-        F.array(F.struct(F.col("response").alias("text"))).alias("content"),
-        F.struct(F.col("input_tokens").alias("input_tokens"), F.col("output_tokens").alias("output_tokens")).alias("usage")))
-    raw = c.select("call_id", "trend_id", "provider", "model", F.when(F.col("provider") == "claude", msg).otherwise(chat).alias("json"))
-    n = PB.normalize_answers(raw)
+    n = PB.normalize_answers(fixture(spark, sf, "fx_raw_answers"))
     return n.select("call_id", "trend_id", "provider", "model", F.md5("response").alias("response_md5"),
                     "input_tokens", "output_tokens", "reject")
 
 
+@query("failed_attempts", ANSWERS_CTE + """
+SELECT trend_id, call_id, cast(row_number() OVER (PARTITION BY trend_id ORDER BY call_id) AS bigint) AS attempt,
+  CASE WHEN bad THEN 'malformed_answer' ELSE 'invalid_response' END AS reason FROM ans WHERE response IS NULL""", fx=("fx_raw_answers",))
+def q_failed_attempts(spark, sf):
+    """O-T3: answers that can't be used, numbered per trend; the trend is asked again."""
+    calls = PB.normalize_answers(fixture(spark, sf, "fx_raw_answers"))
+    return PB.failed_attempts(calls, calls.limit(0).select("trend_id", F.lit(0).cast("bigint").alias("attempt")))
+
+
 @query("parse_response", CTE + """SELECT call_id, gen_title, md5(gen_body) AS body_md5, cast(length(gen_body) AS bigint) AS body_len,
   array_to_string(tags, '|') AS tags FROM parsed""", fx=FX)
 def q_parse_response(spark, sf):
@@ -147,32 +162,59 @@ def q_created_ts(spark, sf):
     return fixture(spark, sf, "fx_trends").select("id", created_ts(F.col("pub_date"), P.as_of_epoch).alias("created"))
 
 
+_FILES_CTE = q_media.CTE.rstrip()[4:] + f""",
+ti AS (SELECT trend_id, gen_title AS title, {q_media.duck_slug('gen_title')} AS slug FROM lp),
+named AS (SELECT f.trend_id, f.ord, f.kind, f.url,
+  CASE WHEN f.kind = 'image' THEN CASE WHEN f.file_index = 0 THEN ti.slug || '.' || e.ext ELSE ti.slug || '-' || cast(f.file_index AS varchar) || '.' || e.ext END
+       WHEN f.kind = 'fallback' THEN ti.slug || '.jpg' ELSE ti.slug || '-video-thumb.jpg' END AS filename,
+  CASE WHEN f.kind = 'image' AND f.alt NOT IN ('', '0') THEN f.alt WHEN f.kind = 'video_thumb' THEN ti.title || ' - Video' ELSE ti.title END AS alt
+  FROM files f JOIN ti ON ti.trend_id = f.trend_id,
+  LATERAL (SELECT CASE WHEN lower(regexp_extract(f.url, '(?i)\\.(jpe?g|png|gif|webp)$', 1)) IN ('', 'jpeg') THEN 'jpg'
+    ELSE lower(regexp_extract(f.url, '(?i)\\.(jpe?g|png|gif|webp)$', 1)) END AS ext) e),
+imgs AS (SELECT trend_id, string_agg(filename || '|' || alt, ',' ORDER BY ord) AS images FROM named GROUP BY trend_id)"""
 _ART_CTE = CTE.rstrip() + "," + _AUTHOR_SQL.rstrip() + """,
-pend AS (SELECT id, pub_date FROM fx_trends WHERE processed = 0),
 lp AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY trend_id ORDER BY call_id DESC) = 1),
-art AS (SELECT lp.trend_id, 'article' AS type, lp.gen_title AS title, 1 AS status, a.uid, lp.gen_body AS body,
-          coalesce(cast(epoch(pend.pub_date) AS bigint), 995198400) AS created, tid.tag_ids, lp.cost
-        FROM lp JOIN pend ON pend.id = lp.trend_id JOIN tid ON tid.call_id = lp.call_id LEFT JOIN authors a ON a.trend_id = lp.trend_id),
+""" + _FILES_CTE + f""",
+art AS (SELECT lp.trend_id, 'article' AS type, lp.gen_title AS title, 1 AS status, a.uid,
+          CASE WHEN vids.video_url IS NULL THEN lp.gen_body ELSE {q_media.FRAME.replace('video_url', 'vids.video_url')} || coalesce(lp.gen_body, '') END AS body,
+          coalesce(cast(epoch(pend.pub_date) AS bigint), 995198400) AS created, tid.tag_ids, coalesce(imgs.images, '') AS images, lp.cost
+        FROM lp JOIN pend ON pend.id = lp.trend_id JOIN tid ON tid.call_id = lp.call_id LEFT JOIN authors a ON a.trend_id = lp.trend_id
+          LEFT JOIN vids ON vids.trend_id = lp.trend_id LEFT JOIN imgs ON imgs.trend_id = lp.trend_id),
 arts AS (SELECT art.*, cast(coalesce((SELECT max(node_id) FROM fx_trends), 0) + trend_id AS bigint) AS node_id FROM art)
 """
+_BARE_CTE = CTE.rstrip() + "," + _AUTHOR_SQL.rstrip() + """,
+lp AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY trend_id ORDER BY call_id DESC) = 1),
+arts AS (SELECT lp.trend_id, a.uid, tid.tag_ids, lp.cost, cast(coalesce((SELECT max(node_id) FROM fx_trends), 0) + lp.trend_id AS bigint) AS node_id
+         FROM lp JOIN fx_trends t ON t.id = lp.trend_id AND t.processed = 0 JOIN tid ON tid.call_id = lp.call_id LEFT JOIN authors a ON a.trend_id = lp.trend_id)
+"""
 FXA = ("fx_ai_calls", "fx_vocab", "fx_users", "fx_trends")
+FXM = FXA + ("fx_news_items", "fx_pages", "fx_image_meta", "fx_url_status")
 
 
-def _articles(spark, sf):
+def media_inputs(spark, sf):
+    return {"news": fixture(spark, sf, "fx_news_items"), "pages": fixture(spark, sf, "fx_pages"),
+            "image_meta": fixture(spark, sf, "fx_image_meta"), "url_status": fixture(spark, sf, "fx_url_status")}
+
+
+def _articles(spark, sf, media=False):
     out = PB.publish_articles(_calls(spark, sf), fixture(spark, sf, "fx_trends"), fixture(spark, sf, "fx_vocab"),
-                              fixture(spark, sf, "fx_users"), model_prices(spark), P)
+                              fixture(spark, sf, "fx_users"), model_prices(spark), P, media_inputs(spark, sf) if media else None)
     return out["articles"]
 
 
+def images_str(c):
+    return F.array_join(F.transform(c, lambda f: F.concat(f["filename"], F.lit("|"), f["alt"])), ",")
+
+
 @query("write_articles", _ART_CTE + """
-SELECT trend_id, node_id, type, title, status, uid, md5(body) AS body_md5, created, tag_ids, cost FROM arts""", fx=FXA)
+SELECT trend_id, node_id, type, title, status, uid, md5(body) AS body_md5, created, tag_ids, images, cost FROM arts""", fx=FXM)
 def q_write_articles(spark, sf):
-    a = _articles(spark, sf)
+    a = _articles(spark, sf, media=True)
     return a.select("trend_id", "node_id", "type", "title", "status", "uid", F.md5("body").alias("body_md5"), "created",
-                    _tags_str(F.col("tag_ids")).alias("tag_ids"), "cost")
+                    _tags_str(F.col("tag_ids")).alias("tag_ids"), images_str(F.col("images")).alias("images"), "cost")
 
 
-@query("finish_trends", _ART_CTE + """
+@query("finish_trends", _BARE_CTE + """
 SELECT t.id, CASE WHEN a.trend_id IS NOT NULL THEN 1 ELSE t.processed END AS processed,
   CASE WHEN a.trend_id IS NOT NULL THEN a.node_id ELSE t.node_id END AS node_id,
   CASE WHEN a.trend_id IS NOT NULL THEN a.cost ELSE t.processing_cost END AS processing_cost
@@ -200,7 +242,7 @@ def q_audit_log(spark, sf):
     return PB.audit_publish(p, u)
 
 
-@query("current_trends", _ART_CTE + """
+@query("current_trends", _BARE_CTE + """
 SELECT t.id, CASE WHEN a.trend_id IS NOT NULL THEN 1 ELSE t.processed END AS processed,
   CASE WHEN a.trend_id IS NOT NULL THEN a.node_id ELSE t.node_id END AS node_id,
   CASE WHEN a.trend_id IS NOT NULL THEN a.cost ELSE t.processing_cost END AS processing_cost

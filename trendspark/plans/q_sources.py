@@ -13,7 +13,6 @@ from trendspark.operators import media as M
 from trendspark.operators import prompts as PR
 from trendspark.operators import publish as PB
 from trendspark.operators import reports as R
-from trendspark.operators import snapshots as SN
 from trendspark.operators import translate as TR
 from trendspark.plans import q_ingest, q_media, q_prompts, q_publish, q_reports, q_translate
 from trendspark.plans.registry import query
@@ -111,24 +110,47 @@ def q_max_per_run(spark, sf):
     return _feed_stream(spark, sf, WAVE, WAVE)
 
 
-@query("process_stream")
+_RAW_ART = q_publish.ANSWERS_CTE + ",\n" + q_publish._ART_CTE.replace("fx_ai_calls", "good").strip()[5:]
+
+
+@query("process_stream", _RAW_ART + """
+SELECT trend_id, node_id, title, uid, md5(body) AS body_md5, tag_ids, images, cost FROM arts""", fx=("fx_raw_answers",) + q_publish.FXM[1:])
 def q_process_stream(spark, sf):
+    """O-T3: raw provider answers land, the stream publishes them with their media; the articles table read back."""
     from trendspark.streaming.jobs import start_publish_stream
 
     base = _scratch(spark, "publish")
     fixture(spark, sf, "fx_trends").write.parquet(f"{base}/tables/trends")
-    fixture(spark, sf, "fx_ai_calls").write.parquet(f"{base}/landing")
-    start_publish_stream(spark, f"{base}/landing", f"{base}/tables", fixture(spark, sf, "fx_vocab"),
-                         fixture(spark, sf, "fx_users"), q_publish.P, checkpoint=f"{base}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{base}/tables/articles")
-
-
-@query("clear_all")
+    fixture(spark, sf, "fx_raw_answers").write.parquet(f"{base}/landing")
+    start_publish_stream(spark, f"{base}/landing", f"{base}/tables", fixture(spark, sf, "fx_vocab"), fixture(spark, sf, "fx_users"), q_publish.P,
+                         checkpoint=f"{base}/ckpt", media=q_publish.media_inputs(spark, sf), raw=True).awaitTermination()
+    a = spark.read.parquet(f"{base}/tables/articles")
+    return a.select("trend_id", "node_id", "title", "uid", F.md5("body").alias("body_md5"), q_publish._tags_str(F.col("tag_ids")).alias("tag_ids"),
+                    q_publish.images_str(F.col("images")).alias("images"), "cost")
+
+
+@query("clear_all", """
+SELECT 'articles' AS name, cast(count(*) AS bigint) AS n_before, cast(count(*) AS bigint) AS n_after FROM fx_articles
+UNION ALL SELECT 'news', cast(count(*) AS bigint), cast(0 AS bigint) FROM fx_news_items
+UNION ALL SELECT 'trends', cast(count(*) AS bigint), cast(0 AS bigint) FROM fx_trends""", fx=("fx_articles", "fx_news_items", "fx_trends"))
 def q_clear_all(spark, sf):
+    """O-SNK9 on the tables the jobs write: rows of each table before and after."""
+    from trendspark.streaming.batches import read_or_empty
+    from trendspark.streaming.jobs import clear_tables
+
     base = _scratch(spark, "clear")
-    SN.write_snapshot(fixture(spark, sf, "fx_trends"), f"{base}/trends")
-    SN.clear_all(spark, {f"{base}/news": S.NEWS_ITEMS, f"{base}/trends": S.TRENDS})
-    return SN.read_latest(spark, f"{base}/trends")
+    frames = {"trends": fixture(spark, sf, "fx_trends"), "news": fixture(spark, sf, "fx_news_items"), "articles": fixture(spark, sf, "fx_articles")}
+    for name, df in frames.items():
+        df.write.parquet(f"{base}/{name}")
+    before = [spark.read.parquet(f"{base}/{n}").agg(F.count(F.lit(1)).alias("n_before")).select(F.lit(n).alias("name"), "n_before").checkpoint(eager=True)
+              for n in frames]
+    clear_tables(spark, base)
+    out = None
+    for (name, df), b in zip(frames.items(), before):
+        after = read_or_empty(spark, f"{base}/{name}", df.schema).agg(F.count(F.lit(1)).alias("n_after")).select(F.lit(name).alias("name"), "n_after")
+        one = b.join(after, "name")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---- composite jobs through their public entry points
@@ -149,7 +171,7 @@ def q_build_prompts(spark, sf):
     return out.select("trend_id", "title", F.md5("text").alias("text_md5"), "tags_list")
 
 
-@query("publish_articles", q_publish._ART_CTE + "SELECT trend_id, node_id, uid, cost, tag_ids FROM arts", fx=q_publish.FXA)
+@query("publish_articles", q_publish._BARE_CTE + "SELECT trend_id, node_id, uid, cost, tag_ids FROM arts", fx=q_publish.FXA)
 def q_publish_articles(spark, sf):
     a = q_publish._articles(spark, sf)
     return a.select("trend_id", "node_id", "uid", "cost", q_publish._tags_str(F.col("tag_ids")).alias("tag_ids"))

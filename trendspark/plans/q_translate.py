@@ -115,16 +115,9 @@ def q_enabled_gate(spark, sf):
     return enabled_gate(fixture(spark, sf, "fx_trends"), Params(import_enabled=False)).select("id", "title")
 
 
-_ESC = "replace(replace(replace(replace(replace(video_url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
-_FRAME = ("'<div class=\"embedded-video\" style=\"position: relative; padding-bottom: 56.25%; height: 0; overflow: hidden; max-width: 100%; "
-          "margin: 20px 0;\"><iframe src=\"' || " + _ESC + " || '\" style=\"position: absolute; top: 0; left: 0; width: 100%; height: 100%;\" "
-          "frameborder=\"0\" allow=\"accelerometer; autoplay; clipboard-write; encrypted-media; gyroscope; picture-in-picture\" "
-          "allowfullscreen></iframe></div>' || chr(10) || chr(10)")
-
-
 @query("embed_video", q_media.CTE.rstrip() + f"""
 SELECT p.id AS trend_id, md5(CASE WHEN v.video_url IS NOT NULL AND v.video_url <> '' AND (contains(v.video_url, 'youtube.com')
-  OR contains(v.video_url, 'youtu.be') OR contains(v.video_url, 'vimeo.com')) THEN {_FRAME.replace('video_url', 'v.video_url')} || coalesce(p.snippet, '')
+  OR contains(v.video_url, 'youtu.be') OR contains(v.video_url, 'vimeo.com')) THEN {q_media.FRAME.replace('video_url', 'v.video_url')} || coalesce(p.snippet, '')
   ELSE p.snippet END) AS body_md5
 FROM pend p LEFT JOIN vids v ON v.trend_id = p.id""", fx=q_media.FX)
 def q_embed_video(spark, sf):

@@ -6,9 +6,11 @@
   drains what has landed; ``maxFilesPerTrigger`` bounds a micro-batch. The checkpoint
   records each file once; a micro-batch that stops is taken up from what it decided
   (``batches.py``).
-* ``start_publish_stream`` (O-T3, O-T4): new model answers -> articles. An
-  answer whose trend already has an article is skipped (retry-safe), failures
-  go to the audit table and leave the trend pending.
+* ``start_publish_stream`` (O-T3, O-T4): new model answers, raw or normalised ->
+  articles with their media. An answer whose trend already has an article is
+  skipped (retry-safe), failures go to the audit and attempts tables and leave the
+  trend pending.
+* ``start_translation_stream`` (O-P5): new translation answers -> translations.
 
 Checkpoints and tables live under the shared folder named by
 ``spark.checkpoint.dir`` unless a path is given.
@@ -29,11 +31,12 @@ from trendspark.operators import ingest as I
 from trendspark.operators import publish as PB
 from trendspark.operators import runs as R
 from trendspark.operators import state as ST
+from trendspark.operators import translate as TR
 from trendspark.params import Params
 from trendspark.sources import feed as FEED
 from trendspark.sources.dimensions import model_prices
 from trendspark.session import ensure_checkpoint_dir
-from trendspark.streaming.batches import Batch, read_or_empty, run
+from trendspark.streaming.batches import Batch, filesystem, read_or_empty, run
 
 
 def stream_name(checkpoint: str) -> str:
@@ -58,7 +61,9 @@ def _ingest_decisions(spark: SparkSession, docs: DataFrame, tables: str, params:
     items = I.typed_items(FEED.feed_items(parsed)).checkpoint(eager=True)
     stored = read_trends(spark, tables)
     status = R.document_status(items, FEED.news_explode(items), H.stored_keys(stored, items), params).checkpoint(eager=True)
-    last = stored.agg(F.max("id")).first()[0] or 0
+    # ids go on after those of published articles too, which outlive a cleared table
+    arts = read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT)
+    last = max(stored.agg(F.max("id")).first()[0] or 0, arts.agg(F.max("trend_id")).first()[0] or 0)
     ids = R.numbered(status.filter(F.col("status") == I.ACCEPTED).select("feed_pos"), last + 1)
     rows = status.join(ids, "feed_pos", "left").select(
         F.lit("ingest").alias("stage"), F.col("feed_pos").cast("string").alias("key"), "status", "id", "feed_pos", "title", "traffic", "pub_date",
@@ -111,42 +116,133 @@ def start_feed_stream(spark: SparkSession, landing: str, tables: str, params: Pa
 
 ANSWERS = ("call_id bigint, trend_id bigint, trend_title string, provider string, model string, response string, "
            "input_tokens bigint, output_tokens bigint")
+#: answers as the providers send them
+RAW_ANSWERS = "call_id bigint, trend_id bigint, trend_title string, provider string, model string, json string"
 ARTICLES_OUT = ("trend_id bigint, type string, title string, status int, uid bigint, body string, created bigint, "
-                "tag_ids array<bigint>, domain_access string, domain_source string, cost decimal(10,6), node_id bigint")
+                "tag_ids array<bigint>, images array<struct<filename:string,alt:string>>, domain_access string, domain_source string, "
+                "cost decimal(10,6), node_id bigint")
+MEDIA_OUT = "trend_id bigint, ord bigint, kind string, url string, filename string, alt string"
+ATTEMPTS_OUT = "trend_id bigint, call_id bigint, attempt bigint, reason string"
+TRANSLATIONS_OUT = "node_id bigint, langcode string, title string, body string, tag_ids array<bigint>"
 
 
-def publish_batch(spark: SparkSession, answers: DataFrame, tables: str, vocab: DataFrame, users: DataFrame,
-                  params: Params) -> int:
-    """Articles for new answers of pending trends; trends already published are skipped
-    (O-T4). Intermediate results are checkpointed before writing, so the guard does
-    not see this batch's own articles and a recomputation cannot change them. The
-    published trends are marked processed through the append-only update log."""
-    stored = read_or_empty(spark, f"{tables}/trends", S.TRENDS)
-    updates = read_or_empty(spark, f"{tables}/trend_updates", ST.UPDATES)
-    trends = ST.current_trends(stored, updates)
+def _parts(**frames: DataFrame | None) -> DataFrame:
+    """Several frames as one table of decisions: ``part`` and a struct column for each."""
+    out = None
+    for name, df in frames.items():
+        if df is not None:
+            d = df.select(F.lit(name).alias("part"), F.struct(*df.columns).alias(name))
+            out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out.withColumn("seq", F.monotonically_increasing_id())
+
+
+def _part(decisions: DataFrame, name: str) -> DataFrame | None:
+    if name not in decisions.columns:
+        return None
+    return decisions.filter(F.col("part") == name).select(f"{name}.*", "seq")
+
+
+def _publish_decisions(spark: SparkSession, answers: DataFrame, tables: str, vocab: DataFrame, users: DataFrame, params: Params,
+                       media: dict[str, DataFrame] | None) -> DataFrame:
+    if "json" in answers.columns:
+        answers = PB.normalize_answers(answers)
+    answers = answers.checkpoint(eager=True)
+    trends = ST.current_trends(read_or_empty(spark, f"{tables}/trends", S.TRENDS), read_or_empty(spark, f"{tables}/trend_updates", ST.UPDATES))
     existing = read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT)
-    out = PB.publish_articles(answers, trends, vocab, users, model_prices(spark), params, existing=existing, materialize=True)
-    arts = out["articles"]
-    n = arts.count()
-    if n:
-        arts.write.mode("append").parquet(f"{tables}/articles")
-    # from all articles whose trend is still pending, so that a run that stopped after its articles is completed
-    pending = trends.filter(F.col("processed") == 0).select("id")
-    done = read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT).select(
-        F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost")).join(pending, "id").checkpoint(eager=True)
-    if done.limit(1).count():
-        ST.trend_updates(done, params.as_of_epoch).write.mode("append").parquet(f"{tables}/trend_updates")
-    out["audit"].write.mode("append").parquet(f"{tables}/audit")
-    return n
+    if media is not None and "news" not in media:
+        media = {**media, "news": read_or_empty(spark, f"{tables}/news", NEWS_OUT)}
+    out = PB.publish_articles(answers, trends, vocab, users, model_prices(spark), params, media, existing, materialize=True)
+    attempts = PB.failed_attempts(answers, read_or_empty(spark, f"{tables}/attempts", ATTEMPTS_OUT))
+    # articles of trends that are still pending (written by earlier versions that stopped before the update) are completed too
+    old = existing.join(trends.filter(F.col("processed") == 0).select(F.col("id").alias("trend_id")), "trend_id", "left_semi")
+    done = out["articles"].select("trend_id", "node_id", "cost").unionByName(old.select("trend_id", "node_id", "cost"))
+    updates = ST.trend_updates(done.select(F.col("trend_id").alias("id"), "node_id", F.col("cost").alias("processing_cost")), params.as_of_epoch)
+    return _parts(article=out["articles"], file=out["files"], update=updates, attempt=attempts, audit=out["audit"])
+
+
+def _publish_apply(batch: Batch) -> None:
+    d = batch.decisions()
+    for name, table, key in (("article", "articles", ["trend_id"]), ("file", "media", ["trend_id", "ord", "kind"]),
+                             ("update", "trend_updates", ["id"]), ("attempt", "attempts", ["call_id"])):
+        rows = _part(d, name)
+        if rows is not None:
+            batch.append(table, rows.drop("seq"), key)
+    batch.append("audit", _part(d, "audit"), ["seq"])
+
+
+def publish_batch(spark: SparkSession, answers: DataFrame, tables: str, vocab: DataFrame, users: DataFrame,
+                  params: Params, media: dict[str, DataFrame] | None = None, stream: str | None = None, epoch: int = 0) -> int:
+    """Articles for new answers (raw or normalised) of pending trends, with their video, images and tags; trends already
+    published are skipped (O-T4). Answers that can't be used go to the audit and to ``attempts``, their trends stay
+    pending. Everything is decided before the first write (``batches.py``); published trends are marked processed through
+    the append-only update log."""
+    batch = Batch(spark, tables, "publish", stream, epoch)
+    if not run(batch, lambda: _publish_decisions(spark, answers, tables, vocab, users, params, media), _publish_apply):
+        return 0
+    return _part(batch.decisions(), "article").count()
 
 
 def start_publish_stream(spark: SparkSession, landing: str, tables: str, vocab: DataFrame, users: DataFrame,
-                         params: Params, checkpoint: str | None = None) -> StreamingQuery:
+                         params: Params, checkpoint: str | None = None, media: dict[str, DataFrame] | None = None,
+                         raw: bool = False) -> StreamingQuery:
+    """``raw``: the landed answers are provider JSON (:data:`RAW_ANSWERS`)."""
     base = ensure_checkpoint_dir(spark)
     ckpt = checkpoint or f"{base.rstrip('/')}/streams/publish"
-    stream = spark.readStream.schema(ANSWERS).parquet(landing)
+    stream = spark.readStream.schema(RAW_ANSWERS if raw else ANSWERS).parquet(landing)
+
+    def each(batch: DataFrame, epoch_id: int) -> None:
+        publish_batch(batch.sparkSession, batch, tables, vocab, users, params, media, stream=stream_name(ckpt), epoch=epoch_id)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+
+
+TRANSLATION_ANSWERS = "node_id bigint, langcode string, response string"
+
+
+def pending_translations(spark: SparkSession, tables: str, languages: DataFrame, params: Params) -> DataFrame:
+    """O-P5: the requests to send: (node_id, langcode, title, body, prompt) of published articles without that translation."""
+    arts, have = read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT), read_or_empty(spark, f"{tables}/translations", TRANSLATIONS_OUT)
+    return TR.missing_translation(TR.translation_fanout(arts, languages, params), have)
+
+
+def translate_batch(spark: SparkSession, answers: DataFrame, tables: str, languages: DataFrame, params: Params,
+                    stream: str | None = None, epoch: int = 0) -> int:
+    """O-P5, O-SNK7: translations for new answers (node_id, langcode, response), tags copied from the article; pairs that have
+    one are skipped, unanswered ones stay to be asked."""
+    batch = Batch(spark, tables, "translate", stream, epoch)
+
+    def decide() -> DataFrame:
+        arts, have = read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT), read_or_empty(spark, f"{tables}/translations", TRANSLATIONS_OUT)
+        first = answers.filter(F.col("response").isNotNull()).groupBy("node_id", "langcode").agg(F.min("response").alias("response"))
+        return TR.translate_articles(arts, languages, have, first, params)["translations"]
+
+    if not run(batch, decide, lambda b: b.append("translations", b.decisions(), ["node_id", "langcode"])):
+        return 0
+    return batch.decisions().count()
+
+
+def start_translation_stream(spark: SparkSession, landing: str, tables: str, languages: DataFrame, params: Params,
+                             checkpoint: str | None = None) -> StreamingQuery:
+    base = ensure_checkpoint_dir(spark)
+    ckpt = checkpoint or f"{base.rstrip('/')}/streams/translate"
+    stream = spark.readStream.schema(TRANSLATION_ANSWERS).parquet(landing)
+
+    def each(batch: DataFrame, epoch_id: int) -> None:
+        translate_batch(batch.sparkSession, batch, tables, languages, params, stream=stream_name(ckpt), epoch=epoch_id)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+
+
+#: the tables of an importer, children first
+TABLES = ("news", "trends", "trend_updates", "attempts", "prompts", "_batches")
 
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        publish_batch(batch.sparkSession, batch, tables, vocab, users, params)
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+def clear_tables(spark: SparkSession, tables: str) -> list[str]:
+    """O-SNK9: drop the stored news, trends and pending work, children first; articles, their files, translations and the audit stay,
+    as the reference keeps its nodes and log. Returns what was dropped. Not to be run beside a stream."""
+    out = []
+    for name in TABLES:
+        fs, p = filesystem(spark, f"{tables}/{name}")
+        if fs.exists(p) and fs.delete(p, True):
+            out.append(name)
+    return out
