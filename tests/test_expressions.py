@@ -109,12 +109,21 @@ def test_fill_template(spark):
         fill_template("%s only", F.lit("1"), F.lit("2"))
 
 
-def test_accent_map_is_rule_built():
-    assert len(T.ACCENT_FROM) == len(T.ACCENT_TO) and "é" in T.ACCENT_FROM
+def test_romanisation(spark):
+    titles = ["Война и мир", "Žluťoučký kůň", "Αθήνα σήμερα", "أخبار اليوم", "חדשות היום", "さくら カメラ", "Щука Чёрный ящик", "final Ⅳ", "中文 only", "日本"]
+    got = _eval(spark, X.slugify, titles)
+    assert got == ["voyna-i-mir", "zlutoucky-kun", "athina-simera", "akhbar-alywm", "hdshvt-hyvm", "sakura-kamera",
+                   "shchuka-chernyy-yashchik", "final-iv", "only", ""]
+    assert len(set(got)) == len(got)
+    assert T.ROMAN_TABLE["é"] == "e" and T.ROMAN_TABLE["\u0301"] == "" and all(v.isascii() for v in T.ROMAN_TABLE.values())
 
 
-def test_numeric_entities(spark):
+def test_entities(spark):
     from trendspark.functions.text import decode_entities
 
-    vals = ["&#39;x", "&#x41;&#233;&#x1F600;", "&#0; &#xD800;", "&amp;#39;", "&#8217;&#8217;"]
-    assert _eval(spark, decode_entities, vals) == ["'x", "Aé😀", "&#0; &#xD800;", "&#39;", "’’"]
+    vals = ["&#39;x", "&#x41;&#233;&#x1F600;", "&#0; &#xD800;", "&amp;#39;", "&#8217;&#8217;",
+            "&hellip;&NotEqualTilde;&CounterClockwiseContourIntegral;", "&copy &copy; &notin; &notit; &nosuch; &AMP;lt;", "a && b &; &#; &#x; &", "&#128; &#13; &#9;|",
+            "&#00000065; &#x00041; &#99999999999; &#xFFFF; &#xFDD0;", "", None]
+    assert _eval(spark, decode_entities, vals) == [
+        "'x", "Aé😀", "&#0; &#xD800;", "&#39;", "’’", "…≂̸∳", "&copy © ∉ &notit; &nosuch; &lt;", "a && b &; &#; &#x; &", "&#128; &#13; \t|",
+        "A A &#99999999999; &#xFFFF; &#xFDD0;", "", None]

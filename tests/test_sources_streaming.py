@@ -123,16 +123,58 @@ def _png(width, height):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", ihdr) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
+def _jpeg(width, height, fill=b""):
+    import struct
+
+    app = b"\xff\xe0" + struct.pack(">H", 16) + b"JFIF\x00\x01\x01\x00\x00\x01\x00\x01\x00\x00"
+    exif = b"\xff\xe1" + struct.pack(">H", 2 + 300) + b"\xff\xc0\x00\x11" * 75  # looks like frame headers inside
+    table = b"\xff\xc4" + struct.pack(">H", 4) + b"\x00\x00"
+    return b"\xff\xd8" + app + exif + table + fill + b"\xff\xc2" + struct.pack(">HBHHB", 17, 8, height, width, 3) + bytes(9) + b"\xff\xd9"
+
+
 def test_image_dims_from_landed_files(spark):
-    from trendspark.sources.feed import read_images
+    import struct
 
+    from trendspark.sources.images import landed_files, read_images
+
+    riff = lambda body: b"RIFF" + struct.pack("<I", len(body) + 4) + b"WEBP" + body
+    bits = (301 - 1) | ((77 - 1) << 14)
+    files = {
+        "a.png": (_png(4, 3), (4, 3)), "big.png": (_png(700, 2), (700, 2)), "cut.png": (_png(4, 3)[:20], (0, 0)),
+        "a.gif": (b"GIF89a" + struct.pack("<HH", 640, 480) + bytes(3), (640, 480)), "b.gif": (b"GIF87a" + struct.pack("<HH", 1, 65535), (1, 65535)),
+        "a.jpg": (_jpeg(1920, 1080), (1920, 1080)), "fill.jpg": (_jpeg(33, 44, b"\xff\xff"), (33, 44)), "cut.jpg": (_jpeg(1920, 1080)[:60], (0, 0)),
+        "no-frame.jpg": (b"\xff\xd8\xff\xda\x00\x02" + bytes(50), (0, 0)),
+        "x.webp": (riff(b"VP8X" + struct.pack("<I", 10) + bytes(4) + (1023).to_bytes(3, "little") + (2).to_bytes(3, "little")), (1024, 3)),
+        "v.webp": (riff(b"VP8 " + struct.pack("<I", 20) + b"\x00\x00\x00\x9d\x01\x2a" + struct.pack("<HH", 320 | 0x4000, 200)), (320, 200)),
+        "l.webp": (riff(b"VP8L" + struct.pack("<I", 9) + b"\x2f" + struct.pack("<I", bits)), (301, 77)),
+        "broken.png": (b"not an image", (0, 0)),
+    }
     d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    with open(os.path.join(d, "a.png"), "wb") as f:
-        f.write(_png(4, 3))
-    with open(os.path.join(d, "broken.png"), "wb") as f:
-        f.write(b"not an image")
+    for name, (data, _) in files.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
     got = {os.path.basename(r.url): (r.width, r.height) for r in read_images(spark, d).collect()}
-    assert got == {"a.png": (4, 3), "broken.png": (0, 0)}
+    assert got == {name: size for name, (_, size) in files.items()}
+    # whole files: the same as Spark's own image reader
+    decoded = spark.read.format("image").option("dropInvalid", True).load(f"{d}/*.png").select("image.origin", "image.width", "image.height").collect()
+    assert {os.path.basename(r.origin): (r.width, r.height) for r in decoded} == {n: got[n] for n in ("a.png", "big.png")}
+    assert {os.path.basename(r.url): r.length for r in landed_files(spark, d).collect()} == {n: len(x) for n, (x, _) in files.items()}
+
+
+def test_dead_images_take_no_place(spark):
+    from trendspark.operators import media as M
+
+    html = "".join(f'<img src="https://i/{k}.png">' for k in range(30))
+    pages = spark.createDataFrame([(1, "https://a/x", html), (2, "https://b/y", html + '<img src="https://i/0.png">')], "page_id long, url string, html string")
+    news = spark.createDataFrame([(1, 0, "https://a/x"), (1, 1, "https://b/y"), (2, 0, "https://b/y")], "trend_id long, news_pos long, url string")
+    meta = spark.createDataFrame([(f"https://i/{k}.png", 10 + k, 10) for k in range(30)], "url string, width int, height int")
+    landed = spark.createDataFrame([(f"https://i/{k}.png", 5 if k % 2 else 0) for k in range(28)], "url string, length long")
+    status = spark.createDataFrame([], "url string, status int, body string")
+    trends = spark.createDataFrame([(1, "p"), (2, "p"), (3, "https://own/p.jpg")], "id long, image_url string")
+    out = M.extract_media(news, pages, meta, status, trends, landed)
+    files = sorted((r.trend_id, r.ord, r.kind, r.url) for r in out["files"].collect())
+    want = [(t, n + 1, "image", f"https://i/{k}.png") for t in (1, 2) for n, k in enumerate(range(27, 7, -2))]
+    assert files == want + [(3, 1, "fallback", "https://own/p.jpg")]
 
 
 def test_published_cost_projection(spark):

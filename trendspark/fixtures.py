@@ -157,6 +157,22 @@ SELECT doc_id AS node_id, 'es' AS langcode,
 FROM {documents} WHERE lang = 'en' AND doc_id % 2 = 0""",
 }
 
+# rows a foreign key would refuse, pages that never landed, and pages without text
+FX_SQL["fx_late_news"] = """
+SELECT cast(l_linenumber AS bigint) * 1000000000 + l_partkey * 1000 + l_suppkey AS news_pos, CASE WHEN l_orderkey % 11 = 0 THEN -l_orderkey ELSE l_orderkey END AS trend_id,
+  concat('news ', cast(l_partkey AS varchar(20))) AS title, 'about' AS snippet,
+  CASE l_partkey % 9 WHEN 0 THEN concat('https://gone.example.org/', cast(l_partkey AS varchar(20))) WHEN 1 THEN NULL ELSE p.url END AS url,
+  concat('Source ', cast(l_suppkey % 20 AS varchar(20))) AS source
+FROM {lineitem} JOIN {pages} p ON p.page_id = l_partkey % $n_pages WHERE l_linenumber <= 2"""
+FX_SQL["fx_thin_pages"] = """
+SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '<html><head><title>t</title></head><body><nav>menu</nav></body></html>'
+  WHEN 2 THEN NULL ELSE html END AS html FROM {pages}"""
+# files that landed, with their lengths; a third of the images have none or an empty one
+FX_SQL["fx_landed"] = """
+SELECT DISTINCT concat('https://img.example.org/', cast(l_partkey % 400 AS varchar(20)),
+    CASE l_partkey % 4 WHEN 0 THEN '.jpeg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.webp' ELSE '?w=1' END) AS url,
+  cast(CASE WHEN l_partkey % 400 % 7 = 0 THEN 0 ELSE 1000 END AS bigint) AS length
+FROM {lineitem} WHERE l_partkey % 400 % 5 <> 0"""
 # the same answers as the providers send them: both layouts, both spellings of the usage counters, counts written as text, no
 # usage at all, cut-off and other broken bodies, answers without text
 FX_SQL["fx_raw_answers"] = """

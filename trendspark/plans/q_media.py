@@ -132,9 +132,11 @@ def q_media_rank(spark, sf):
     return M.media_rank(_img_dd(spark, sf), order=("news_pos",)).select("trend_id", "url", "rank")
 
 
-@query("top_images", _RK_IMAGES + "SELECT trend_id, url, rank, rank - 1 AS file_index FROM rk WHERE rank <= 10", fx=FXI)
+@query("top_images", _RK_IMAGES.replace("FROM fx_images", "FROM fx_images WHERE url IN (SELECT url FROM fx_landed WHERE length > 0)")
+       + "SELECT trend_id, url, rank, rank - 1 AS file_index FROM rk WHERE rank <= 10", fx=FXI + ("fx_landed",))
 def q_top_images(spark, sf):
-    return M.top_images(_img_dd(spark, sf), order=("news_pos",)).select("trend_id", "url", "rank", "file_index")
+    i = M.landed_only(fixture(spark, sf, "fx_images"), fixture(spark, sf, "fx_landed"))
+    return M.top_images(M.image_dedupe(i, order=("news_pos",)), order=("news_pos",)).select("trend_id", "url", "rank", "file_index")
 
 
 @query("file_index", CTE + "SELECT trend_id, url, file_index FROM top", fx=FX)

@@ -72,11 +72,11 @@ def q_news_to_trend(spark, sf):
     return _t(spark, sf, "fx_news_items").join(t, "trend_id", "left").select("news_pos", "trend_id", "source", "trend_title", "traffic")
 
 
-@query("orphan_news", "SELECT n.news_pos, n.trend_id FROM fx_news_items n WHERE NOT EXISTS (SELECT 1 FROM fx_trends t WHERE t.id = n.trend_id)",
-       fx=("fx_trends", "fx_news_items"))
+@query("orphan_news", "SELECT n.news_pos, n.trend_id, n.url FROM fx_late_news n WHERE NOT EXISTS (SELECT 1 FROM fx_trends t WHERE t.id = n.trend_id)",
+       fx=("fx_trends", "fx_late_news"))
 def q_orphan_news(spark, sf):
     t = _t(spark, sf, "fx_trends").select(F.col("id").alias("trend_id"))
-    return _t(spark, sf, "fx_news_items").join(t, "trend_id", "left_anti").select("news_pos", "trend_id")
+    return _t(spark, sf, "fx_late_news").join(t, "trend_id", "left_anti").select("news_pos", "trend_id", "url")
 
 
 @query("page_source", f"""
@@ -167,9 +167,22 @@ def q_build_prompt(spark, sf):
     return out.select("trend_id", *_digest(F.col("prompt"), "prompt"), "tags_list")
 
 
-@query("audit_scrape", CTE + """
+FXL = ("fx_trends", "fx_late_news", "fx_thin_pages")
+_LATE = CTE.replace("fx_pages", "fx_thin_pages").replace("fx_news_items", "fx_late_news").split("tags AS (")[0].rstrip().rstrip(",")
+
+
+@query("audit_scrape", _LATE + """
 SELECT 'prompts' AS stage, cast(n.trend_id AS varchar) || ':' || cast(n.news_pos AS varchar) AS key,
   CASE WHEN p.url IS NULL THEN 'scrape_failed' ELSE 'no_content' END AS reason, n.url AS detail
-FROM fx_news_items n LEFT JOIN pieces p ON p.url = n.url WHERE p.url IS NULL OR p.piece = ''""", fx=FX)
+FROM fx_late_news n LEFT JOIN pieces p ON p.url = n.url WHERE p.url IS NULL OR p.piece = ''""", fx=FXL)
 def q_audit_scrape(spark, sf):
-    return PR.scrape_audit(_t(spark, sf, "fx_news_items"), _t(spark, sf, "fx_pages"))
+    return PR.scrape_audit(_t(spark, sf, "fx_late_news"), _t(spark, sf, "fx_thin_pages"))
+
+
+@query("has_text", _LATE + """
+SELECT trend_id, has_text, md5(text) AS text_md5 FROM tt""", fx=FXL)
+def q_has_text(spark, sf):
+    """O-F9: whether any page of a pending trend gave text, with missing, empty and textless pages."""
+    mine = PR.news_of_pending(_t(spark, sf, "fx_late_news"), PR.pending_trends(_t(spark, sf, "fx_trends")))
+    tt = PR.trend_text(mine, PR.page_pieces(mine, _t(spark, sf, "fx_thin_pages")))
+    return tt.select("trend_id", "has_text", F.md5("text").alias("text_md5"))

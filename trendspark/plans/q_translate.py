@@ -76,11 +76,16 @@ def q_parse_translation(spark, sf):
     return t.select("node_id", "langcode", "title", F.md5("body").alias("body_md5"))
 
 
-@query("write_translations", CTE + "SELECT node_id, langcode, title, cast(length(body) AS bigint) AS body_len FROM tr", fx=FXT)
+@query("write_translations", CTE + """
+SELECT node_id, langcode, title, cast(length(body) AS bigint) AS body_len, cast(node_id % 7 AS varchar) || ',' || cast(node_id % 5 AS varchar) AS tag_ids
+FROM tr""", fx=FXT)
 def q_write_translations(spark, sf):
-    out = TR.translate_articles(fixture(spark, sf, "fx_articles"), fixture(spark, sf, "fx_languages"),
+    """O-SNK7: tags go with every language of the article."""
+    articles = fixture(spark, sf, "fx_articles").withColumn("tag_ids", F.array(F.col("node_id") % 7, F.col("node_id") % 5))
+    out = TR.translate_articles(articles, fixture(spark, sf, "fx_languages"),
                                 fixture(spark, sf, "fx_translations"), fixture(spark, sf, "fx_translation_calls"), P)
-    return out["translations"].select("node_id", "langcode", "title", F.char_length("body").cast("bigint").alias("body_len"))
+    return out["translations"].select("node_id", "langcode", "title", F.char_length("body").cast("bigint").alias("body_len"),
+                                      F.array_join(F.transform("tag_ids", lambda x: x.cast("string")), ",").alias("tag_ids"))
 
 
 _KEPT = "regexp_replace(approx_traffic, '[^0-9.]', '', 'g')"
