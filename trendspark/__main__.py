@@ -2,11 +2,17 @@
 
   python -m trendspark fetch     --feeds DIR --tables DIR [--min-traffic N] [--max-trends N] [--filtered-tlds S]
   python -m trendspark prompts   --tables DIR --pages PATH --vocab PATH [--tag-vocabulary V] [--template FILE]
-  python -m trendspark publish   --tables DIR --answers DIR --vocab PATH --users PATH [--tag-field F] [--random-author]
+  python -m trendspark publish   --tables DIR --answers DIR --vocab PATH --users PATH [--raw] [--tag-field F] [--random-author]
+                                 [--pages PATH --image-meta PATH --probes PATH [--images DIR]]
+  python -m trendspark requests  --tables DIR --languages PATH --codes fr,de      (translation requests still to send)
+  python -m trendspark translate --tables DIR --languages PATH --codes fr,de --answers DIR
   python -m trendspark dashboard --tables DIR [--as-of 'YYYY-MM-DD HH:MM:SS']
   python -m trendspark listing   --tables DIR [--page N] [--sort COL] [--order asc|desc]
+  python -m trendspark news      --tables DIR [--page N] [--trend ID]
+  python -m trendspark clear     --tables DIR --yes
 
-Table layout under --tables: trends/ news/ (append-only), trend_updates/ (state log), articles/, prompts/, audit/.
+Table layout under --tables: trends/ (by day of the date) news/ (append-only), trend_updates/ (state log), articles/, media/ (files
+of the articles), translations/, attempts/ (answers that can't be used), prompts/, audit/, _batches/ (what running batches decided).
 The session comes from the environment (spark-submit / cluster defaults); UTC is pinned.
 """
 
@@ -86,11 +92,58 @@ def cmd_publish(spark, a):
     from trendspark.streaming.jobs import start_publish_stream
 
     ckpt = a.checkpoint or f"{a.tables}/_checkpoints/publish"
+    media = None
+    if a.pages:
+        from trendspark.sources.images import landed_files
+
+        media = {"pages": spark.read.parquet(a.pages), "image_meta": spark.read.parquet(a.image_meta), "url_status": spark.read.parquet(a.probes)}
+        if a.images:
+            media["landed"] = landed_files(spark, a.images)
     start_publish_stream(spark, a.answers, a.tables, spark.read.parquet(a.vocab), spark.read.parquet(a.users), _params(a),
-                         checkpoint=ckpt).awaitTermination()
+                         checkpoint=ckpt, media=media, raw=a.raw).awaitTermination()
     print(json.dumps({"articles": spark.read.parquet(f"{a.tables}/articles").count()}))
 
 
+def _translation_params(a) -> Params:
+    return Params(translation_enabled=True, translation_languages=tuple(a.codes.split(",")))
+
+
+def cmd_requests(spark, a):
+    from trendspark.streaming.jobs import pending_translations
+
+    for r in pending_translations(spark, a.tables, spark.read.parquet(a.languages), _translation_params(a)) \
+            .select("node_id", "langcode", "prompt").toLocalIterator():
+        print(json.dumps(r.asDict(), ensure_ascii=False))
+
+
+def cmd_translate(spark, a):
+    from trendspark.streaming.batches import read_or_empty
+    from trendspark.streaming.jobs import TRANSLATIONS_OUT, start_translation_stream
+
+    ckpt = a.checkpoint or f"{a.tables}/_checkpoints/translate"
+    start_translation_stream(spark, a.answers, a.tables, spark.read.parquet(a.languages), _translation_params(a), checkpoint=ckpt).awaitTermination()
+    print(json.dumps({"translations": read_or_empty(spark, f"{a.tables}/translations", TRANSLATIONS_OUT).count()}))
+
+
+def cmd_news(spark, a):
+    from trendspark.operators import reports as R
+    from trendspark.streaming.batches import read_or_empty
+    from trendspark.streaming.jobs import NEWS_OUT
+
+    rows = R.news_rows(read_or_empty(spark, f"{a.tables}/news", NEWS_OUT), _current(spark, a.tables),
+                       [R.argument("trend_id", a.trend)] if a.trend is not None else [])
+    for r in R.news_page(rows, a.page).collect():
+        print(json.dumps(r.asDict(), default=str))
+
+
+def cmd_clear(spark, a):
+    from trendspark.streaming.jobs import clear_tables
+
+    if not a.yes:
+        raise SystemExit("clearing can't be undone: pass --yes")
+    print(json.dumps({"cleared": clear_tables(spark, a.tables)}))
+
+
 def cmd_dashboard(spark, a):
     from trendspark.operators import reports as R
 
@@ -135,6 +188,19 @@ def main(argv=None) -> int:
     pu.add_argument("--tag-field", default="")
     pu.add_argument("--random-author", action="store_true")
     pu.add_argument("--checkpoint")
+    pu.add_argument("--raw", action="store_true")
+    for x in ("--pages", "--image-meta", "--probes", "--images"):
+        pu.add_argument(x)
+    for name in ("requests", "translate"):
+        tr = sub.add_parser(name)
+        tr.add_argument("--languages", required=True)
+        tr.add_argument("--codes", required=True)
+    tr.add_argument("--answers", required=True)
+    tr.add_argument("--checkpoint")
+    ne = sub.add_parser("news")
+    ne.add_argument("--page", type=int, default=0)
+    ne.add_argument("--trend", type=int)
+    sub.add_parser("clear").add_argument("--yes", action="store_true")
     sub.add_parser("dashboard")
     li = sub.add_parser("listing")
     li.add_argument("--page", type=int, default=0)
@@ -145,8 +211,8 @@ def main(argv=None) -> int:
         p.add_argument("--as-of")
     a = ap.parse_args(argv)
     spark = _session()
-    {"fetch": cmd_fetch, "prompts": cmd_prompts, "publish": cmd_publish, "dashboard": cmd_dashboard,
-     "listing": cmd_listing}[a.cmd](spark, a)
+    {"fetch": cmd_fetch, "prompts": cmd_prompts, "publish": cmd_publish, "requests": cmd_requests, "translate": cmd_translate,
+     "dashboard": cmd_dashboard, "listing": cmd_listing, "news": cmd_news, "clear": cmd_clear}[a.cmd](spark, a)
     return 0
 
 

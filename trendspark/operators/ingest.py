@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trendspark.functions import host_suffixes, parse_pub_date, parse_tld_list, parse_traffic, url_host
+from trendspark.operators.common import global_index
 from trendspark.params import Params
 
 # The item outcomes, in the order the reference checks them.
@@ -192,10 +193,13 @@ def append_trends(accepted_with_ids: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def append_news(news: DataFrame, accepted_with_ids: DataFrame) -> DataFrame:
-    """O-SNK2: children of accepted items only, carrying the new trend id."""
+def append_news(news: DataFrame, accepted_with_ids: DataFrame, last_id: int = 0) -> DataFrame:
+    """O-SNK2: children of accepted items only, carrying the new trend id and a serial id of their own, from ``last_id`` on in the
+    order of trends and positions; numbered in parallel."""
     acc = accepted_with_ids.select("feed_pos", F.col("id").alias("trend_id"))
-    return news.join(acc, "feed_pos").select("trend_id", "news_pos", "title", "snippet", "url", "source")
+    rows = news.join(acc, "feed_pos").select("trend_id", "news_pos", "title", "snippet", "url", "source")
+    return global_index(rows, ["trend_id", "news_pos"], "_i").select(
+        (F.lit(last_id + 1) + F.col("_i")).cast("bigint").alias("id"), "trend_id", "news_pos", "title", "snippet", "url", "source")
 
 
 def pending_set(trends: DataFrame) -> DataFrame:

@@ -123,7 +123,10 @@ def argument(col: str, value) -> Column:
 def listing_rows(trends: DataFrame, articles: DataFrame, filters: Sequence[Column] = ()) -> DataFrame:
     """O-P7 rows: processed trends (O-F6) left-joined to their article (O-J2), then filters."""
     art = articles.select(F.col("node_id"), F.col("title").alias("article_title"))
-    df = trends.filter(F.col("processed") == 1).join(art, "node_id", "left")
+    done = trends.filter(F.col("processed") == 1)
+    # trends without a node (finished without an article) match nothing: they skip the join, as NULL keys meet in one task
+    with_node = done.filter(F.col("node_id").isNotNull()).join(art, "node_id", "left")
+    df = with_node.unionByName(done.filter(F.col("node_id").isNull()), allowMissingColumns=True)
     for f in filters:
         df = df.filter(f)
     return df
@@ -170,6 +173,38 @@ def listing(trends: DataFrame, articles: DataFrame, filters: Sequence[Column] =
     return listing_format(listing_page(listing_rows(trends, articles, filters), page, sort, order))
 
 
+# ---- report over news items (base table of its own, related to its trend) ----
+
+# Columns the news report can sort on, and their default direction.
+NEWS_SORTABLE = {"news_id": "desc"}
+
+
+def news_rows(news: DataFrame, trends: DataFrame, filters: Sequence[Column] = ()) -> DataFrame:
+    """O-J3 rows of the news report: every news item with its trend, if there is one. Filters and arguments of the report
+    (O-F12, O-F13, O-F15) are on ``news_id``, ``trend_id``, ``news_title`` and ``source``; those on the trend's columns work too."""
+    n = news.select(F.col("id").alias("news_id"), "trend_id", F.col("title").alias("news_title"), F.col("snippet").alias("news_snippet"),
+                    F.col("url").alias("news_url"), "source")
+    t = trends.select(F.col("id").alias("trend_id"), "title", "traffic", "pub_date", "processed", "node_id")
+    df = n.join(t, "trend_id", "left")
+    for f in filters:  # Catalyst applies those on the news below the join
+        df = df.filter(f)
+    return df
+
+
+def news_page(df: DataFrame, page: int = 0, sort: str = "news_id", order: str | None = None, size: int = LISTING_PAGE_SIZE) -> DataFrame:
+    """One page of the news report."""
+    if sort not in NEWS_SORTABLE:
+        raise ValueError(f"cannot sort on {sort}")
+    key = F.col(sort).asc() if (order or NEWS_SORTABLE[sort]) == "asc" else F.col(sort).desc()
+    return df.orderBy(key).offset(page * size).limit(size)
+
+
+def news_keyset_page(df: DataFrame, last_id: int | None, size: int = LISTING_PAGE_SIZE) -> DataFrame:
+    """Deep paging of the news report: one pushed-down filter instead of an offset."""
+    df = df if last_id is None else df.filter(F.col("news_id") < last_id)
+    return df.orderBy(F.col("news_id").desc()).limit(size)
+
+
 def recent_trends_display(trends: DataFrame, n: int = DASHBOARD_TOP_N) -> DataFrame:
     """O-X23 (dashboard): the recent list as shown — traffic ``1,234K+``, import time
     ``Y-m-d H:i``, Yes/No, cost ``$`` + 4 decimals with only NULL shown as ``N/A``."""

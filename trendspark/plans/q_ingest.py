@@ -167,7 +167,7 @@ def q_append_trends(spark, sf):
 
 
 @query("append_news", CTE_STATUS + """
-SELECT a.id AS trend_id, n.news_pos, n.title, n.snippet, n.url, n.source
+SELECT cast(row_number() OVER (ORDER BY a.id, n.news_pos) AS bigint) AS id, a.id AS trend_id, n.news_pos, n.title, n.snippet, n.url, n.source
 FROM (SELECT feed_pos, cast((SELECT max(id) FROM fx_trends) + row_number() OVER (ORDER BY feed_pos) AS bigint) AS id FROM capped) a
 JOIN fx_news_items n ON n.trend_id = a.feed_pos""", fx=FEED + ("fx_trends",))
 def q_append_news(spark, sf):

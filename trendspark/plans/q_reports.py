@@ -154,3 +154,39 @@ SELECT id, title, concat(format('{:,}', traffic), 'K+') AS traffic_text,
 FROM (SELECT * FROM fx_trends ORDER BY id DESC LIMIT 5)""", fx=FX)
 def q_dashboard_format(spark, sf):
     return R.recent_trends_display(fixture(spark, sf, "fx_trends"))
+
+
+_NEWS = """(SELECT n.trend_id * 10000000000 + n.news_pos AS news_id, n.trend_id, n.title AS news_title, n.url AS news_url, n.source,
+  t.title, t.traffic, t.processed FROM fx_news_items n LEFT JOIN fx_trends t ON t.id = n.trend_id)"""
+_NEWS_COLS = "news_id, trend_id, news_title, news_url, source, title, traffic, processed"
+FXN = ("fx_trends", "fx_news_items")
+
+
+def _news(spark, sf, filters=()):
+    n = fixture(spark, sf, "fx_news_items").withColumn("id", F.col("trend_id") * 10000000000 + F.col("news_pos"))
+    return R.news_rows(n, fixture(spark, sf, "fx_trends"), filters).select(*_NEWS_COLS.split(", "))
+
+
+@query("news_listing_page", f"SELECT {_NEWS_COLS} FROM {_NEWS} WHERE traffic >= 100 AND starts_with(source, 'Source 1') ORDER BY news_id DESC LIMIT 25 OFFSET 50",
+       fx=FXN)
+def q_news_listing(spark, sf):
+    """The report over news items: filters on the item and its trend, newest first, third page."""
+    return R.news_page(_news(spark, sf, [F.col("traffic") >= 100, R.string_filter("source", "startswith", "Source 1")]), page=2)
+
+
+@query("news_filters", f"""SELECT {_NEWS_COLS} FROM {_NEWS} WHERE news_id BETWEEN 1000000000000 AND 90000000000000 AND trend_id <> 700
+  AND (contains(news_title, '7') OR source = 'Source 3')""", fx=FXN)
+def q_news_filters(spark, sf):
+    return _news(spark, sf, [R.numeric_filter("news_id", "between", 1000000000000, 90000000000000), R.numeric_filter("trend_id", "<>", 700),
+                             R.string_filter("news_title", "contains", "7") | R.string_filter("source", "=", "Source 3")])
+
+
+@query("news_argument", f"SELECT {_NEWS_COLS} FROM {_NEWS} WHERE trend_id = (SELECT min(trend_id) FROM fx_news_items)", fx=FXN)
+def q_news_argument(spark, sf):
+    first = fixture(spark, sf, "fx_news_items").agg(F.min("trend_id")).first()[0]
+    return _news(spark, sf, [R.argument("trend_id", first)])
+
+
+@query("news_keyset_page", f"SELECT {_NEWS_COLS} FROM {_NEWS} WHERE news_id < 50000000000000 ORDER BY news_id DESC LIMIT 25", fx=FXN)
+def q_news_keyset(spark, sf):
+    return R.news_keyset_page(_news(spark, sf), 50000000000000)

@@ -45,8 +45,7 @@ def stream_name(checkpoint: str) -> str:
 
 
 
-_NEWS_COLS = ["trend_id", "news_pos", "title", "snippet", "url", "source"]
-NEWS_OUT = "trend_id bigint, news_pos bigint, title string, snippet string, url string, source string"
+NEWS_OUT = "id bigint, trend_id bigint, news_pos bigint, title string, snippet string, url string, source string"
 #: stored trends and the folder (day of the date) they are kept in; NULL where a table is kept without folders
 TRENDS_IN = T.StructType([*S.TRENDS.fields, T.StructField("pub_day", T.StringType()), T.StructField("batch", T.StringType())])
 
@@ -55,8 +54,24 @@ def read_trends(spark: SparkSession, tables: str) -> DataFrame:
     return read_or_empty(spark, f"{tables}/trends", TRENDS_IN)
 
 
+def _parts(**frames: DataFrame | None) -> DataFrame:
+    """Several frames as one table of decisions: ``part`` and a struct column for each."""
+    out = None
+    for name, df in frames.items():
+        if df is not None:
+            d = df.select(F.lit(name).alias("part"), F.struct(*df.columns).alias(name))
+            out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out.withColumn("seq", F.monotonically_increasing_id())
+
+
+def _part(decisions: DataFrame, name: str) -> DataFrame | None:
+    if name not in decisions.columns:
+        return None
+    return decisions.filter(F.col("part") == name).select(f"{name}.*", "seq")
+
+
 def _ingest_decisions(spark: SparkSession, docs: DataFrame, tables: str, params: Params) -> DataFrame:
-    """One row per item (its status, its id if accepted, its fields and children) and per rejected document."""
+    """The accepted trends and their news, with their ids, and an audit row for every other item and every rejected document."""
     parsed = FEED.checked(FEED.parse_documents(docs)).checkpoint(eager=True)  # the XML is parsed once
     items = I.typed_items(FEED.feed_items(parsed)).checkpoint(eager=True)
     stored = read_trends(spark, tables)
@@ -65,21 +80,19 @@ def _ingest_decisions(spark: SparkSession, docs: DataFrame, tables: str, params:
     arts = read_or_empty(spark, f"{tables}/articles", ARTICLES_OUT)
     last = max(stored.agg(F.max("id")).first()[0] or 0, arts.agg(F.max("trend_id")).first()[0] or 0)
     ids = R.numbered(status.filter(F.col("status") == I.ACCEPTED).select("feed_pos"), last + 1)
-    rows = status.join(ids, "feed_pos", "left").select(
-        F.lit("ingest").alias("stage"), F.col("feed_pos").cast("string").alias("key"), "status", "id", "feed_pos", "title", "traffic", "pub_date",
-        "link", "snippet", "picture", F.when(F.col("id").isNotNull(), F.col("news_item")).alias("news_item"))
-    rejects = parsed.filter(F.col("reason").isNotNull()).select(F.lit("feed").alias("stage"), F.col("path").alias("key"), F.col("reason").alias("status"))
-    return rows.unionByName(rejects, allowMissingColumns=True).withColumn("seq", F.monotonically_increasing_id())
+    took = status.join(ids, "feed_pos").checkpoint(eager=True)
+    last_news = read_or_empty(spark, f"{tables}/news", NEWS_OUT).agg(F.max("id")).first()[0] or 0
+    rejects = parsed.filter(F.col("reason").isNotNull()).select(
+        F.lit("feed").alias("stage"), F.col("path").alias("key"), "reason", F.lit(None).cast("string").alias("detail"))
+    return _parts(trend=I.append_trends(took, params), news=I.append_news(FEED.news_explode(took), took, last_news),
+                  audit=I.audit_rows(status).unionByName(rejects))
 
 
-def _ingest_apply(batch: Batch, params: Params) -> None:
+def _ingest_apply(batch: Batch) -> None:
     d = batch.decisions()
-    took = d.filter(F.col("id").isNotNull())
-    batch.append("news", I.append_news(FEED.news_explode(took), took).select(*_NEWS_COLS), ["trend_id", "news_pos"])
-    batch.append("trends", I.append_trends(took, params).withColumn("pub_day", H.pub_day(F.col("pub_date"))), ["id"], day="pub_day")
-    audit = d.filter(F.col("status") != I.ACCEPTED).select(
-        "stage", "key", F.col("status").alias("reason"), F.col("title").alias("detail"), "seq")
-    batch.append("audit", audit, ["seq"])
+    batch.append("news", _part(d, "news").drop("seq"), ["id"])
+    batch.append("trends", _part(d, "trend").drop("seq").withColumn("pub_day", H.pub_day(F.col("pub_date"))), ["id"], day="pub_day")
+    batch.append("audit", _part(d, "audit"), ["seq"])
 
 
 def ingest_batch(spark: SparkSession, docs: DataFrame, tables: str, params: Params, stream: str | None = None, epoch: int = 0) -> dict[str, int]:
@@ -88,9 +101,9 @@ def ingest_batch(spark: SparkSession, docs: DataFrame, tables: str, params: Para
     if not params.import_enabled:
         return {"accepted": 0}
     batch = Batch(spark, tables, "feed", stream, epoch)
-    if not run(batch, lambda: _ingest_decisions(spark, docs, tables, params), lambda b: _ingest_apply(b, params)):
+    if not run(batch, lambda: _ingest_decisions(spark, docs, tables, params), _ingest_apply):
         return {"accepted": 0}
-    return {"accepted": batch.decisions().filter(F.col("id").isNotNull()).count()}
+    return {"accepted": batch.decisions().filter("part = 'trend'").count()}
 
 
 def start_feed_stream(spark: SparkSession, landing: str, tables: str, params: Params,
@@ -126,22 +139,6 @@ ATTEMPTS_OUT = "trend_id bigint, call_id bigint, attempt bigint, reason string"
 TRANSLATIONS_OUT = "node_id bigint, langcode string, title string, body string, tag_ids array<bigint>"
 
 
-def _parts(**frames: DataFrame | None) -> DataFrame:
-    """Several frames as one table of decisions: ``part`` and a struct column for each."""
-    out = None
-    for name, df in frames.items():
-        if df is not None:
-            d = df.select(F.lit(name).alias("part"), F.struct(*df.columns).alias(name))
-            out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out.withColumn("seq", F.monotonically_increasing_id())
-
-
-def _part(decisions: DataFrame, name: str) -> DataFrame | None:
-    if name not in decisions.columns:
-        return None
-    return decisions.filter(F.col("part") == name).select(f"{name}.*", "seq")
-
-
 def _publish_decisions(spark: SparkSession, answers: DataFrame, tables: str, vocab: DataFrame, users: DataFrame, params: Params,
                        media: dict[str, DataFrame] | None) -> DataFrame:
     if "json" in answers.columns:
