@@ -17,19 +17,9 @@ def duck():
     return duck_conn(SF_SMALL)
 
 
-# rows-only: they land files and run streams/snapshots, checked by row count here
-ROWS_ONLY = {"feed_stream", "max_per_run", "process_stream", "clear_all"}
-
-
 def test_every_query_has_an_oracle():
     missing = sorted(q for q in set(QUERIES) - set(ORACLE) if q != "pipeline" and not re.match(r"op\d+_", q))
-    assert missing == sorted(ROWS_ONLY), missing
-
-
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_rows_only_queries(spark, name):
-    n = QUERIES[name](spark, SF_SMALL).count()
-    assert n == 0 if name == "clear_all" else n > 0
+    assert missing == []
 
 
 def test_entry_smoke(spark):

@@ -23,7 +23,7 @@ def test_tag_ids_come_from_vocabulary(spark):
 
 
 def test_at_most_ten_images(spark):
-    top = q_media._top(spark, SF_SMALL)
+    top = q_media._media(spark, SF_SMALL)["images"]
     assert top.groupBy("trend_id").count().filter(F.col("count") > 10).count() == 0
 
 

@@ -20,10 +20,12 @@ def _docs(spark):
 
 def test_ingest_replay_after_news_only(spark):
     d, e = tempfile.mkdtemp(dir="/tmp"), tempfile.mkdtemp(dir="/tmp")
-    ingest_batch(spark, _docs(spark), d, Params())
+    ingest_batch(spark, _docs(spark), d, Params(), stream="s")
     news = sorted(map(tuple, spark.read.parquet(f"{d}/news").collect()))
-    spark.read.parquet(f"{d}/news").write.parquet(f"{e}/news")  # the state of a run that stopped before its trends
-    ingest_batch(spark, _docs(spark), e, Params())
+    # the state of a run that stopped before its trends: its decisions and its news are written
+    for part in ("news", "_batches/feed/s/0/decisions"):
+        spark.read.parquet(f"{d}/{part}").write.parquet(f"{e}/{part}")
+    ingest_batch(spark, _docs(spark), e, Params(), stream="s")
     assert sorted(map(tuple, spark.read.parquet(f"{e}/news").collect())) == news
     assert spark.read.parquet(f"{e}/trends").count() == spark.read.parquet(f"{d}/trends").count()
 
