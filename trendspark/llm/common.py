@@ -3,10 +3,14 @@ folder, prefix sums over partitions, connected components, byte hashes."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 250_000
 #: bytes of rows with arrays up to which they may be broadcast
 BROADCAST_BYTES = 48 << 20
-#: rows of texts that Spark hands to a Python worker at once
-ARROW_ROWS = 1_000
+#: rows of texts, and their bytes, that Spark hands to a Python worker at once
+ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,12 +51,37 @@ def table(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``ARROW_ROWS`` rows (a smaller setting stays): at Spark's default of
-    10,000, whole texts of some kilobytes take hundreds of megabytes of a worker."""
+    """Lower the session's Arrow batches to ``ARROW_ROWS`` rows and ``ARROW_BYTES`` bytes (smaller settings stay): at Spark's
+    defaults whole texts of some kilobytes take hundreds of megabytes of a worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def lean(run):
+    """A task function that gives its memory back at its end: Spark keeps Python workers for later stages, and what a worker
+    has once taken is otherwise held through all of them."""
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
+def release() -> None:
+    if len(_POW["p"]) > 1 << 16:
+        _POW.update(p=_POW["p"][:1].copy(), i=_POW["i"][:1].copy())
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def small(df: DataFrame, n_rows: int) -> DataFrame:

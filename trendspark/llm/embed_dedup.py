@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import components, new_path, table
+from trendspark.llm.common import components, lean, new_path, table
 
 ROW = "unit int, visit int, id long, w long, v binary"
 LINK = "id long, links long, root long"
@@ -117,7 +117,7 @@ def _join(classes: DataFrame, pivots: np.ndarray, cosine: float, eps: float, blo
             _, d2, c = nearest(pdf)
             yield pd.DataFrame({"cell": c, "d2": d2[np.arange(len(c)), c]})
 
-    stat = classes.mapInPandas(cells, "cell int, d2 double").groupBy("cell").agg(F.max("d2").alias("r"), F.count("*").alias("n")).collect()
+    stat = classes.mapInPandas(lean(cells), "cell int, d2 double").groupBy("cell").agg(F.max("d2").alias("r"), F.count("*").alias("n")).collect()
     radius = np.full(m, -np.inf)
     blocks = np.ones(m, np.int64)
     for r in stat:
@@ -151,7 +151,7 @@ def _join(classes: DataFrame, pivots: np.ndarray, cosine: float, eps: float, blo
                 yield pd.DataFrame({"unit": np.concatenate(units), "visit": np.concatenate(visits), "id": ids[who], "w": w[who],
                                     "v": [raw[k] for k in who]})
 
-    return _in_units(classes.mapInPandas(deal, ROW), cosine)
+    return _in_units(classes.mapInPandas(lean(deal), ROW), cosine)
 
 
 def _join_short(classes: DataFrame, cosine: float) -> DataFrame:
@@ -161,7 +161,7 @@ def _join_short(classes: DataFrame, cosine: float) -> DataFrame:
             v = [_normal(np.asarray(x, np.float64)[None])[0].tobytes() for x in pdf["v"]]
             yield pd.DataFrame({"unit": pdf["v"].map(len), "visit": 0, "id": pdf["class"], "w": pdf["w"], "v": v})
 
-    return _in_units(classes.mapInPandas(deal, ROW), cosine)
+    return _in_units(classes.mapInPandas(lean(deal), ROW), cosine)
 
 
 def _in_units(dealt: DataFrame, cosine: float) -> DataFrame:
@@ -189,7 +189,7 @@ def _in_units(dealt: DataFrame, cosine: float) -> DataFrame:
             yield _within(_cat(held), cosine)
 
     dealt = dealt.repartition("unit").sortWithinPartitions("unit", "visit")
-    return dealt.mapInPandas(unit_join, LINK)
+    return dealt.mapInPandas(lean(unit_join), LINK)
 
 
 def _cat(parts: list[pd.DataFrame]):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendspark.llm.common import text_batches
+from trendspark.llm.common import lean, text_batches
 
 ORDERS = (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -123,7 +123,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     spark = train.sparkSession
     pick = F.broadcast(spark.createDataFrame([(r["lang"], r["k"], r["h"], r["r"]) for r in ids], "lang string, k string, h long, r int"))
     rows = (ok.withColumn("h", F.xxhash64("t")).join(pick, ["lang", "k", "h"]).select("lang", "k", "r", "t")
-            .mapInPandas(_gram_sets, "lang string, k string, r int, g1 binary, g2 binary, g3 binary")
+            .mapInPandas(lean(_gram_sets), "lang string, k string, r int, g1 binary, g2 binary, g3 binary")
             .dropDuplicates(["lang", "r"]).orderBy("lang", "r").collect())
     sets = [[np.frombuffer(r[f"g{n}"], np.int32) for n in ORDERS] for r in rows]
     marks = [i for i, r in enumerate(rows) if r["r"] <= per_lang_landmarks]
@@ -200,4 +200,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out_lang: str = "
             _STAMP.clear()
             _ROWS.clear()
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInPandas(lean(run), schema)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import mix, powers, prefix_hash, small_lists, table, text_batches, word_spans
+from trendspark.llm.common import lean, mix, powers, prefix_hash, small_lists, table, text_batches, word_spans
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 LINES = "k long, h long, line int, h1 long, h2 long, n int, pa long, sa long, pb long, sb long"
@@ -144,7 +144,7 @@ def line_dedup(docs: DataFrame, min_words: int = 8, text: str = "text", key: str
                     out[c] = x.view(np.int64) if x.dtype == np.uint64 else x
                 yield out
 
-    lines = src.mapInPandas(hashes, LINES)
+    lines = src.mapInPandas(lean(hashes), LINES)
     same = lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("at"), *[F.first(c).alias(c) for c in ("n", "pa", "sa", "pb", "sb")])
     same = table(same.select("at.*", "n", "pa", "sa", "pb", "sb"), "lines")
     near = _near(src, same, min_words)
@@ -177,7 +177,7 @@ def line_dedup(docs: DataFrame, min_words: int = 8, text: str = "text", key: str
     d = keyed.join(kept, (F.coalesce("_k", F.lit(-(1 << 63))) == F.col("_kept_k")) & (F.col("_h") == F.col("_kept_h")), "left")
     d = d.select(*rest, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_exact"),
                  F.coalesce("_nn", F.lit(0)).alias("n_near"), "_stay")
-    return d.mapInPandas(rebuild, d.drop("_stay").schema)
+    return d.mapInPandas(lean(rebuild), d.drop("_stay").schema)
 
 
 def _near(src: DataFrame, same: DataFrame, min_words: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _near(src: DataFrame, same: DataFrame, min_words: int) -> DataFrame:
                 out = {"k": [r[0] for r in rows], "h": [r[1] for r in rows], "line": [r[2]["line"] for r in rows]}
                 yield pd.DataFrame({c: np.array(x)[of] for c, x in out.items()} | {"key": keys.view(np.int64)})
 
-    var = table(src.join(small_lists(live, "ls", 40), ["k", "h"]).mapInPandas(emit, "k long, h long, line int, key long"), "variants")
+    var = table(src.join(small_lists(live, "ls", 40), ["k", "h"]).mapInPandas(lean(emit), "k long, h long, line int, key long"), "variants")
     first = var.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("to"), F.max(F.struct(*PLACE)).alias("last")).where("to < last").select("key", "to")
     pairs = var.join(first, "key").groupBy(*PLACE).agg(F.min("to").alias("to")).where(F.struct(*PLACE) > F.col("to"))
     return _verified(src, table(pairs, "line-pairs"))
@@ -219,11 +219,11 @@ def _verified(src: DataFrame, pairs: DataFrame) -> DataFrame:
                 rows += [(k, h, i, cut[i]) for i in ls]
             yield pd.DataFrame(rows, columns=["k", "h", "line", "s"])
 
-    got = table(src.join(small_lists(wanted, "ls", 8), ["k", "h"]).mapInPandas(fetch, "k long, h long, line int, s string").dropDuplicates(PLACE), "line-texts")
+    got = table(src.join(small_lists(wanted, "ls", 8), ["k", "h"]).mapInPandas(lean(fetch), "k long, h long, line int, s string").dropDuplicates(PLACE), "line-texts")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.loc[[within_one(_tokens(a), _tokens(b)) for a, b in zip(pdf["s"], pdf["s2"])], PLACE]
 
     other = got.select(F.struct(*PLACE).alias("to"), F.col("s").alias("s2"))
-    return pairs.join(got, PLACE).join(other, "to").select(*PLACE, "s", "s2").mapInPandas(check, "k long, h long, line int")
+    return pairs.join(got, PLACE).join(other, "to").select(*PLACE, "s", "s2").mapInPandas(lean(check), "k long, h long, line int")

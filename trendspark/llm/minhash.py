@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import components, mix, powers, prefix_hash, small, table, text_batches, word_spans
+from trendspark.llm.common import components, lean, mix, powers, prefix_hash, small, table, text_batches, word_spans
 from trendspark.llm.embed_dedup import forest
 
 SHINGLE = 5
@@ -138,7 +138,7 @@ def sign(docs: DataFrame, coords: int, rows: int) -> DataFrame:
                     yield pd.DataFrame({"id": part["id"].to_numpy()[have], "bands": list(b),
                                         "digest": [hashlib.blake2b(b"|".join(_pack(sets[i])), digest_size=16).digest() for i in have]})
 
-    return docs.mapInPandas(run, "id long, bands array<long>, digest binary")
+    return docs.mapInPandas(lean(run), "id long, bands array<long>, digest binary")
 
 
 def near_documents(docs: DataFrame, threshold: float = 0.8, coords: int = 96, rows: int = 4, block: int = 256, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -212,7 +212,7 @@ def _compare(held: DataFrame, members: DataFrame, weights: DataFrame, threshold:
                     out += index.links(other, threshold)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return both.mapInPandas(run, "a long, b long")
+    return both.mapInPandas(lean(run), "a long, b long")
 
 
 def _units(e: bytes, c: bytes) -> np.ndarray:
@@ -265,7 +265,7 @@ def _elements(d: DataFrame, buckets: DataFrame) -> DataFrame:
                 packed = [_pack(shingles(t)) for t in part["t"]]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "e": [p[0] for p in packed], "c": [p[1] for p in packed]})
 
-    return table(d.join(small(ids, ids.count()), "id", "left_semi").where(F.col("t").rlike("[^ \\t-\\r]")).mapInPandas(run, "id long, e binary, c binary"), "shingles")
+    return table(d.join(small(ids, ids.count()), "id", "left_semi").where(F.col("t").rlike("[^ \\t-\\r]")).mapInPandas(lean(run), "id long, e binary, c binary"), "shingles")
 
 
 def _verify(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
@@ -278,4 +278,4 @@ def _verify(pairs: DataFrame, weights: DataFrame, threshold: float) -> DataFrame
 
     left = weights.select(F.col("id").alias("a"), F.col("e").alias("ea"), F.col("c").alias("ca"))
     right = weights.select(F.col("id").alias("b"), F.col("e").alias("eb"), F.col("c").alias("cb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "ca", "eb", "cb").mapInPandas(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ea", "ca", "eb", "cb").mapInPandas(lean(run), "a long, b long")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import small, table, text_batches
+from trendspark.llm.common import lean, small, table, text_batches
 from trendspark.llm.token_files import bpe
 
 PIECE = "doc_id long, piece int, start long, length long, tokens binary, part int, at long"
@@ -56,7 +56,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    return table(d.mapInPandas(run, PIECE), "pieces")
+    return table(d.mapInPandas(lean(run), PIECE), "pieces")
 
 
 def plan(counts: dict[int, int], capacity: int = 1024) -> list[tuple[list[int], int]]:
@@ -169,7 +169,7 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
                 seq[at], off[at] = start[k] + rank[at] - first[k], offset[k]
             yield pdf.assign(sequence_id=seq, offset=off)
 
-    return d.mapInPandas(run, d.schema)
+    return d.mapInPandas(lean(run), d.schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendspark.llm.common import mix, prefix_hash, powers, text_batches, word_spans
+from trendspark.llm.common import lean, mix, powers, prefix_hash, text_batches, word_spans
 
 BUCKETS = 1 << 14
 FACTORS = 8
@@ -261,7 +261,7 @@ def fit(train_docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
                                     "s": list(np.column_stack([stats, part[names].to_numpy(float)]))})
 
     got = sorted((r["y"], bytes(r["b"]), bytes(r["x"]), r["s"])
-                 for r in one.mapInPandas(rows, "y int, b binary, x binary, s array<double>").collect() if r["y"] in (0, 1))  # bounded: 2 * per_class rows
+                 for r in one.mapInPandas(lean(rows), "y int, b binary, x binary, s array<double>").collect() if r["y"] in (0, 1))  # bounded: 2 * per_class rows
     if not got:
         return train([], np.zeros((0, len(STATS) + len(meta))), np.zeros(0, np.int64), border)
     stats = np.array([[np.nan if v is None else v for v in r[3]] for r in got], float)
@@ -286,6 +286,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", meta: tuple[str,
             yield pa.RecordBatch.from_arrays([rb.column("_fm_row"), pa.array(model.score(rb.column("_fm_text").to_pylist(), m))],
                                              names=["_fm_row", "_fm_score"])
 
-    d = d.mapInArrow(run, schema)
+    d = d.mapInArrow(lean(run), schema)
     return d.select(*[F.col(f"_fm_row.`{c}`").alias(c) for c in keep], F.col("_fm_score").alias(out_score),
                     (F.col("_fm_score") >= border).cast("int").alias(out_label))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import shared_dir, table
+from trendspark.llm.common import lean, shared_dir, table
 from trendspark.llm.units import PieceCounter
 
 CACHE = "_tc_version string, _tc_digest binary, _tc_tokens long"
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(*keep, F.unhex(F.sha2(content, 256)).alias("_tc_digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     misses = docs.select(F.unhex(F.sha2(content, 256)).alias("_tc_digest"), content.alias("_tc_text"))
-    misses = misses.mapInPandas(_first_seen, misses.schema)
+    misses = misses.mapInPandas(lean(_first_seen), misses.schema)
     if _exists(spark, cache_path):
         cache = spark.read.schema(CACHE).parquet(cache_path).where(F.col("_tc_version") == version)
         misses = misses.join(cache.select("_tc_digest"), "_tc_digest", "left_anti")
@@ -71,7 +71,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None
             n = counter.count([bytes(t).decode("utf-8", "replace") for t in pdf["_tc_text"]])
             yield pd.DataFrame({"_tc_version": version, "_tc_digest": pdf["_tc_digest"].tolist(), "_tc_tokens": n})
 
-    misses.mapInPandas(encode, CACHE).write.mode("append").option("compression", "zstd").parquet(cache_path)
+    misses.mapInPandas(lean(encode), CACHE).write.mode("append").option("compression", "zstd").parquet(cache_path)
     cache = spark.read.schema(CACHE).parquet(cache_path).where(F.col("_tc_version") == version)
     counts = cache.groupBy("_tc_digest").agg(F.max("_tc_tokens").alias("n_tokens"))
     return rows.join(counts, "_tc_digest").select(*keep, "n_bytes", "n_tokens")

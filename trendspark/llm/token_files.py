@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import new_path, running_total, small, table, text_batches
+from trendspark.llm.common import lean, new_path, running_total, small, table, text_batches
 from trendspark.llm.units import ByteBpe
 
 _MAGIC = b"DAC1"
@@ -171,7 +171,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             flush()
         yield pd.DataFrame(done, columns=["part", "shard", "n_docs", "n_ids"])
 
-    return table(d.mapInPandas(run, "part long, shard long, n_docs long, n_ids long"), "token-manifest")
+    return table(d.mapInPandas(lean(run), "part long, shard long, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
                         "tokens": [raw[i:j] for i, j in zip(s, s[1:])]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.dac").load(folder).select("content")
-    rows = files.mapInPandas(run, "file long, doc_id long, local long, n_tokens long, tokens binary")
+    rows = files.mapInPandas(lean(run), "file long, doc_id long, local long, n_tokens long, tokens binary")
     base = running_total(manifest.select(F.expr("shiftleft(part, 24) + shard").alias("file"), "n_ids"), "file", "n_ids", "base", 1 << 30)
     return rows.join(small(base.select("file", "base"), manifest.count()), "file").select(
         "doc_id", (F.col("local") + F.col("base")).alias("start"), "n_tokens", "tokens")

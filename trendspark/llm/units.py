@@ -18,9 +18,9 @@ from trendspark.llm.common import mix, powers, prefix_hash
 
 MAX_UNITS = 400_000
 #: byte-level units kept: numbers and bytes of their strings (the table is in arrays, about 60 bytes a unit)
-KEPT_UNITS, KEPT_BYTES = 1_000_000, 1 << 26
+KEPT_UNITS, KEPT_BYTES = 300_000, 1 << 23
 #: bytes of texts handled at once
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
