@@ -591,7 +591,7 @@ def test_packing(docs, odd_docs, no_docs):
 
 
 def test_query_columns(spark):
-    want = {"op1_suffix_array_dedup": "doc_id n_bytes n_removed n_spans kept_sha256", "op2_embedding_near_dedup": "vec_id n_links component_id kept",
+    want = {"op1_suffix_array_dedup": "doc_id n_bytes n_removed n_spans kept_sha256 repeated", "op2_embedding_near_dedup": "vec_id n_links component_id kept",
             "op4_token_counts": "doc_id n_bytes n_tokens over_limit", "op5_token_output": "doc_id start n_tokens ids_crc32",
             "op6_minhash_near_dedup": "doc_id class_id kept", "op8_line_dedup": "doc_id n_lines n_exact n_near text_sha256",
             "op10_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset"}

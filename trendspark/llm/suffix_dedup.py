@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import mix, powers, prefix_hash, small_lists, table
+from trendspark.llm.common import lean, mix, powers, prefix_hash, small_lists, table, text_batches
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << 24) - 1)
@@ -209,6 +209,7 @@ def _source(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 96, max_group: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes."""
+    text_batches(docs.sparkSession)
     src = _source(docs, text, key)
     found = repeated(src, length, gram, max_group)
     ranges = found.distinct().groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).toDF("rk", "rh", "ranges")
@@ -223,7 +224,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, gram: int = 96, max_group:
             yield out
 
     d = src.join(ranges, (src["k"] == F.col("rk")) & (src["h"] == F.col("rh")), "left").select("id", "t", "ranges")
-    d = d.mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    d = d.mapInPandas(lean(cut), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return d.withColumnRenamed("id", key)
 
 
@@ -253,9 +254,11 @@ def repeated(src: DataFrame, length: int, gram: int, max_group: int) -> DataFram
                 yield pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), n), "h": np.repeat(part["h"].to_numpy(), n), "s": s, "span": span,
                                     "off": off, "a": a.view(np.int64), "c": c.view(np.int64)})
 
-    everything = table(src.select("k", "h", "t").mapInPandas(runs, RUN), "anchors")
+    everything = table(src.select("k", "h", "t").mapInPandas(lean(runs), RUN), "anchors")
     often = everything.groupBy("a").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
-    seen = table(everything.join(often.select("a", (F.col("c0") != F.col("c1")).alias("mixed")), "a"), "repeated-anchors")
+    # written, as a join with an aggregate in its stage isn't split where one anchor has most rows
+    often = table(often.select("a", (F.col("c0") != F.col("c1")).alias("mixed")), "anchor-counts")
+    seen = table(everything.join(often, "a"), "repeated-anchors")
     contexts = seen.groupBy("a", "c", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "s", "span", "off")).alias("x"))
     contexts = table(contexts.select("a", "c", "mixed", "n", "x.*"), "contexts")
     whole = contexts.where("n > 1").select("a", "c", F.lit(0).alias("from"), F.col("span").alias("to"))
@@ -278,8 +281,7 @@ def _mixed(src: DataFrame, contexts: DataFrame, length: int, max_group: int) ->
                 yield pd.DataFrame(rows[lo: lo + 5000], columns=["a", "c", "n", "m", "off", "span", "b"])
 
     # one of repeated rows: the others have the same contexts
-    got = src.select("k", "h", "t").join(small_lists(wanted, "xs", 72), ["k", "h"]).dropDuplicates(["k", "h"]).mapInPandas(
-        fetch, "a long, c long, n long, m long, off int, span int, b binary")
+    got = src.select("k", "h", "t").join(small_lists(wanted, "xs", 72), ["k", "h"]).dropDuplicates(["k", "h"]).mapInPandas(lean(fetch), "a long, c long, n long, m long, off int, span int, b binary")
     got = table(got, "context-bytes")
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,7 +298,7 @@ def _mixed(src: DataFrame, contexts: DataFrame, length: int, max_group: int) ->
         yield _frame(done + _group(held, length))
 
     groups = got.where(F.col("m") <= max_group).repartition("a").sortWithinPartitions("a", "c")
-    out = groups.mapInPandas(sort, "a long, c long, from int, to int")
+    out = groups.mapInPandas(lean(sort), "a long, c long, from int, to int")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -307,7 +309,7 @@ def _mixed(src: DataFrame, contexts: DataFrame, length: int, max_group: int) ->
                 x = mix(mix((p[i + length] - p[i]) * inv[i]) + (off - i).astype(np.uint64) * _ODD + np.uint64(a & (2**64 - 1)))
                 yield pd.DataFrame({"a": a, "c": c, "n": n, "i": i, "w": x.view(np.int64)})
 
-    big = got.where(F.col("m") > max_group).mapInPandas(windows, "a long, c long, n long, i int, w long")
+    big = got.where(F.col("m") > max_group).mapInPandas(lean(windows), "a long, c long, n long, i int, w long")
     big = table(big, "windows")
     # the window's hash has the anchor in it, so a hot anchor's windows are spread
     twice = big.groupBy("w").agg(F.count("*").alias("d")).where("d > 1")
