@@ -336,6 +336,9 @@ def test_token_counts_cache(spark, docs, odd_docs, no_docs):
         assert after.count() >= n0
     n = spark.read.parquet(cache).count()
     token_counts.token_counts(docs, PIECE, cache).collect()
+    clash = docs.withColumn("n_bytes", F.lit("x")).withColumn("N_TOKENS", F.lit(-1))
+    assert sorted(map(tuple, token_counts.token_counts(clash, PIECE, cache).select("doc_id", "n_bytes", "n_tokens").collect())) == \
+        sorted(map(tuple, token_counts.token_counts(docs, PIECE, cache).select("doc_id", "n_bytes", "n_tokens").collect()))
     assert spark.read.parquet(cache).count() == n
 
 
@@ -532,13 +535,43 @@ def test_language_id(spark, docs, odd_docs, no_docs):
     assert held.where("lang = lang_pred").count() >= 0.97 * held.count()
     assert got.where("score < 0 or score > 1").count() == 0
     model = langid.fit(docs)
-    odd = {r["doc_id"]: r["lang_pred"] for r in langid.predict(odd_docs.drop("score"), model).collect()}
+    odd = {r["doc_id"]: r["lang_pred"] for r in langid.predict(odd_docs.withColumn("Lang_pred", F.lit(1)), model).collect()}
     assert odd[2] == odd[3] == odd[4] == odd[8] == "und" and odd[1] == odd[9] == "en"
     assert langid.predict(no_docs, model).count() == 0
     none = langid.fit(no_docs)
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def test_language_ridge_is_kernel_ridge(spark):
+    """The folded weights score as the kernel regression does that they come from."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "".join(rng.choice(list("abcdefgh " if i % 2 else "fghijkl "), 60)), "xy"[i % 2]) for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=20, per_lang_landmarks=20, ridge=0.05)
+    sets = [langid.distinct_grams(t) for _, t, _ in rows]
+
+    def kernel(a, b):
+        return np.mean([len(np.intersect1d(x, y)) / np.sqrt(max(1, len(x)) * max(1, len(y))) for x, y in zip(a, b)])
+
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if r[2] == x else -1.0 for x in model.langs] for r in rows])
+    share = 1 / 20
+    alpha = np.linalg.solve(share * k.T @ k + 0.05 * k + 1e-8 * np.eye(40), share * k.T @ y)  # every text is a landmark
+    new = ["abc def gh", "jkl fgh", rows[3][1]]
+    want = np.array([[kernel(langid.distinct_grams(t), s) for s in sets] for t in new]) @ alpha
+    assert np.abs(model.score(new) - want).max() < 1e-3
+
+
+def test_many_labels(spark):
+    """More labels than the model holds: those with the most texts teach, and every text is answered."""
+    rows = [(i, f"word{i % 7} text of label {'abcdefg'[i % 7] * 5}", f"l{i % 7}" if i < 70 else f"noise{i}") for i in range(400)] + [(None, "no id here", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_langs=7, max_texts=35, max_landmarks=14)
+    assert model.langs == [f"l{k}" for k in range(7)]
+    got = langid.predict(docs, model).collect()
+    assert len(got) == 401 and {r["lang_pred"] for r in got} <= set(model.langs)
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"] and r["lang"].startswith("l"))
+
+
 def test_language_kernel_is_exact():
     texts = ["the cat and the dog", "la maison et le chat", "x"]
     sets = [langid.distinct_grams(t) for t in texts]

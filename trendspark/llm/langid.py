@@ -9,9 +9,9 @@ order, and a batch of texts is scored by matrix products.
 Fitting reads a bounded sample (``per_lang`` texts of each language, picked by a hash of the id;
 ``per_lang_landmarks`` of them are landmarks); scoring reads every text whole.
 
-Null texts and texts without a letter: ``und``, score 0. Rows with a null language don't teach.
-Repeated rows and equal texts get equal answers. No teaching row: every text is ``und``. Extra
-columns are not read; an empty table gives an empty table.
+Null texts and texts without a letter: ``und``, score 0. Rows with a null language don't teach; of more than
+``max_langs`` labels those with the most texts teach. Repeated rows and equal texts get equal answers. No teaching
+row: every text is ``und``. Extra columns stay, those named like an added one are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -108,16 +108,20 @@ def _row_table(k: int, grams: np.ndarray) -> np.ndarray:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 96,
-        per_lang_landmarks: int = 24, ridge: float = 1e-2, max_langs: int = 200) -> Model:
-    """Fit on at most ``per_lang * max_langs`` texts. Only their n-gram sets reach the driver."""
+        per_lang_landmarks: int = 24, ridge: float = 1e-2, max_langs: int = 200, max_texts: int = 4_800, max_landmarks: int = 480) -> Model:
+    """Fit on at most ``max_texts`` texts and ``max_landmarks`` landmarks, ``per_lang`` and ``per_lang_landmarks`` of a language
+    at most: where there are many languages each has fewer. Only the n-gram sets of these texts reach the driver."""
     ok = train.where(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}")).select(
         F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    # labels are counted first, so that neither their number nor that of their texts grows the sample
+    labels = [r["lang"] for r in ok.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    ok = ok.where(F.col("lang").isin(labels)) if labels else ok.limit(0)
+    per_lang = max(1, min(per_lang, max_texts // max(1, len(labels))))
+    per_lang_landmarks = max(1, min(per_lang_landmarks, max_landmarks // max(1, len(labels))))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k", "h")
     ids = (ok.select("lang", "k", F.xxhash64("t").alias("h")).withColumn("r", F.row_number().over(w))
            .where(F.col("r") <= per_lang).select("lang", "k", "h", "r").collect())  # bounded: per_lang rows a language
     langs = sorted({r["lang"] for r in ids})
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
     if not ids:
         return Model([], [np.zeros(0, np.int32)] * len(ORDERS), [np.zeros((0, 0), np.float32)] * len(ORDERS))
     spark = train.sparkSession
@@ -176,6 +180,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out_lang: str = "
     """``docs`` plus the predicted language and a score from 0 to 1 (0.5: on the decision border); as ``out_match``,
     if named, whether the text's n-grams are as familiar as its language asks (:class:`Model`)."""
     text_batches(docs.sparkSession)
+    added = {c.lower() for c in (out_lang, out_score, out_match) if c}
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in added])
     cols = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(out_lang, T.StringType()), T.StructField(out_score, T.DoubleType()),
                            *([T.StructField(out_match, T.BooleanType())] if out_match else [])])

@@ -62,7 +62,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = langid.fit(docs.where(fold != 0))
     d = langid.predict(docs.select("doc_id", "text"), model)
-    return d.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score")
+    return d.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ these queries keeps all other characters, so no further normalisation would keep
 
 Copies: each scan task sends a distinct text once, a second filter after the exchange encodes it
 once; the join back is on narrow rows. Ties and repeated rows get equal counts; an empty table gives an empty
-table; other columns are kept by name, so clashing names of internal columns start with ``_tc``.
+table; other columns are kept by name, those named like an added or internal one (``_tc_digest``) are replaced.
 Two runs that append the same digest leave equal rows; reading takes one of them.
 """
 
@@ -55,7 +55,7 @@ def token_counts(docs: DataFrame, model_path: str, cache_path: str | None = None
     spark = docs.sparkSession
     version = tokenizer_digest(model_path)
     cache_path = cache_path or f"{shared_dir(spark)}/llm-token-cache"
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c != text and c.lower() not in ("n_bytes", "n_tokens", "_tc_digest")]
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(*keep, F.unhex(F.sha2(content, 256)).alias("_tc_digest"), F.octet_length(content).cast("long").alias("n_bytes"))
     misses = docs.select(F.unhex(F.sha2(content, 256)).alias("_tc_digest"), content.alias("_tc_text"))
