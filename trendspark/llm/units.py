@@ -126,7 +126,8 @@ class ByteBpe:
             slot[todo] = (slot[todo] + 1) % len(self.rows)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
+        # one by one: what the library holds of a text is many times its ids
+        return [np.array(self.tk.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes() for t in texts]
 
     def _encode_units(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of units and how many each has. Units whose only blank is their first byte, before a non-blank, go
