@@ -18,9 +18,9 @@ from trendspark.llm.common import mix, powers, prefix_hash
 
 MAX_UNITS = 400_000
 #: byte-level units kept: numbers and bytes of their strings (the table is in arrays, about 60 bytes a unit)
-KEPT_UNITS, KEPT_BYTES = 300_000, 1 << 23
+KEPT_UNITS, KEPT_BYTES = 700_000, 1 << 25
 #: bytes of texts handled at once
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -126,8 +126,7 @@ class ByteBpe:
             slot[todo] = (slot[todo] + 1) % len(self.rows)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        # one by one: what the library holds of a text is many times its ids
-        return [np.array(self.tk.encode_batch_fast([t], add_special_tokens=False)[0].ids, "<u4").tobytes() for t in texts]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_units(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of units and how many each has. Units whose only blank is their first byte, before a non-blank, go
