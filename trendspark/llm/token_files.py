@@ -126,6 +126,10 @@ def shard_bytes(part: int, shard: int, doc_ids: list, chunks: list[bytes]) -> by
     return b"".join(out)
 
 
+#: characters of a text by which rows of one key are dealt; the order of prefixes is that of the texts, and samples of them are small
+DEALT = 64
+
+
 def _put(folder: str, name: str, data: bytes) -> None:
     """Write under a name of this attempt, then move in place."""
     from pyarrow import fs
@@ -140,10 +144,11 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, text: str = "text", key: str = "doc_id",
                       shard_ids: int = 2_000_000) -> DataFrame:
-    """Write the shards in ascending ``key`` order; return the manifest (one row per file)."""
+    """Write the shards in ascending order of ``key`` and text; return the manifest (one row per file). Rows are dealt by
+    key and the first ``DEALT`` characters of the text, so the rows of one key (null keys too) are spread over tasks."""
     text_batches(docs.sparkSession)
     d = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = d.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    d = d.repartitionByRange(F.col("k").asc_nulls_first(), F.substring("t", 1, DEALT)).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
