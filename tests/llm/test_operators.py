@@ -246,6 +246,28 @@ def test_near_vectors_pivot_copies(spark):
     assert got == want
 
 
+def test_near_vectors_dense_group(spark):
+    """A third of the rows near one direction: their links are counted by weight, those of the shell by products."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(size=24)
+    centre /= np.linalg.norm(centre)
+    rows = []
+    for i in range(240):
+        side = rng.normal(size=24)
+        side -= side @ centre * centre
+        side /= np.linalg.norm(side)
+        far = rng.uniform(0, 0.1) if i < 120 else rng.uniform(0.05, 0.6)
+        rows.append((i, (np.cos(far) * centre + np.sin(far) * side).tolist()))
+    rows += [(300 + i, rng.normal(size=24).tolist()) for i in range(120)] + [(500, rows[3][1]), (501, rows[3][1]), (502, rows[200][1])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(int(i), v) for i, v in rows], "vec_id long, embedding array<double>")
+    want = brute_vectors(rows)
+    for kw in ({"target": 8, "block": 16}, {"target": 64, "block": 32}, {"target": 2, "block": 8, "max_pivots": 40}):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_vectors(df, **kw).collect()}
+        assert got == want
+    assert sum(n > 100 for n, _, _ in want.values()) > 100
+
+
 # ---- 3 quality rules
 
 
@@ -373,6 +395,21 @@ def test_token_output(spark, docs, odd_docs, no_docs):
     assert token_files.token_output(no_docs, BYTE).count() == 0
 
 
+def test_token_files_spread_one_key(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(None if i % 2 else 7, " ".join(rng.choice(words) for _ in range(20))) for i in range(2000)] + [(1, "a"), (9, "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folder = common.new_path(spark, "tokens")
+        manifest = token_files.write_token_files(d, BYTE, folder).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["n_docs"] for r in manifest) == len(rows)
+    assert len({r["part"] for r in manifest}) >= 6 and max(r["n_docs"] for r in manifest) < 700
+
+
 # ---- 6 DartMinHash
 
 
@@ -391,6 +428,30 @@ def test_dart_agreement_is_weighted_jaccard():
     assert (one != 0).all()
 
 
+def test_dart_weights_of_any_size():
+    """Agreement of heavy elements, next to light ones, at the cost of some doubling regions."""
+    for a, b in ((1_000_000, 900_000), (70_000, 65_537), (300, 100), (17, 16), (2, 1)):
+        e = np.array([11, 12, 13], np.uint64)
+        sets = [(e, np.array([a, 3, 5], np.int64)), (e, np.array([b, 3, 1], np.int64))]
+        s = minhash.signatures(sets, 3000)
+        assert abs((s[0] == s[1]).mean() - minhash.similarity(*sets)) < 0.04
+        of, strip, height, share = minhash.regions(e, sets[0][1])
+        assert len(strip) < 70 and len(set(strip.tolist())) == len(strip)
+        assert np.bincount(of, weights=height * share).tolist() == [a, 3, 5]
+
+
+def test_near_documents_heavy_shingles(spark):
+    rng = random.Random(9)
+    tail = " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))
+    rows = [(i, "x " * n + tail) for i, n in enumerate((1_000_000, 900_000, 700_000, 560_000, 300, 290, 30))]
+    rows += [(20, "a b " * 5000), (21, "b a " * 4500), (22, "a b " * 3000), (23, "a c " * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for kw in ({}, {"block": 2}):
+        got = {r["doc_id"]: r["class_id"] for r in minhash.near_documents(df, **kw).collect()}
+        assert got == brute_classes(rows)
+    assert got[1] == 0 and got[2] != 0 and got[3] == 2 and got[5] == 4 and got[21] == 20 and got[22] != 20
+
+
 def brute_classes(rows, threshold=0.8):
     sets = [(i, collections.Counter()) for i, _ in rows]
     for (_, c), (_, t) in zip(sets, rows):

@@ -1,10 +1,11 @@
 """MinHash near-dedup (operator 6): DartMinHash.
 
 A text is a weighted set: its five-word shingles, weighted by how often each stands in it (a shorter
-text is one shingle). Each unit of weight of each element owns a strip of the plane (rank axis); a
-hash of (element, unit, level) says how many darts fall into the strip's level of ranks and, for each
-dart, its coordinate and rank. A signature keeps for each of ``coords`` coordinates the dart of the
-least rank. Levels double in width, and a text opens only as many as its total weight asks for (about
+text is one shingle). The weight axis of an element is cut into regions that double in height ([0, 1), [1, 2),
+[2, 4), [4, 8) and so on, up to ``TALLEST``), so an element of weight w owns about log2(w) of them. A hash of (element, region,
+level) says how many darts fall into the region's level of ranks and, for each dart, its coordinate, its rank and its height
+in the region; darts above the element's weight are not thrown. A signature keeps for each of ``coords`` coordinates the
+dart of the least rank. Levels double in width, and a text opens only as many as its total weight asks for (about
 log(coords) / weight, then further ones while a coordinate is empty), so a signature costs about
 coords * log(coords) darts whatever the weights. Two signatures agree at a coordinate with probability
 equal to the weighted Jaccard similarity.
@@ -37,6 +38,8 @@ from trendspark.llm.embed_dedup import forest
 
 SHINGLE = 5
 BASE_LEVEL = 2.0 ** -12
+#: height from which regions no longer double: the dart counts of one region stay in the thousands
+TALLEST = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _CDF: dict[float, np.ndarray] = {}
 
@@ -64,13 +67,35 @@ def _poisson(mean: float) -> np.ndarray:
     return _CDF[mean]
 
 
+def regions(element: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The weight regions of each element: index of the element, hash, height, covered share."""
+    n = np.where(weight <= TALLEST, 1 + np.ceil(np.log2(np.minimum(weight, TALLEST))).astype(np.int64),
+                 17 + -(-(weight - TALLEST) // TALLEST))
+    of = np.repeat(np.arange(len(weight)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    height = np.minimum(1 << np.clip(k - 1, 0, 16), TALLEST)
+    bottom = np.where(k == 0, 0, np.where(k <= 17, height, (k - 16) * TALLEST))
+    share = np.minimum((weight[of] - bottom) / height, 1.0)
+    return of, mix(element[of] + k.astype(np.uint64) * _ODD), height, share
+
+
+def _dart_counts(h: np.ndarray, height: np.ndarray, mean: float) -> np.ndarray:
+    """How many darts each region of hash ``h`` gets, ``mean`` for a height of 1."""
+    at = (h >> np.uint64(11)) * 2.0 ** -53
+    n = np.searchsorted(_poisson(mean), at, "right")
+    for tall in np.unique(height[height > 1]):
+        own = height == tall
+        n[own] = np.searchsorted(_poisson(mean * int(tall)), at[own], "right")
+    return n
+
+
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coords: int) -> np.ndarray:
     """Dart ids, sets x coords. Sets must not be empty."""
-    reps = [np.repeat(e, c) if c.max() > 1 else e for e, c in sets]
-    copy = [np.arange(len(r)) - np.searchsorted(r, r) if len(r) > len(e) else np.zeros(len(r), np.int64) for r, (e, _) in zip(reps, sets)]
-    doc = np.repeat(np.arange(len(sets)), [len(r) for r in reps])
-    strip = mix(np.concatenate(reps) + np.concatenate(copy).astype(np.uint64) * _ODD)
-    weight = np.bincount(doc, minlength=len(sets))
+    of = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+    counts = np.concatenate([c for _, c in sets])
+    weight = np.bincount(of, weights=counts, minlength=len(sets))
+    own, strip, height, share = regions(np.concatenate([e for e, _ in sets]), counts)
+    doc = of[own]
     need = np.ceil(np.log2(np.maximum((np.log(coords) + 2) / weight / BASE_LEVEL, 1))).astype(int) + 1
     out = np.zeros(len(sets) * coords, np.uint64)
     hit = np.zeros(len(sets) * coords, bool)
@@ -80,18 +105,19 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], coords: int) -> np.nda
             full = hit.reshape(len(sets), coords).all(1)
             need = np.where(full, np.minimum(need, level), np.maximum(need, level + 1))
             on = need[doc] > level
-            doc, strip = doc[on], strip[on]
+            doc, strip, height, share = doc[on], strip[on], height[on], share[on]
             if not len(doc):
                 return out.reshape(len(sets), coords)
         width = BASE_LEVEL * (1 if level == 0 else 2.0 ** (level - 1))
         h = mix(strip + np.uint64((level + 1) * 0xD1B54A32D192ED03 % 2**64))
-        n = np.searchsorted(_poisson(coords * width), (h >> np.uint64(11)) * 2.0 ** -53, "right")
+        n = _dart_counts(h, height, coords * width)
         at = np.flatnonzero(n)
         if len(at):
             k = np.arange(n[at].sum()) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
             dart = mix(np.repeat(h[at], n[at]) + (k + 1).astype(np.uint64) * _ODD)
             cell = np.repeat(doc[at], n[at]) * coords + ((dart >> np.uint64(32)) % np.uint64(coords)).astype(np.int64)
-            free = ~hit[cell]
+            above = (mix(dart ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(11)) * 2.0 ** -53
+            free = ~hit[cell] & (above < np.repeat(share[at], n[at]))
             dart, cell = dart[free], cell[free]
             order = np.argsort(mix(dart))[::-1]  # the rank inside the level; the least is written last
             out[cell[order]] = dart[order]
@@ -215,39 +241,31 @@ def _compare(held: DataFrame, members: DataFrame, weights: DataFrame, threshold:
     return both.mapInPandas(lean(run), "a long, b long")
 
 
-def _units(e: bytes, c: bytes) -> np.ndarray:
-    """A weighted set as a plain one: an element of weight w is w elements, ascending."""
-    x = np.frombuffer(e, np.uint64)
-    if not c:
-        return x
-    n = np.frombuffer(c, "<i4")
-    copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.sort(np.where(copy == 0, np.repeat(x, n), mix(np.repeat(x, n) + copy.astype(np.uint64) * _ODD)))
-
-
 class _Postings:
     """Held texts by element, to count what a text shares with each of them."""
 
     def __init__(self, rows: list[tuple]):
-        sets = [_units(e, c) for _, e, c in rows]
+        sets = [_unpack(e, c) for _, e, c in rows]
         self.ids = np.array([i for i, _, _ in rows], np.int64)
-        self.size = np.array([len(s) for s in sets])
-        x = np.concatenate(sets)
+        self.size = np.array([c.sum() for _, c in sets])
+        x = np.concatenate([e for e, _ in sets])
         order = np.argsort(x, kind="stable")
-        self.rows = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.rows = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])[order]
+        self.weights = np.concatenate([c for _, c in sets])[order]
         self.elements, self.first = np.unique(x[order], return_index=True)
         self.first = np.append(self.first, len(x))
 
     def links(self, guests: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
         mask = np.zeros((len(self.ids), len(guests)), bool)
         for k, (e, c) in enumerate(zip(guests["e"], guests["c"])):
-            x = _units(e, c)
+            x, w = _unpack(e, c)
             at = np.searchsorted(self.elements, x)
-            at = at[(at < len(self.elements)) & (self.elements[np.minimum(at, len(self.elements) - 1)] == x)]
+            known = (at < len(self.elements)) & (self.elements[np.minimum(at, len(self.elements) - 1)] == x)
+            at = at[known]
             n = self.first[at + 1] - self.first[at]
             where = np.arange(n.sum()) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
-            both = np.bincount(self.rows[where], minlength=len(self.ids))
-            mask[:, k] = both >= (threshold - 1e-12) * (self.size + len(x) - both)
+            both = np.bincount(self.rows[where], weights=np.minimum(self.weights[where], np.repeat(w[known], n)), minlength=len(self.ids))
+            mask[:, k] = both >= (threshold - 1e-12) * (self.size + w.sum() - both)
         ids = guests["id"].to_numpy()
         la, lb = forest(mask, self.ids, ids)
         pairs = {(int(a), int(b)) for i, r in ((self.ids, la), (ids, lb)) for a, b in zip(i, r) if a != b}
