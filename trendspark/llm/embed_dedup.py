@@ -1,12 +1,20 @@
 """Embedding near-dedup (operator 2): exact metric range join.
 
 On unit vectors cosine >= c means distance <= eps = sqrt(2 - 2c). Pivots (a bounded sample, thinned
-to directions at least 1e-4 apart) partition the vectors by nearest pivot. A vector also goes to another cell only if it can have a partner there:
-it must lie within eps of the face between the two pivots, (d(v,q)^2 - d(v,p)^2) / (2 d(p,q)) <= eps
-(which the triangle inequality implies the weaker d(v,q) - d(v,p) <= 2 eps of), and within eps of the
-cell's covering ball, d(v,q) <= radius(q) + eps. For each pair of cells one of the two is the place where their pairs
-are found, so a pair is found once. Cells are split into blocks of at most ``block`` vectors; a block
-is held and the vectors that visit it stream past in batches, so memory does not grow with the data.
+to directions at least eps / 2 apart) partition the vectors by nearest pivot; a cell has two parts.
+
+* Its core lies within eps / 2 of the pivot. By the triangle inequality all of a core link with each other, so
+  those links are counted by summed weights, and each member has one edge to the core's smallest id: no products
+  and no copies of rows, however many near copies a core holds.
+* The rest is its rim. Rims are compared with each other. Neighbouring cells form groups (second level: the nearest of
+  fewer pivots), and a rim vector goes once to another group if some rim there can hold a partner: it must lie
+  within eps of the face between the two pivots, (d(v,q)^2 - d(v,p)^2) / (2 d(p,q)) <= eps (which the triangle
+  inequality implies the weaker d(v,q) - d(v,p) <= 2 eps of), and within eps of the rim's covering ball,
+  d(v,q) <= radius(q) + eps. Of two groups (and of two cores) one is the place of their pairs, so a pair is found once.
+* A vector outside a core goes to it only if it is within 3 eps / 2 of its pivot.
+
+A part or group is held in blocks of as many vectors as ``BLOCK_BYTES`` hold, and the vectors that visit it
+stream past in batches, so memory does not grow with the data.
 
 Equal vectors are one weighted vector before the join. A block returns link counts and, instead of
 links, the edges of a spanning forest of the links of each batch (each vector to the smallest id it
@@ -17,7 +25,7 @@ non-finite vectors (or null or non-finite components) link with nothing: n_links
 their own, kept. So does a vector of another length than its partners (no cosine). Rows with equal
 vec_id count as that many vectors and are one in the answer. Null ids are left out. Empty table: empty. Extra columns are not read.
 
-Isotropic vectors defeat any pivot bound (distances concentrate), and then most cells are visited.
+Isotropic vectors defeat any pivot bound (distances concentrate), and then a rim vector visits most groups.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendspark.llm.common import components, lean, new_path, table
+from trendspark.llm.common import components, lean, new_path, small, table
 
 ROW = "unit int, visit int, id long, w long, v binary"
 LINK = "id long, links long, root long"
@@ -37,6 +45,12 @@ LINK = "id long, links long, root long"
 APART = 1e-4
 #: more than the rounding of a squared distance, for radii
 ROUNDING = 1e-13
+#: bytes of the vectors of a held block
+BLOCK_BYTES = 16 << 20
+#: vectors of one length up to which they are one unit; cells of the pivots beyond
+SHORT = 4096
+#: products of one matrix, for the memory of a task
+PRODUCTS = 4 << 20
 
 
 def _target(i: np.ndarray, j: int | np.ndarray) -> np.ndarray:
@@ -48,9 +62,9 @@ def _normal(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _thin(pivots: np.ndarray) -> np.ndarray:
-    """``pivots`` without those nearer than ``APART`` to an earlier one that stays."""
-    near = 2 - 2 * pivots @ pivots.T < APART ** 2
+def _thin(pivots: np.ndarray, apart: float = APART) -> np.ndarray:
+    """``pivots`` without those nearer than ``apart`` to an earlier one that stays."""
+    near = 2 - 2 * pivots @ pivots.T < apart ** 2
     stay = np.zeros(len(pivots), bool)
     for i in range(len(pivots)):
         stay[i] = not (near[i] & stay).any()
@@ -71,8 +85,9 @@ def unit_classes(vectors: DataFrame, key: str, vec: str) -> tuple[DataFrame, Dat
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id", vec: str = "embedding", target: int = 1024,
-                 max_pivots: int = 1024, block: int = 4096) -> DataFrame:
-    """One row per id: ``n_links``, ``component_id`` (smallest id reachable), ``kept``."""
+                 max_pivots: int = 1024, block: int | None = None) -> DataFrame:
+    """One row per id: ``n_links``, ``component_id`` (smallest id reachable), ``kept``. ``target``: vectors for each pivot;
+    ``block``: vectors of a held block (by default as many as ``BLOCK_BYTES`` hold)."""
     rows, classes = unit_classes(vectors, key, vec)
     n = classes.count()
     ids = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct()
@@ -80,15 +95,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, key: str = "vec_id",
         return ids.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     m = int(min(max_pivots, max(8, -(-n // target))))
-    # one cosine space for each length; at most one length for each ``block`` vectors is more than a block
-    long_ = [r["d"] for r in classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > block).collect()]
+    # one cosine space for each length; at most one length for each ``block`` or ``SHORT`` vectors, or ``BLOCK_BYTES``, is a long one
+    limit = F.lit(block) if block else F.least(F.lit(SHORT), F.floor(BLOCK_BYTES / (8 * F.col("d"))))
+    long_ = [r["d"] for r in classes.groupBy(F.size("v").alias("d")).count().where(F.col("count") > limit).collect()]
     rest = classes.where(~F.size("v").isin(long_)) if long_ else classes
     path = new_path(vectors.sparkSession, "vec-links")
     _join_short(rest, cosine).write.parquet(path)
     for dim in long_:
         own = classes.where(F.size("v") == dim)
-        pivots = _thin(_normal(np.array([r["v"] for r in own.orderBy(F.xxhash64("class")).limit(m).collect()])))  # at most max_pivots rows
-        _join(own, pivots, cosine, eps, block).write.mode("append").parquet(path)
+        pivots = np.array([r["v"] for r in own.orderBy(F.xxhash64("class")).limit(m).collect()])  # at most max_pivots rows
+        _join(own, _thin(_normal(pivots), max(APART, eps / 2)), cosine, eps, block or max(256, BLOCK_BYTES // (8 * dim))).write.mode("append").parquet(path)
     found_rows = vectors.sparkSession.read.schema(LINK).parquet(path)
     links = found_rows.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found_rows.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
@@ -106,52 +122,82 @@ def _join(classes: DataFrame, pivots: np.ndarray, cosine: float, eps: float, blo
     """(id, links, root): partial link counts of distinct vectors and forest edges (root null: none)."""
     m = len(pivots)
     pp = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, APART ** 2 / 2))
+    # far enough below eps / 2 that rounding can't make a pair of a core miss the threshold
+    core_d2 = max(eps / 2 - 1e-6, 0.0) ** 2
 
-    def nearest(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def nearest(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         v = _normal(np.stack(pdf["v"].to_numpy()).astype(np.float64))
         d2 = np.maximum(2 - 2 * v @ pivots.T, 0)
-        return v, d2, d2.argmin(1)
+        c = d2.argmin(1)
+        return v, d2, c, d2[np.arange(len(c)), c]
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            _, d2, c = nearest(pdf)
-            yield pd.DataFrame({"cell": c, "d2": d2[np.arange(len(c)), c]})
+        for big in batches:
+            for at in range(0, len(big), 2048):
+                pdf = big.iloc[at: at + 2048]
+                _, _, c, own = nearest(pdf)
+                yield pd.DataFrame({"id": pdf["class"], "w": pdf["w"], "cell": c, "d2": own, "core": own <= core_d2})
 
-    stat = classes.mapInPandas(lean(cells), "cell int, d2 double").groupBy("cell").agg(F.max("d2").alias("r"), F.count("*").alias("n")).collect()
+    placed = table(classes.mapInPandas(lean(cells), "id long, w long, cell int, d2 double, core boolean"), "vec-cells")
+    stat = table(placed.groupBy("cell", "core").agg(F.max("d2").alias("r"), F.count("*").alias("n"), F.sum("w").alias("all"), F.min("id").alias("least")),
+                 "vec-parts")  # at most two rows for each pivot
     radius = np.full(m, -np.inf)
-    blocks = np.ones(m, np.int64)
-    for r in stat:
-        radius[r["cell"]], blocks[r["cell"]] = np.sqrt(r["r"] + ROUNDING), -(-r["n"] // (block // 2))
-    first = np.r_[0, np.cumsum(blocks)]
+    rim, core = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    for r in stat.collect():
+        if r["core"]:
+            core[r["cell"]] = r["n"]
+        else:
+            radius[r["cell"]], rim[r["cell"]] = np.sqrt(r["r"] + ROUNDING), r["n"]
+    per = max(1, block // 2)
+    n_groups = int(min(m, max(8, -(-rim.sum() // per))))
+    group = pp[:, :n_groups].argmin(1)
+    group[:n_groups] = np.arange(n_groups)
+    by_group = np.argsort(group, kind="stable")
+    start = np.searchsorted(group[by_group], np.arange(n_groups))
+    rim_blocks = np.maximum(1, -(-np.bincount(group, weights=rim, minlength=n_groups).astype(np.int64) // per))
+    core_blocks = np.maximum(1, -(-core // per))
+    rim_first = np.r_[0, np.cumsum(rim_blocks)]
+    core_first = rim_first[-1] + np.r_[0, np.cumsum(core_blocks)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for big in batches:
             for at in range(0, len(big), 2048):
                 pdf = big.iloc[at: at + 2048]
-                v, d2, c = nearest(pdf)
-                own = d2[np.arange(len(c)), c]
-                face = (d2 - own[:, None]) / (2 * pp[c])
-                goes = (face <= eps) & (np.sqrt(d2) <= radius[None, :] + eps)
-                goes &= _target(np.arange(m)[None, :], c[:, None]) == np.arange(m)[None, :]
-                goes[np.arange(len(c)), c] = False
+                v, d2, c, own = nearest(pdf)
+                me, is_core = np.arange(len(c)), own <= core_d2
                 ids, w = pdf["class"].to_numpy(), pdf["w"].to_numpy()
-                raw = [x.tobytes() for x in v]
-                sub = (ids * 2654435761 >> 7) % blocks[c]
-                units, visits, who = [first[c] + sub], [np.zeros(len(c), np.int64)], [np.arange(len(c))]
-                for b in range(int(blocks.max())):
-                    i, j = np.nonzero(goes & (blocks > b)[None, :])
-                    units.append(first[j] + b)
-                    visits.append(np.ones(len(j), np.int64))
-                    who.append(i)
-                    i = np.flatnonzero(sub > b)  # other blocks of the own cell
-                    units.append(first[c[i]] + b)
+                g, salt = group[c], ids * 2654435761 >> 7
+                sub = salt % np.where(is_core, core_blocks[c], rim_blocks[g])
+                units, visits, who = [np.where(is_core, core_first[c], rim_first[g]) + sub], [np.zeros(len(c), np.int64)], [me]
+
+                def visit(first, i):
+                    units.append(first)
                     visits.append(np.ones(len(i), np.int64))
                     who.append(i)
+
+                meets = ((d2 - own[:, None]) / (2 * pp[c]) <= eps) & (np.sqrt(d2) <= radius[None, :] + eps) & ~is_core[:, None]
+                goes = np.logical_or.reduceat(meets[:, by_group], start, axis=1)
+                goes &= _target(np.arange(n_groups)[None, :], g[:, None]) == np.arange(n_groups)[None, :]
+                goes[me, g] = False
+                for b in range(int(rim_blocks.max())):
+                    i, j = np.nonzero(goes & (rim_blocks > b)[None, :])
+                    visit(rim_first[j] + b, i)
+                    i = np.flatnonzero(~is_core & (sub > b))  # other blocks of the own group
+                    visit(rim_first[g[i]] + b, i)
+                near = (np.sqrt(d2) <= 1.5 * eps + 1e-6) & (core > 0)[None, :]
+                near &= ~is_core[:, None] | (_target(np.arange(m)[None, :], c[:, None]) == np.arange(m)[None, :])
+                near[me[is_core], c[is_core]] = False  # counted by weight
+                for b in range(int(core_blocks.max())):
+                    i, j = np.nonzero(near & (core_blocks > b)[None, :])
+                    visit(core_first[j] + b, i)
                 who = np.concatenate(who)
+                raw = [x.tobytes() for x in v]
                 yield pd.DataFrame({"unit": np.concatenate(units), "visit": np.concatenate(visits), "id": ids[who], "w": w[who],
                                     "v": [raw[k] for k in who]})
 
-    return _in_units(classes.mapInPandas(lean(deal), ROW), cosine)
+    whole = stat.where("core and n > 1").select("cell", "all", "least")
+    inside = placed.where("core").join(small(whole, 2 * m), "cell").select("id", (F.col("all") - F.col("w")).alias("links"), F.col("least").alias("root"))
+    return _in_units(classes.mapInPandas(lean(deal), ROW), cosine, int(core_first[0])).unionByName(inside)
 
 
 def _join_short(classes: DataFrame, cosine: float) -> DataFrame:
@@ -164,14 +210,18 @@ def _join_short(classes: DataFrame, cosine: float) -> DataFrame:
     return _in_units(classes.mapInPandas(lean(deal), ROW), cosine)
 
 
-def _in_units(dealt: DataFrame, cosine: float) -> DataFrame:
+def _in_units(dealt: DataFrame, cosine: float, first_core: int = 1 << 31) -> DataFrame:
+    """Links of the vectors of each unit, unless it is of a core (``first_core`` on), and of those that visit it."""
+    def held_links(unit: int, rows) -> pd.DataFrame:
+        return _within(rows if unit < first_core else (rows[0][:0], rows[1][:0], rows[2][:0]), cosine)
+
     def unit_join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, held, done = None, [], False
         for big in batches:
             for u, pdf in big.groupby("unit", sort=False):
                 if u != unit:
                     if held and not done:
-                        yield _within(_cat(held), cosine)
+                        yield held_links(unit, _cat(held))
                     unit, held, done = u, [], False
                 own = pdf[pdf["visit"] == 0]
                 if len(own):
@@ -181,12 +231,12 @@ def _in_units(dealt: DataFrame, cosine: float) -> DataFrame:
                     if not done:
                         block_rows, done = _cat(held), True
                         if block_rows is not None:
-                            yield _within(block_rows, cosine)
+                            yield held_links(unit, block_rows)
                     if block_rows is not None:
                         for lo in range(0, len(guests), 4096):
                             yield _across(block_rows, _cat([guests.iloc[lo: lo + 4096]]), cosine)
         if held and not done:
-            yield _within(_cat(held), cosine)
+            yield held_links(unit, _cat(held))
 
     dealt = dealt.repartition("unit").sortWithinPartitions("unit", "visit")
     return dealt.mapInPandas(lean(unit_join), LINK)
@@ -202,10 +252,15 @@ def _cat(parts: list[pd.DataFrame]):
 
 def _linked(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
     s = a.astype(np.float32) @ b.astype(np.float32).T
-    mask = s >= cosine
-    i, j = np.nonzero(np.abs(s - cosine) < 1e-5)
+    slack = 1e-5 + 1.2e-7 * a.shape[1]
+    mask = s >= cosine - slack
+    i, j = np.nonzero(mask)
     if len(i):
-        mask[i, j] = (a[i] * b[j]).sum(1) >= cosine
+        close = s[i, j] < cosine + slack
+        i, j = i[close], j[close]
+        for lo in range(0, len(i), 1 << 16):
+            x, y = i[lo: lo + (1 << 16)], j[lo: lo + (1 << 16)]
+            mask[x, y] = (a[x] * b[y]).sum(1) >= cosine
     return mask
 
 
@@ -227,9 +282,10 @@ def _rows(ids, links, roots) -> pd.DataFrame:
 
 def _within(block, cosine: float) -> pd.DataFrame:
     ids, w, v = block
-    out = []
-    for lo in range(0, len(ids), 1024):  # rows of the block against the rest of it
-        hi = min(lo + 1024, len(ids))
+    out = [_rows(ids[:0], w[:0], ids[:0])]
+    step = max(64, PRODUCTS // max(1, len(ids)))
+    for lo in range(0, len(ids), step):  # rows of the block against the rest of it
+        hi = min(lo + step, len(ids))
         mask = _linked(v[lo:hi], v[lo:], cosine)
         mask[np.tril_indices(hi - lo, 0, len(ids) - lo)] = False
         out.append(_masked(mask, ids[lo:hi], w[lo:hi], ids[lo:], w[lo:]))
