@@ -15,6 +15,8 @@ from trendspark.llm import langid, line_dedup, minhash, mixing, packing
 from trendspark.llm.common import small, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: A worker's unit table in the last stage, smaller than packing's own: earlier stages have taken memory of the executor.
+PACK_UNITS = 300_000
 #: A text that no language's classifier comes near (0.5 is the decision border) is rejected.
 LEAST_LANGUAGE_SCORE = 0.25
 
@@ -61,7 +63,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10. Pieces of at most 1024 ids with their ids, sequence and offset."""
-    return packing.pack(docs, TOKENIZER, capacity=1024, end_id=2)
+    return packing.pack(docs, TOKENIZER, capacity=1024, end_id=2, most_units=PACK_UNITS)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", lines), ("minhash_near_dedup", near_duplicates), ("source_mixing", source_mix),

@@ -29,8 +29,9 @@ PIECE = "doc_id long, piece int, start long, length long, tokens binary, part in
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, text: str = "text",
-               key: str = "doc_id") -> DataFrame:
-    """Encoded pieces, written to the shared folder. ``at`` counts pieces of one length inside one task (``part``)."""
+               key: str = "doc_id", most_units: int | None = None) -> DataFrame:
+    """Encoded pieces, written to the shared folder. ``most_units`` bounds a worker's table of known units (it changes no
+    id). ``at`` counts pieces of one length inside one task (``part``)."""
     text_batches(docs.sparkSession)
     d = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     end = np.array([end_id], "<u4").tobytes()
@@ -38,7 +39,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        enc = bpe(tokenizer)
+        enc = bpe(tokenizer, most_units)
         for pdf in batches:
             ks = [None if pd.isna(x) else int(x) for x in pdf["k"]]
             texts = pdf["t"].tolist()
@@ -172,6 +173,6 @@ def place(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return d.mapInPandas(lean(run), d.schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, most_units: int | None = None) -> DataFrame:
     """Pieces with their ``tokens`` (little-endian unsigned 32-bit ids), ``sequence_id`` and ``offset``."""
-    return place(cut_pieces(docs, tokenizer, capacity, end_id), capacity)
+    return place(cut_pieces(docs, tokenizer, capacity, end_id, most_units=most_units), capacity)

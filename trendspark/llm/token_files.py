@@ -36,8 +36,10 @@ _STEP = 512
 _BPE: dict[str, ByteBpe] = {}
 
 
-def bpe(path: str) -> ByteBpe:
-    return _BPE.get(path) or _BPE.setdefault(path, ByteBpe(path))
+def bpe(path: str, most_units: int | None = None) -> ByteBpe:
+    enc = _BPE.get(path) or _BPE.setdefault(path, ByteBpe(path))
+    enc.most_units = most_units
+    return enc
 
 
 class Level:

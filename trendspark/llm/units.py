@@ -79,6 +79,9 @@ class ByteBpe:
     says is put together and compared with the block byte by byte, so ids don't rest on the hash.
     """
 
+    #: units kept, where fewer than ``KEPT_UNITS`` are wanted
+    most_units: int | None = None
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -195,7 +198,7 @@ class ByteBpe:
                 raws.append(t.encode("utf-8"))
                 size += len(raws[-1]) + 1
             if some and (size >= BLOCK or i == len(texts) - 1):
-                if self.strings.n > KEPT_UNITS or self.strings.at[self.strings.n] > KEPT_BYTES:
+                if self.strings.n > min(KEPT_UNITS, self.most_units or KEPT_UNITS) or self.strings.at[self.strings.n] > KEPT_BYTES:
                     self._clear()
                 for j, ids in zip(some, self._block([texts[j] for j in some], raws)):
                     out[j] = ids
