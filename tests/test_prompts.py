@@ -27,3 +27,23 @@ def test_pages_are_reduced_below_the_regexes(spark):
     assert sorted(tuple(x) for x in got.collect()) == [("u1", "<p>1</p>"), ("u4", "<p>4</p>")]
     plan = got.select("url", F.regexp_replace("html", "<[^>]*>", "").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("regexp_replace") < plan.index("LeftSemi")
+
+
+def test_texts_are_put_together_after_the_grouping(spark):
+    """Pages as one array, and pages joined to the news rows, give the same texts; the first way groups places, not texts."""
+    news = spark.createDataFrame([(t, k // 2, f"u{(t * k) % 9}" if k % 4 else None) for t in range(20) for k in range(t)],
+                                 "trend_id long, news_pos long, url string")
+    pieces = spark.createDataFrame([("u0", " \n"), ("u1", "b"), ("u2", "b c"), ("u3", "\t"), ("u4", None), ("u5", "a"), ("u5", "b"), ("u6", "")],
+                                   "url string, piece string")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    want = rows(PR.trend_text(news, pieces, book_bytes=0))
+    assert rows(PR.trend_text(news, pieces)) == want == rows(PR.trend_text(news, pieces, chunk_rows=3, book_bytes=0))
+    titles = spark.createDataFrame([(3, "x"), (9, "y"), (99, "z")], "trend_id long, title string")
+    by = dict((3, "x") if t == 3 else (9, "y") for t in (3, 9))
+    want = [(*x, by[x[0]]) for x in want if x[0] in by and x[2] == 1]
+    for size in (0, PR.BOOK_BYTES):
+        assert rows(PR.trend_text(news, pieces, titles=titles, with_text_only=True, book_bytes=size)) == want
+    plan = PR.trend_text(news, pieces).select(F.md5("text"), F.char_length("text"))._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(x for x in plan.splitlines() if "Aggregate [trend_id" in x)
+    assert "piece" not in aggregate and "collect_list" in aggregate
+    assert not [x for x in plan.splitlines() if "_texts#" in x]  # no row holds the array
