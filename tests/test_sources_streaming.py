@@ -187,3 +187,41 @@ def test_published_cost_projection(spark):
     assert rows[("GPT-4o Mini", 120)] == (Decimal("0.3600"), Decimal("1.2000"))
     assert rows[("Claude 3 Opus", 240)] == (Decimal("48.0000"), Decimal("240.0000"))
     assert len(rows) == 24
+
+
+def test_documents_are_written_last_and_parsed_once(spark):
+    from trendspark.sources import feed as FEED
+    from trendspark.sources.feed_docs import feed_documents
+
+    items = spark.createDataFrame([(k, "t", "1K+", "d", f"l{k}", "a < b" if k % 2 else None, "") for k in (1, 2, 2, 105)],
+                                  "feed_pos long, title string, approx_traffic string, pub_date_raw string, link string, snippet string, picture string")
+    news = spark.createDataFrame([(2, 7, "news 10", "s", "u", "x"), (2, 7, "news 1", "s", "u", "x"), (2, 3, "n & m", None, "u", "x"), (9, 1, "no item", "", "", ""),
+                                  (None, 1, "no trend", "", "", "")],
+                                 "trend_id long, news_pos long, title string, snippet string, url string, source string")
+    docs = feed_documents(items, news)
+    got = {r.doc_id: r.value for r in docs.collect()}
+    one = "<ht:news_item><ht:news_item_title>{}</ht:news_item_title><ht:news_item_snippet>{}</ht:news_item_snippet><ht:news_item_url>u</ht:news_item_url><ht:news_item_source>x</ht:news_item_source></ht:news_item>"
+    children = one.format("n &amp; m", "") + one.format("news 10", "s") + one.format("news 1", "s")
+    assert sorted(got) == [0, 1] and got[0].count("<item>") == 3 and got[0].count(children) == 2 and "no item" not in got[0]
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("<rss") < plan.index("Join") and "<ht:news_item>" not in plan[plan.index("Join"):]
+    parsed = FEED.parse_documents(docs.select(F.col("doc_id").cast("string").alias("path"), "value"))
+    plan = FEED.feed_rejects(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") == 1
+    assert [(r.path, r.feed_pos) for r in FEED.feed_items(parsed).orderBy("feed_pos").collect()] == [("0", (1 << 32) + k) for k in range(3)] + [("1", 2 << 32)]
+
+
+def test_waves_are_written_once(spark, monkeypatch):
+    import glob
+
+    from feeds import SF_SMALL
+    from trendspark.plans import q_sources
+
+    d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    monkeypatch.setattr(q_sources, "_scratch", lambda spark, kind: f"{d}/{kind}")
+    whole = sorted(tuple(r) for r in q_sources._feed_stream(spark, SF_SMALL, None, None).collect())
+    monkeypatch.setattr(q_sources, "_scratch", lambda spark, kind: f"{d}/waves")
+    assert sorted(tuple(r) for r in q_sources._feed_stream(spark, SF_SMALL, 8, 8).collect()) == whole
+    assert len(glob.glob(f"{d}/waves/landing/wave=*")) == 2 and not glob.glob(f"{d}/waves/written/wave=*")
+    landed = glob.glob(f"{d}/waves/landing/wave=*/doc=*/*.gz")
+    assert len(landed) == 15 == len(glob.glob(f"{d}/feed/landing/wave=*/doc=*/*.gz"))
