@@ -225,3 +225,44 @@ def test_waves_are_written_once(spark, monkeypatch):
     assert len(glob.glob(f"{d}/waves/landing/wave=*")) == 2 and not glob.glob(f"{d}/waves/written/wave=*")
     landed = glob.glob(f"{d}/waves/landing/wave=*/doc=*/*.gz")
     assert len(landed) == 15 == len(glob.glob(f"{d}/feed/landing/wave=*/doc=*/*.gz"))
+
+
+def test_media_by_book_and_by_join_agree(spark):
+    import random
+    import re
+
+    from trendspark.operators import media as M
+
+    rng = random.Random(5)
+    urls = [f"https://i/{k}.png" for k in range(25)]
+    frames = ["//www.youtube.com/embed/a?x=1", "https://youtu.be/b", "https://maps/x"]
+    rows = [(p, f"https://p/{p}", "".join(f'<img src="{u}">' for u in rng.choices(urls, k=rng.randint(0, 14))) + f'<iframe src="{rng.choice(frames)}"></iframe>')
+            for p in range(12)]
+    pages = spark.createDataFrame(rows + rows[:2], "page_id long, url string, html string")
+    # news listed twice, positions missing, pages that never landed, unknown trends, a NULL trend
+    news = [(t, rng.choice([k, None]) if t % 3 == 0 else k, f"https://p/{rng.randint(0, 13)}") for t in range(1, 40) for k in range(rng.randint(1, 12))]
+    news += [(90 + t, 7, f"https://p/{p}") for t in range(6) for p in (t, t + 5)] + [(None, 1, "https://p/3")]
+    news = spark.createDataFrame(news + news[:30], "trend_id long, news_pos long, url string")
+    meta = spark.createDataFrame([(u, k // 4 * 10 - 10, 5) for k, u in enumerate(urls)], "url string, width int, height int")
+    status = spark.createDataFrame([("https://img.youtube.com/vi/a/maxresdefault.jpg", 200, "")], "url string, status int, body string")
+    trends = spark.createDataFrame([(k, "own") for k in [*range(70), 3, 69]] + [(None, "own")], "id long, image_url string")
+
+    def files(**kw):
+        # two pages at one position, from trend 90 on, are compared with the rule below
+        out = {k: v.filter("trend_id IS NULL OR trend_id < 90") for k, v in M.extract_media(news, pages, meta, status, trends, **kw).items()}
+        return [sorted(map(repr, out["files"].collect())), sorted(map(repr, out["counts"].collect())),
+                sorted(map(repr, out["images"].select("trend_id", "url", "width", "height", "rank", "file_index").collect()))]
+
+    joined = files(book_bytes=0)
+    assert len(joined[2]) > 200 and files() == joined == files(materialize=True)
+    place = {p: {u: i for i, u in reversed(list(enumerate(re.findall('<img src="([^"]*)"', h))))} for p, _, h in rows}
+    area = {u: max(0, k // 4 * 10 - 10) for k, u in enumerate(urls)}
+    want = []
+    for t in range(6):
+        first = {u: min(place[p][u] for p in (t, t + 5) if u in place[p]) for u in {**place[t], **place[t + 5]}}
+        want += [(90 + t, u) for u in sorted(first, key=lambda u: (area[u] == 0, -area[u], first[u], u))[:10]]
+    got = M.extract_media(news, pages, meta, status, trends)["images"].filter("trend_id >= 90").orderBy("trend_id", "rank").collect()
+    assert [(r.trend_id, r.url) for r in got] == want
+    # rows of images are neither shuffled nor sorted: no window over them
+    plan = M.extract_media(news, pages, meta, status, trends)["files"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Window" in M.extract_media(news, pages, meta, status, trends, book_bytes=0)["files"]._jdf.queryExecution().optimizedPlan().toString()
