@@ -47,3 +47,36 @@ def test_texts_are_put_together_after_the_grouping(spark):
     aggregate = next(x for x in plan.splitlines() if "Aggregate [trend_id" in x)
     assert "piece" not in aggregate and "collect_list" in aggregate
     assert not [x for x in plan.splitlines() if "_texts#" in x]  # no row holds the array
+
+
+def test_texts_are_written_where_all_pages_are_held(spark):
+    """Pages too large for an array that the texts repeat: no row that is shuffled or sorted holds a text."""
+    news = spark.createDataFrame([(t, k // 2, f"u{(t * k) % 11}" if k % 4 else None) for t in range(40) for k in range(t)],
+                                 "trend_id long, news_pos long, url string")
+    long = [("u0", " \n"), ("u1", "b" * 900), ("u2", "b c" * 300), ("u3", "\t"), ("u4", None), ("u5", "a" * 700), ("u5", "é" * 500), ("u6", ""),
+            ("u7", "z" * 9)]
+    pieces = spark.createDataFrame(long, "url string, piece string")
+    titles = spark.createDataFrame([(t, f"x{t}") for t in range(7, 45)] + [(9, "z")], "trend_id long, title string")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    shuffled = lambda df: [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list" in x and "piece" in x]
+    for more in ({}, {"titles": titles, "with_text_only": True}):
+        dealt, shelved = PR.trend_text(news, pieces, book_bytes=0, shelf_bytes=0, **more), PR.trend_text(news, pieces, book_bytes=0, **more)
+        assert rows(shelved) == rows(dealt) == rows(PR.trend_text(news, pieces, **more))
+        assert shelved.columns == dealt.columns and shuffled(dealt) and not shuffled(shelved)
+        assert "MapInArrow" in shelved._jdf.queryExecution().optimizedPlan().toString()
+    told = PR.trend_text(news, pieces, with_text=False)
+    assert rows(told) == sorted((t, h) for t, _, h in rows(PR.trend_text(news, pieces)))
+
+
+def test_a_written_batch_holds_few_texts(spark, monkeypatch):
+    monkeypatch.setattr(PR, "BATCH_BYTES", 100)
+    import pyarrow as pa
+
+    page = pa.record_batch({"trend_id": pa.nulls(3, pa.int64()), "_at": pa.nulls(3, pa.list_(pa.int32())), "_no": pa.array([1, 2, 0], pa.int32()),
+                            "_p": ["x" * 60, "é" * 200, PR.TEXT_PIECE_SEPARATOR]})
+    trends = pa.record_batch({"trend_id": pa.array([5, 6, 7, 8], pa.int64()), "_at": pa.array([[1, 0], [2, 1], [], [1]], pa.list_(pa.int32())),
+                              "_no": pa.nulls(4, pa.int32()), "_p": pa.nulls(4, pa.string())})
+    got = list(PR._write_texts(["trend_id"])(iter([trends, page])))
+    end = PR.TEXT_PIECE_SEPARATOR
+    assert [(r["trend_id"], r["text"]) for b in got for r in b.to_pylist()] == [(5, "x" * 60 + end), (6, "é" * 200 + "x" * 60), (7, ""), (8, "x" * 60)]
+    assert [b.num_rows for b in got] == [1, 1, 2]

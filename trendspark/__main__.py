@@ -81,7 +81,7 @@ def cmd_prompts(spark, a):
     mine = PR.news_of_pending(news, PR.pending_trends(trends))
     pieces = PR.page_pieces(mine, pages)  # pages are read and cleaned once for the three outputs
     PR.build_prompts(trends, news, pages, vocab, p, pieces).write.mode("overwrite").parquet(f"{a.tables}/prompts")
-    done = PR.no_article(trends, news, PR.trend_text(mine, pieces), p).select(
+    done = PR.no_article(trends, news, PR.trend_text(mine, pieces, with_text=False), p).select(
         "id", F.lit(None).cast("bigint").alias("node_id"), F.lit(None).cast("decimal(10,6)").alias("processing_cost"))
     trend_updates(done, p.as_of_epoch).write.mode("append").parquet(f"{a.tables}/trend_updates")
     PR.scrape_audit(mine, pages, pieces).write.mode("append").parquet(f"{a.tables}/audit")
