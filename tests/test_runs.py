@@ -159,3 +159,37 @@ def test_stopped_batch_is_finished_before_another_decides(spark, monkeypatch):
     news = {(r.trend_id, r.title) for r in spark.read.parquet(f"{d}/news").collect()}
     by_title = {t: i for i, t in trends.items()}
     assert {(by_title["a & b"], "n1"), (by_title["new a & b"], "n1"), (by_title["new c"], "n2"), (by_title["new c"], "n3")} == news
+
+
+def test_many_small_documents_are_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    for k in range(60):
+        (tmp_path / f"landing/doc={k:03d}").mkdir(parents=True)
+        (tmp_path / f"landing/doc={k:03d}/feed.xml").write_text(FEED_GOOD)
+    parts = []
+    monkeypatch.setattr(jobs, "ingest_batch", lambda s, docs, *a, **b: parts.append((docs.rdd.getNumPartitions(), docs.count())))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism"]
+    spark.conf.set(names[0], "4m")
+    try:
+        before = [spark.conf.get(n, None) for n in names]
+        jobs.start_feed_stream(spark, str(tmp_path / "landing"), str(tmp_path / "tables"), Params(), str(tmp_path / "ckpt")).awaitTermination()
+        assert [spark.conf.get(n, None) for n in names] == before
+        own = jobs.reading_session(spark)
+    finally:
+        spark.conf.unset(names[0])
+    assert [n for _, n in parts] == [60] and parts[0][0] <= spark.sparkContext.defaultParallelism + 1 < 60
+    assert int(own.conf.get(names[2])) <= jobs.LISTERS * spark.sparkContext.defaultParallelism
+
+
+def test_listed_hosts_by_suffix(spark):
+    """The hosts that have a listed suffix among their own, with empty labels, dots at either end and upper case."""
+    from trendspark.functions import host_suffixes, url_host
+
+    hosts = ["x.ru", "ru", "xru", "a.b.ru", "ru.a", "x..ru", "x.ru.", "X.RU", "", "b.a.cn", "a.cn", "c.cn"]
+    news = spark.createDataFrame([(k, f"https://{h}/p") for k, h in enumerate(hosts)] + [(90, None), (91, ""), (92, "x.ru"), (93, "//u@x.ru:8/")],
+                                 "feed_pos long, url string")
+    for tlds in ("ru", " .ru, a.cn", "ru., 0", "RU,cn"):
+        p = Params(filtered_tlds=tlds)
+        listed = F.array(*[F.lit(t) for t in I.parse_tld_list(tlds)])
+        host = url_host(F.col("url"))
+        want = news.filter((host != "") & F.arrays_overlap(host_suffixes(host), listed))
+        assert sorted(I.tld_flagged(news, p).collect()) == sorted(want.select("feed_pos").distinct().collect())
