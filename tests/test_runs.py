@@ -193,3 +193,29 @@ def test_listed_hosts_by_suffix(spark):
         host = url_host(F.col("url"))
         want = news.filter((host != "") & F.arrays_overlap(host_suffixes(host), listed))
         assert sorted(I.tld_flagged(news, p).collect()) == sorted(want.select("feed_pos").distinct().collect())
+
+
+def test_small_batches_run_in_steps_of_one_task(spark, tmp_path, monkeypatch):
+    """A batch up to the bound is planned once and not dealt out; the settings end with it, also when it fails; both ways write the same."""
+    docs = spark.createDataFrame([("a.xml", FEED_GOOD), ("b.xml", FEED_LATER), ("c.xml", "<x")], "path string, value string")
+    seen, whole = [], R.document_status
+    names = sorted(jobs.FEW)
+    before = [spark.conf.get(n, None) for n in names]
+
+    def status(*a):
+        seen.append([spark.conf.get(n) for n in names])
+        return whole(*a)
+
+    monkeypatch.setattr(jobs.R, "document_status", status)
+    got = []
+    for few in (4, 6):  # the documents have six items
+        monkeypatch.setattr(jobs, "FEW_ITEMS", few)
+        jobs.ingest_batch(spark, docs, str(tmp_path / f"t{few}"), Params(max_trends=5))
+        assert [spark.conf.get(n, None) for n in names] == before
+        got.append({t: sorted(map(str, spark.read.parquet(str(tmp_path / f"t{few}/{t}")).drop("batch", "seq").collect())) for t in ("trends", "news", "audit")})
+    assert seen[0] == [spark.conf.get(n) for n in names] and seen[1] == [jobs.FEW[n] for n in names] and seen[0] != seen[1]
+    assert got[0] == got[1] and len(got[0]["trends"]) == 3
+    monkeypatch.setattr(jobs.R, "document_status", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        jobs.ingest_batch(spark, docs, str(tmp_path / "stopped"), Params(max_trends=5))
+    assert [spark.conf.get(n, None) for n in names] == before
