@@ -219,3 +219,21 @@ def test_small_batches_run_in_steps_of_one_task(spark, tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         jobs.ingest_batch(spark, docs, str(tmp_path / "stopped"), Params(max_trends=5))
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_folders_of_waves_are_listed_by_one_job(spark, tmp_path, monkeypatch):
+    for w in range(4):
+        for k in range(40):
+            (tmp_path / f"landing/wave={w}/doc={k:03d}").mkdir(parents=True)
+            (tmp_path / f"landing/wave={w}/doc={k:03d}/feed.xml").write_text(FEED_GOOD)
+    counted = []
+    monkeypatch.setattr(jobs, "ingest_batch", lambda s, docs, *a, **b: counted.append(docs.count()))
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    try:
+        jobs.reading_session(spark).readStream.format("text").load(str(tmp_path / "landing"))
+        assert len(sc.statusTracker().getJobIdsForGroup("listing")) == 1
+    finally:
+        sc._jsc.clearJobGroup()
+    jobs.start_feed_stream(spark, str(tmp_path / "landing"), str(tmp_path / "tables"), Params(), str(tmp_path / "ckpt")).awaitTermination()
+    assert counted == [160]
